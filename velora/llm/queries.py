@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import decontaminate, html_text, media, token_store, url_filter
+from velora.llm import decontaminate, html_text, media, simhash, token_store, url_filter
 from velora.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
+    return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcome of a page is labels.quality of the row with its id."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -81,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_html_extraction": op3_html_extraction,
     "op4_media_columns": op4_media_columns,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op9_url_filter": op9_url_filter,
 }
 
