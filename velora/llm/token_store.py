@@ -7,7 +7,7 @@ they stand. A chunk's address is the BLAKE2b digest of its little-endian ids.
 The store has three tables of Parquet files:
 
 ``chunks``    address, n, payload: every distinct chunk once, as 16-bit ids if
-              the vocabulary allows and 32-bit ids else, zlib-packed
+              the vocabulary allows and 32-bit ids else, zstd-packed
 ``recipes``   doc_id, start, n_tokens, addresses, lengths, root, part: for each
               document, in ascending doc_id order, the chunks that make it up,
               its offset in the stream of all ids, and the Merkle root of its
@@ -34,12 +34,14 @@ empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import re
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -49,45 +51,104 @@ WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
 DIGEST = 16
 #: Distinct words and addresses that a task keeps; beyond that it starts anew, at a cost in time or payload only.
-CACHE_WORDS, CACHE_ADDRESSES = 400_000, 400_000
+CACHE_WORDS, CACHED_LENGTH, CACHE_ADDRESSES = 400_000, 12, 400_000
+#: The byte-level split pattern, fixed by the tokenizer; for letters below U+0250 this is its \p{L}, \p{N} form.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+#: Characters that the two forms, or their notions of white space, may class differently.
+_UNSURE = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
 _POLY = np.uint64(0xEDB88320)
 
 
 class Encoder:
-    """The tokenizers library over whole texts, each distinct pre-token encoded once.
-
-    A byte-level BPE encodes the pieces of its split pattern one by one, so a
-    text's ids are its pieces' ids in a row. A text that holds an added token's
-    string goes to the library whole.
+    """The tokenizers library over whole texts, each distinct piece encoded once.
+
+    The tokenizer's split pattern starts a piece at every single space between
+    two other characters, and the library encodes pieces one by one. So a text is
+    cut there, and known words are looked up; new words are cut into pieces, and
+    the new pieces of some hundred texts go to the library in one call. A text that has other
+    white space beside a space, an added token's string, or characters for which
+    the pattern below might differ from the tokenizer's goes to the library whole.
     """
 
-    def __init__(self, path: str, end_id: int, pattern: str) -> None:
+    def __init__(self, path: str, end_id: int) -> None:
         import os
 
-        import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
+        self.pieces_only = Tokenizer.from_file(path)
+        self.pieces_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.end_id = end_id
         self.end = end_id.to_bytes(4, "little")
         self.wide = max(self.tokenizer.get_vocab_size(), end_id + 1) > 65536
 
-    def encode(self, text: str) -> np.ndarray:
-        """The ids with the end id, 32-bit."""
-        if any(a in text for a in self.added):
-            return np.array([*self.tokenizer.encode(text, add_special_tokens=False).ids, int.from_bytes(self.end, "little")], "<u4")
-        pieces = self.split(text)
-        known = self.known
-        if new := [p for p in set(pieces) if p not in known]:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-                new = list(set(pieces))
-            for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[piece] = np.array(got.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)) + self.end, "<u4")
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array([*self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.end_id], "<u4")
+
+    def _learn(self, fresh: list[str]) -> None:
+        """Encode new pieces in one call, with line feeds, whose id is their own, between them."""
+        plain = [p for p in fresh if "\n" not in p]
+        for p in (p for p in fresh if "\n" in p):
+            self.pieces[p] = self._whole(p)[:-1].tobytes()
+        ids = np.array(self.pieces_only.encode_batch_fast([[x for p in plain for x in (p, "\n")]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.feed).tolist()
+        raw = ids.tobytes()
+        self.pieces.update(zip(plain, [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)], strict=True))
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """Each text's ids with the end id, 32-bit. New words are learnt for all texts at once."""
+        known, get = self.pieces, self.words.get
+        cut: list[tuple[str, list[str], list[bytes | None]] | None] = []
+        new: dict[str, bytes] = {}
+        heads: dict[str, bytes] = {}
+        for text in texts:
+            first, *words = text.split(" ")
+            found = list(map(get, words))
+            if None in found:
+                new.update(dict.fromkeys(w for w, ids in zip(words, found) if ids is None))
+            heads[first] = b""
+            cut.append((first, words, found))
+        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or _UNSURE.search(w)} | {w for w in heads if w[-1:].isspace() or _UNSURE.search(w)}
+        for w in odd:
+            new.pop(w, None)
+            heads.pop(w, None)
+        # a piece that opens with the space before a word opens the word
+        parts = _PIECES(" " + " ".join(new)) if new else []
+        head_parts = {w: _PIECES(w) for w in heads}
+        if len(known) > CACHE_WORDS:
+            known.clear()
+        fresh = {p for p in parts if p not in known}.union(p for ps in head_parts.values() for p in ps if p not in known)
+        if fresh:
+            self._learn(list(fresh))
+        ids = [known[p] for p in parts]
+        starts = [i for i, p in enumerate(parts) if p[0] == " "]
+        new.update(zip(new, [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(parts)])], strict=True))
+        out = []
+        for text, (first, words, found) in zip(texts, cut):
+            if odd and (first in odd or not odd.isdisjoint(w for w, x in zip(words, found) if x is None)) or any(a in text for a in self.added):
+                out.append(self._whole(text))
+                continue
+            whole = [x or new[w] for w, x in zip(words, found)] if None in found else found
+            out.append(np.frombuffer(b"".join([*(known[p] for p in head_parts[first]), *whole, self.end]), "<u4"))
+        if len(self.words) > CACHE_WORDS:
+            self.words.clear()
+        self.words.update(x for x in new.items() if len(x[0]) <= CACHED_LENGTH)
+        return out
+
+
+#: A Python worker runs many tasks; its encoder, with the words it knows, stays.
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
 
 
 def cuts(ids: np.ndarray) -> list[int]:
@@ -126,11 +187,11 @@ def merkle_root(leaves: list[bytes]) -> bytes:
 
 
 def pack(ids: np.ndarray, wide: bool) -> bytes:
-    return zlib.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 1)
+    return zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 3)
 
 
 def unpack(payload: bytes, n: int) -> np.ndarray:
-    raw = zlib.decompress(payload)
+    raw = zstandard.decompress(payload)
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
 
@@ -158,17 +219,16 @@ def shifted_crc(crc: np.ndarray, behind: np.ndarray) -> np.ndarray:
     return out
 
 
-def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str) -> DataFrame:
+def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, order, n_tokens, addresses, lengths, fresh: payloads of addresses new to the task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, seen = Encoder(tokenizer_path, end_id, pattern), set()
+        encoder, seen = encoder_of(tokenizer_path, end_id), set()
         for whole in batches:
-            for k in range(0, whole.num_rows, 256):
-                batch = whole.slice(k, 256)
+            for k in range(0, whole.num_rows, 128):
+                batch = whole.slice(k, 128)
                 rows = []
-                for text in texts_utf8(batch.column(1)):
-                    ids = encoder.encode(text.decode())
+                for ids in encoder.encode([t.decode() for t in texts_utf8(batch.column(1))]):
                     names, sizes, fresh, last = [], [], [], 0
                     for end in cuts(ids):
                         chunk = ids[last:end]
@@ -188,15 +248,11 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int, pattern: str) ->
     return docs.mapInArrow(run, "doc_id long, tie long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, fresh array<struct<address: binary, n: int, payload: binary>>")
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, pattern: str | None = None, part_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, part_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode documents and write the store at path."""
-    if pattern is None:
-        import public_tokenizers
-
-        pattern = public_tokenizers.PATTERN
     spark = docs.sparkSession
     staging = f"{path}/staging"
-    _staged(id_and_text(docs, id_col, text_col), tokenizer_path, end_id, pattern).write.option("compression", "zstd").parquet(staging)
+    _staged(id_and_text(docs, id_col, text_col), tokenizer_path, end_id).write.option("compression", "zstd").parquet(staging)
     staged = spark.read.parquet(staging)
     packs = staged.select(F.explode("fresh").alias("f")).select("f.*")
     packs.groupBy("address").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
