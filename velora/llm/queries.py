@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import decontaminate, html_text, media, simhash, token_store, toxicity, url_filter
+from velora.llm import decontaminate, html_text, media, quality, sentencepiece_fst, simhash, token_store, toxicity, url_filter
 from velora.llm.common import table
 
 
@@ -37,6 +37,20 @@ def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
 
 
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts are decoded from the ids that the encoder gave; the digest tells whether they came back."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    back = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), path), path)
+    return back.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *(F.round(c, 6).alias(c) for c in ("evidence", "host_rate", "path_rate", "score")), "keep")
+
+
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The labelled outcome of a page is labels.quality of the row with its id."""
     outcomes = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("page_id"), F.col("quality").alias("good"))
@@ -92,6 +106,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_html_extraction": op3_html_extraction,
     "op4_media_columns": op4_media_columns,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_sentencepiece": op7_sentencepiece,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_url_filter": op9_url_filter,
     "op10_toxicity": op10_toxicity,
 }
