@@ -62,10 +62,12 @@ def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
-def text_of(value: pa.Scalar) -> bytes:
-    """A text's UTF-8 bytes without decoding; null is empty."""
-    buf = value.as_buffer()
-    return buf.to_pybytes() if buf is not None else b""
+def fresh_name(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def texts_utf8(column: pa.Array) -> Iterator[bytes]:

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.common import id_and_text, map_batches, texts_utf8, written
+from velora.llm.common import fresh_name, id_and_text, map_batches, texts_utf8, written
 from velora.llm.linear import logistic, sigmoid
 
 MAX_TRAIN = 8192
@@ -185,9 +185,7 @@ def accepted(
     model = fit(docs, labels, max_train=max_train, id_col=id_col, text_col=text_col)
     rows = written(evidence(docs, model, id_col, text_col, host_col, path_col), "quality-evidence")
     sites = written(site_posteriors(rows, strength), "quality-sites")
-    taken = {c.lower() for c in docs.columns}
-    fresh = lambda name: next(x for x in (name + "_" * k for k in range(99)) if x.lower() not in taken)
-    names = {c: fresh(f"site_{c}") for c in sites.columns}
+    names = {c: fresh_name(docs, f"site_{c}") for c in sites.columns}
     renamed = sites.select(*(F.col(c).alias(n) for c, n in names.items()))
     joined = docs.join(renamed, F.col(f"`{host_col}`").cast("string").eqNullSafe(F.col(names["host"])) & F.col(f"`{path_col}`").cast("string").eqNullSafe(F.col(names["path"])), "left")
     sent = docs.sparkSession.sparkContext.broadcast(model)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm import decontaminate, html_text, media, quality, sentencepiece_fst, simhash, token_store, toxicity, url_filter
+from velora.llm import decontaminate, html_text, line_dedup, media, quality, sentencepiece_fst, simhash, token_store, toxicity, url_filter
 from velora.llm.common import table
 
 
@@ -32,6 +32,11 @@ def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store_texts(table(spark, sf_dir, "documents")))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), counts=True)
+    return out.select("doc_id", "n_lines", "n_cut", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=3)
     return found.select("doc_id", simhash.hex_of("fp").alias("fingerprint"), "component_id")
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_store": op2_token_store,
     "op3_html_extraction": op3_html_extraction,
     "op4_media_columns": op4_media_columns,
+    "op5_line_dedup": op5_line_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_quality_classifier": op8_quality_classifier,
