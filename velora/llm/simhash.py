@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.common import UPPER, id_and_text, map_batches, texts_utf8, written
+from velora.llm.common import NULL_ID, UPPER, fresh_name, id_and_text, map_batches, texts_utf8, written
 from velora.llm.components import components
 
 SEED = 42
@@ -45,33 +45,59 @@ CELL_ROWS, LOOK = 2048, 64
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
-def fingerprint(text: bytes, words: int = 3) -> int:
-    """The 64-bit SimHash of a UTF-8 text's word shingles, A-Z lower-cased."""
+def shingle_hashes(text: bytes, words: int) -> np.ndarray:
+    """XXH64 (seed 42) of a UTF-8 text's word shingles, A-Z lower-cased, repeats included; big-endian."""
     parts = text.translate(_LOWER).split()
     if not parts:
-        return 0
-    joined = b" ".join(parts)
+        return np.empty(0, ">u8")
+    joined, digest = b" ".join(parts), xxhash.xxh64_digest
     if len(parts) <= words:
-        return xxhash.xxh64_intdigest(joined, SEED)
+        return np.frombuffer(digest(joined, SEED), ">u8")
     sizes = np.fromiter(map(len, parts), np.int64, len(parts)) + 1
     ends = np.cumsum(sizes)
     starts = (ends - sizes)[: len(parts) - words + 1].tolist()
     ends = (ends - 1)[words - 1 :].tolist()
-    digest, votes = xxhash.xxh64_digest, np.zeros(64, np.int64)
-    for k in range(0, len(starts), 1 << 15):
-        hashes = b"".join([digest(joined[a:b], SEED) for a, b in zip(starts[k : k + (1 << 15)], ends[k : k + (1 << 15)])])
-        votes += np.unpackbits(np.frombuffer(hashes, np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * votes > len(starts)).tobytes(), "big")
+    return np.frombuffer(b"".join([digest(joined[a:b], SEED) for a, b in zip(starts, ends)]), ">u8")
+
+
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """Each bit is set where more than half of the hashes have it."""
+    votes = np.zeros(64, np.int64)
+    for k in range(0, len(hashes), 1 << 15):
+        votes += np.unpackbits(hashes[k : k + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * votes > len(hashes)).tobytes(), "big")
+
+
+def fingerprint(text: bytes, words: int = 3) -> int:
+    """The 64-bit SimHash of a text; zero without words."""
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def anchors_of(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
+    """One hash (signed) for each band of the least shingles under some orders."""
+    odd = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+    least = np.full(bands * rows, np.iinfo(np.uint64).max)
+    native = hashes.astype(np.uint64)
+    for k in range(0, len(native), 4096):
+        least = np.minimum(least, (native[None, k : k + 4096] * odd[:, None]).min(1))
+    raw = least.tobytes()
+    return [int.from_bytes(xxhash.xxh64_digest(raw[8 * rows * k : 8 * rows * (k + 1)], k), "big", signed=True) for k in range(bands)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) of every row, written to the shared folder."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", anchors: tuple[int, int] | None = None) -> DataFrame:
+    """doc_id, text_hash, fp (the fingerprint as a signed long), anchors of every row, written to the shared folder."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.fromiter((fingerprint(t, words) for t in texts_utf8(batch.column(1))), np.uint64, batch.num_rows)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        found = np.empty(batch.num_rows, np.uint64)
+        near = []
+        for k, text in enumerate(texts_utf8(batch.column(1))):
+            hashes = shingle_hashes(text, words)
+            found[k] = fingerprint_of(hashes)
+            near.append(anchors_of(hashes, *anchors) if anchors and len(hashes) else [])
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64)), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "anchors"])
 
-    return written(map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long"), "fingerprints")
+    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
+    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, anchors array<long>"), "fingerprints")
 
 
 def _grids(max_bits: int) -> list[int]:
@@ -173,10 +199,17 @@ def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int)
     return np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
 
 
-def links(fps: DataFrame, max_bits: int = 3) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within max_bits; fewer than all pairs."""
-    cells = _cells(fps, max_bits)
-    looked = _cells(fps.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0), max_bits)
+def links(fps: DataFrame, max_bits: int = 3, grid_bits: int | None = None, more_cells: DataFrame | None = None) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints within max_bits; fewer than all pairs.
+
+    With grid_bits the grids are for that smaller distance, and fingerprints up to
+    max_bits apart are connected where they meet in a grid's cell or in one of
+    more_cells(fp, cell).
+    """
+    cells = _cells(fps, max_bits if grid_bits is None else grid_bits)
+    if more_cells is not None:
+        cells = cells.unionByName(more_cells.select("fp", "cell").distinct())
+    looked = cells.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0)
     crowded = looked.groupBy(F.col("cell").alias("full")).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS // LOOK).select("full", F.ceil(F.col("n") * 2 * LOOK / CELL_ROWS).cast("int").alias("blocks"))
     crowded = written(crowded, "crowded-cells")
     if crowded.isEmpty():
@@ -220,12 +253,44 @@ def hex_of(fp: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, fp, component_id of every row: the smallest doc_id that links lead to."""
-    rows = fingerprints(docs, words, id_col, text_col)
+def grouped(docs: DataFrame, *, words: int, max_bits: int, grid_bits: int | None = None, anchors: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, fp, label (the same for a component's rows), component_id of every row."""
+    rows = fingerprints(docs, words, id_col, text_col, anchors)
     fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    labels = components(links(fps, max_bits), "simhash").select(F.col("node").alias("fp"), "label")
+    more = rows.select("fp", F.explode("anchors").alias("cell")) if anchors else None
+    labels = components(links(fps, max_bits, grid_bits, more), "simhash").select(F.col("node").alias("fp"), "label")
     members = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = members.groupBy("label").agg(F.min("least").alias("component_id"))
-    of_fp = written(members.join(smallest, "label").select(F.col("fp").alias("known"), "component_id"), "fingerprint-components")
-    return rows.join(of_fp, rows.fp == of_fp.known, "left").select("doc_id", "fp", "component_id")
+    of_fp = written(members.join(smallest, "label").select(F.col("fp").alias("known"), "label", "component_id"), "fingerprint-components")
+    return rows.join(of_fp, rows.fp == of_fp.known, "left").select("doc_id", "text_hash", "fp", "label", "component_id")
+
+
+def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, fp, component_id of every row: the smallest doc_id that links lead to."""
+    return grouped(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col).select("doc_id", "fp", "component_id")
+
+
+def deduplicated(docs: DataFrame, *, words: int = 5, max_bits: int = 12, grid_bits: int = 3, anchors: tuple[int, int] | None = (16, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which one of each near-duplicate group stays.
+
+    Two texts are near-duplicates if their fingerprints of word shingles agree in
+    at least 1 - max_bits / 64 of the bits (0.81). Pairs within grid_bits all
+    meet in a grid. So wide a radius as max_bits no grid of a few counts can
+    search, so that further pairs meet in a second set of cells: ``anchors``
+    bands of the least shingles under so many orders, of which texts that share
+    four fifths of their shingles have one in common with probability 0.998.
+    The document with the smallest doc_id stays (null first; of equal ids that
+    with the smaller text hash); of repeated rows one stays.
+    """
+    rows = written(grouped(docs, words=words, max_bits=max_bits, grid_bits=grid_bits, anchors=anchors, id_col=id_col, text_col=text_col), "simhash-groups")
+    key = F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")
+    stay = rows.groupBy("label").agg(F.min(F.struct(key, "text_hash")).alias("w")).select(F.col("w.id").alias("stay_id"), F.col("w.text_hash").alias("stay_hash"))
+    repeats = rows.groupBy(key, "text_hash").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("text_hash", "repeat_hash")
+    stay = stay.join(repeats, (F.col("stay_id") == F.col("id")) & (F.col("stay_hash") == F.col("repeat_hash")), "left").select("stay_id", "stay_hash", F.col("n").isNotNull().alias("stay_repeated"))
+    names = {c: fresh_name(docs, c) for c in stay.columns}
+    stay = stay.select(*(F.col(c).alias(n) for c, n in names.items()))
+    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)) == F.col(names["stay_id"])) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(names["stay_hash"]))
+    kept = docs.join(stay, same)
+    once = kept.where(~F.col(names["stay_repeated"]))
+    again = kept.where(names["stay_repeated"]).dropDuplicates([names["stay_id"], names["stay_hash"]])
+    return once.unionByName(again).select(*(f"`{c}`" for c in docs.columns))
