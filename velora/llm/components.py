@@ -2,10 +2,11 @@
 
 Each round every node that has a smaller neighbour takes the smallest as its
 parent (partial aggregation: a hub costs one row per task), parents are jumped
-twice, and the edges are renamed to their ends' parents. A tree of hooks has no
-cycle since parents are smaller; the rounds end when no edge is left between
-different labels, after a number that grows with the logarithm of the largest
-component. Joins are on node labels and can be split where skewed. Each round is
+until all are roots (each jump halves a chain), and the edges are renamed to
+their ends' roots. A tree of hooks has no cycle since parents are smaller; the
+rounds end when no edge is left between different labels, after a number that
+grows with the logarithm of the largest component. A node is hooked in one round
+only, so it gets one label. Joins are on node labels and can be split where skewed. Each round is
 written to the shared folder, so that lost executors cost one round at most.
 """
 
@@ -38,9 +39,9 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     left = written(_between(edges), f"{name}-edges")
     while not left.isEmpty():
         parents = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
-        parents = written(_renamed(parents, "parent", parents), f"{name}-parents")
-        parents = _renamed(parents, "parent", parents)
         hooks = written(parents, f"{name}-hooks")
+        while not hooks.join(hooks.select(F.col("node").alias("_of")), F.col("parent") == F.col("_of"), "left_semi").isEmpty():
+            hooks = written(_renamed(hooks, "parent", hooks), f"{name}-hooks")
         if labels is None:
             labels = hooks.select("node", F.col("parent").alias("label"))
         else:
