@@ -37,7 +37,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    return sentencepiece_fst.decode(sentencepiece_fst.encode(docs, path), path).select("doc_id", "n_tokens", "ids", "ids_crc32", "text")
+    return sentencepiece_fst.round_trip(docs, path).select("doc_id", "n_tokens", "ids", "ids_crc32", "text")
 
 
 STAGES = [

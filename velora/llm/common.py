@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,6 +17,9 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A row whose id is null sorts and compares as this id.
 NULL_ID = -(2**63)
 
+#: Rows that are turned into Python objects at a time.
+SLICE = 1024
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table, read through Spark, so that any file system will do."""
@@ -76,12 +81,21 @@ def texts_utf8(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system; a Python worker lives on after a task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
-    """Arrow batches through fn; batches that give no rows are left out."""
+    """Arrow batches through fn, in slices of bounded size; slices that give no rows are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None:
-                yield out
+        for whole in batches:
+            for k in range(0, whole.num_rows, SLICE):
+                if (out := fn(whole.slice(k, SLICE))) is not None:
+                    yield out
+        release_memory()
 
     return df.mapInArrow(run, schema)

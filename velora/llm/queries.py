@@ -47,7 +47,7 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
-    back = sentencepiece_fst.decode(sentencepiece_fst.encode(table(spark, sf_dir, "documents"), path), path)
+    back = sentencepiece_fst.round_trip(table(spark, sf_dir, "documents"), path)
     return back.select("doc_id", "n_tokens", "ids_crc32", F.length("text").cast("long").alias("n_chars"), F.sha2("text", 256).alias("decoded_sha256"))
 
 

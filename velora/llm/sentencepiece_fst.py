@@ -43,7 +43,7 @@ from velora.llm.common import id_and_text, map_batches, texts_utf8
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Words and pairs that a worker remembers, and the longest word of these.
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 400_000, 2_000_000, 14
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 150_000, 500_000, 12
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -258,30 +258,41 @@ def model_of(path: str) -> Model:
     return _MODELS[path]
 
 
+def _list_array(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)])
+    ids = np.concatenate([np.empty(0, "<u4"), *found]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+
+
+def _decoded(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+    """doc_id, ids, n_tokens, ids_crc32, text of a batch of doc_id, ids."""
+    texts, sums, sizes = [], [], []
+    for value in batch.column(1):
+        ids = np.asarray(value.values.to_numpy(zero_copy_only=False), "<u4") if value.is_valid else np.empty(0, "<u4")
+        texts.append(model.decode(ids))
+        sums.append(zlib.crc32(ids.tobytes()))
+        sizes.append(len(ids))
+    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "ids_crc32", "text"])
+
+
+def _encoded(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
+    """doc_id, ids of a batch of doc_id, text."""
+    return pa.RecordBatch.from_arrays([batch.column(0), _list_array([model.encode(t.decode()) for t in texts_utf8(batch.column(1))])], ["doc_id", "ids"])
+
+
+DECODED = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, text string"
+
+
 def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, ids of every row."""
+    return map_batches(id_and_text(docs, id_col, text_col), lambda batch: _encoded(batch, model_of(model_path)), "doc_id long, ids array<int>")
 
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = model_of(model_path)
-        found = [model.encode(t.decode()) for t in texts_utf8(batch.column(1))]
-        ends = np.cumsum([0, *map(len, found)])
-        ids = np.concatenate([np.empty(0, "<u4"), *found]).astype(np.int32)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))], ["doc_id", "ids"])
 
-    return map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, ids array<int>")
+def decode(encoded: DataFrame, model_path: str) -> DataFrame:
+    """doc_id, ids, n_tokens, ids_crc32, text of rows of doc_id, ids: the text is decoded from the ids."""
+    return map_batches(encoded.select("doc_id", "ids"), lambda batch: _decoded(batch, model_of(model_path)), DECODED)
 
 
-def decode(encoded: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, ids, n_tokens, ids_crc32, text of rows of encode(): the text is decoded from the ids."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        model = model_of(model_path)
-        texts, sums, sizes = [], [], []
-        for value in batch.column(1):
-            ids = np.asarray(value.values.to_numpy(zero_copy_only=False), "<u4") if value.is_valid else np.empty(0, "<u4")
-            texts.append(model.decode(ids))
-            sums.append(zlib.crc32(ids.tobytes()))
-            sizes.append(len(ids))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64()), pa.array(texts, pa.string())], ["doc_id", "ids", "n_tokens", "ids_crc32", "text"])
-
-    return map_batches(encoded.select("doc_id", "ids"), run, "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, text string")
+def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one pass, so that a task needs one Python worker instead of two."""
+    return map_batches(id_and_text(docs, id_col, text_col), lambda batch: _decoded(_encoded(batch, model_of(model_path)), model_of(model_path)), DECODED)

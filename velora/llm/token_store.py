@@ -51,7 +51,7 @@ WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
 DIGEST = 16
 #: Distinct words and addresses that a task keeps; beyond that it starts anew, at a cost in time or payload only.
-CACHE_WORDS, CACHED_LENGTH, CACHE_ADDRESSES = 400_000, 12, 400_000
+CACHE_WORDS, CACHED_LENGTH, CACHE_ADDRESSES = 300_000, 12, 400_000
 #: The byte-level split pattern, fixed by the tokenizer; for letters below U+0250 this is its \p{L}, \p{N} form.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 #: Characters that the two forms, or their notions of white space, may class differently.
