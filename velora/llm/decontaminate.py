@@ -27,12 +27,14 @@ import hashlib
 import re
 from collections.abc import Iterable, Iterator
 from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from velora.llm.common import id_and_text, map_batches, texts_utf8
+from velora.llm.common import fresh_name, id_and_text, map_batches, texts_utf8
 
 WINDOW = 8
 #: A text's bytes: A-Z lower-cased, what is no word character made a space. Bytes from 128 on are word characters.
@@ -209,40 +211,51 @@ def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_items:
     """The documents with all their columns, decontaminated.
 
     Documents with min_items items or more go; of the others, the words that a
-    window hits are cut out of the text, and n_chars is brought up to date. A
-    benchmark of several blocks is cut block by block, each in the same scan.
+    window hits are cut out of the text, and n_chars is brought up to date where
+    that happens. Each block of the benchmark is a step in the same scan, which
+    hands on what it found in two columns; the last step decides.
     """
     spark = docs.sparkSession
-    sent = [spark.sparkContext.broadcast(b) for b in item_blocks(items, "item_id", "text", block_bytes)]
     names, at = docs.columns, docs.columns.index(text_col)
-    count_at = names.index(n_chars_col) if n_chars_col in names else None
-    held: dict[int, Index] = {}
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        texts: list[str | None] = []
-        keep: list[bool] = []
-        changed = False
-        for value in batch.column(at).cast(pa.large_binary()):
-            raw = value.as_py()
-            found: set[str] = set()
-            marks: bytearray | None = None
-            for k, block in enumerate(sent):
-                if k not in held:
-                    held.clear()
-                    held[k] = Index(block.value, window)
-                _, hit, items = held[k].scan(raw or b"")
-                found |= items
+    width, count_at = len(names), names.index(n_chars_col) if n_chars_col in names else None
+    found_col, marks_col = fresh_name(docs, "found"), fresh_name(docs, "marks")
+    blocks = item_blocks(items, "item_id", "text", block_bytes)
+    out = docs
+    for number, block in enumerate(blocks):
+        sent = spark.sparkContext.broadcast(block)
+        held: dict[str, Index] = {}
+        first, last = number == 0, number == len(blocks) - 1
+
+        def run(batch: pa.RecordBatch, sent=sent, held=held, first=first, last=last) -> pa.RecordBatch:
+            if "index" not in held:
+                held["index"] = Index(sent.value, window)
+            texts = [v.as_py() for v in batch.column(at).cast(pa.large_binary())]
+            known = [set() for _ in texts] if first else [set(x) for x in batch.column(width).to_pylist()]
+            marks = [None] * len(texts) if first else batch.column(width + 1).to_pylist()
+            for k, text in enumerate(texts):
+                _, hit, items = held["index"].scan(text or b"")
+                known[k] |= items
                 if hit:
-                    marks = hit if marks is None else bytearray(a | b for a, b in zip(marks, hit))
-            keep.append(len(found) < min_items)
-            cut = marks is not None and keep[-1]
-            changed |= cut
-            texts.append(None if raw is None else (without_words(raw, runs(marks)) if cut else raw).decode())
-        columns = list(batch.columns)
-        if changed:
-            columns[at] = pa.array(texts, batch.schema.field(at).type)
-            if count_at is not None:
-                columns[count_at] = pa.array([old if new is None else len(new) for new, old in zip(texts, columns[count_at].to_pylist())], batch.schema.field(count_at).type)
-        return pa.RecordBatch.from_arrays(columns, schema=batch.schema).filter(pa.array(keep))
-
-    return map_batches(docs, run, docs.schema)
+                    marks[k] = bytes(hit if marks[k] is None else map(or_, hit, marks[k]))
+            columns = list(batch.columns[:width])
+            fields = [batch.schema.field(k) for k in range(width)]
+            if not last:
+                columns += [pa.array(map(sorted, known), pa.list_(pa.string())), pa.array(marks, pa.binary())]
+                fields += [pa.field(found_col, pa.list_(pa.string())), pa.field(marks_col, pa.binary())]
+                return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+            keep = [len(x) < min_items for x in known]
+            cut = [k for k, m in enumerate(marks) if m is not None and keep[k]]
+            if cut:
+                for k in cut:
+                    texts[k] = without_words(texts[k], runs(marks[k]))
+                columns[at] = pa.array(texts, pa.binary()).cast(pa.string()).cast(fields[at].type)
+                if count_at is not None:
+                    sizes = columns[count_at].to_pylist()
+                    for k in cut:
+                        sizes[k] = len(texts[k].decode())
+                    columns[count_at] = pa.array(sizes, fields[count_at].type)
+            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)).filter(pa.array(keep))
+
+        schema = docs.schema if last else StructType(docs.schema.fields + [StructField(found_col, ArrayType(StringType())), StructField(marks_col, BinaryType())])
+        out = map_batches(out, run, schema)
+    return out
