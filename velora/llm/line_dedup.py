@@ -165,7 +165,8 @@ def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str =
     cut = written(cut, "line-cuts").withColumnRenamed("class", "cut_class")
 
     fates = classes.select(F.col("class").alias("of_class"), "rep", (F.aggregate("words", F.lit(0), lambda s, x: s + x) >= min_words).alias("long"))
-    fates = fates.join(cut, F.col("of_class") == F.col("cut_class"), "left").select("of_class", "rep", "long", "cut")
+    # written, so that both sides of the next join are plain exchanges and a class of very many copies can be split
+    fates = written(fates.join(cut, F.col("of_class") == F.col("cut_class"), "left").select("of_class", "rep", "long", "cut"), "line-fates")
     members = sketches.select("doc_id", "text_hash", "class")
     found = members.join(fates, F.col("class") == F.col("of_class")).select("doc_id", "text_hash", (F.col("long") & (F.col("doc_id") != F.col("rep"))).alias("whole"), "cut")
     return found.where("whole or cut is not null").dropDuplicates(["doc_id", "text_hash"])
