@@ -5,6 +5,7 @@ Register with ``register(spark)``; then ``spark.read.format(...).load(path)`` an
 
 ``vecbin``         .fbin, .u8bin, .ibin: u32 rows, u32 dim, values; columns vec_id, embedding
 ``vecs``           .fvecs, .bvecs, .ivecs: per row u32 dim, values
+``npy``            a two-dimensional NumPy file in C order; columns vec_id, embedding (read only)
 ``idmap``          u32 rows, u32 values; columns local_id, vec_id
 ``groundtruth``    u32 queries, u32 k, i32 ids; columns query_id, rank, neighbor_id
 ``fixedgraph``     fixed-degree graph with NumPy headers; columns src, pos, dst
@@ -144,6 +145,29 @@ class VecsReader(DataSourceReader):
             yield vectors_batch(partition.first, np.ascontiguousarray(rows[:, 4:]).view(self.kind), element_type(self.path, VECS_TYPES))
 
 
+class NpyReader(DataSourceReader):
+    """A C-ordered matrix; its values come out as floats."""
+
+    def __init__(self, path: str) -> None:
+        from numpy.lib import format as npy
+
+        head = io.BytesIO(read_at(path, 0, min(size_of(path), 4096)))
+        version = npy.read_magic(head)
+        shape, fortran, self.kind = (npy.read_array_header_1_0 if version == (1, 0) else npy.read_array_header_2_0)(head)
+        if len(shape) != 2 or fortran:
+            raise ValueError(f"{path} isn't a C-ordered matrix")
+        self.path, self.start, (self.rows, self.dim) = path, head.tell(), shape
+
+    def partitions(self) -> Sequence[Span]:
+        return spans(self.rows)
+
+    def read(self, partition: Span) -> Iterator[pa.RecordBatch]:
+        row = self.dim * self.kind.itemsize
+        data = read_at(self.path, self.start + partition.first * row, (partition.last - partition.first) * row)
+        if data:
+            yield vectors_batch(partition.first, np.frombuffer(data, self.kind).reshape(-1, self.dim), "<f4")
+
+
 class IdMapReader(DataSourceReader):
     def __init__(self, path: str) -> None:
         self.path = path
@@ -426,6 +450,13 @@ class Vecs(_Source):
         return VecsWriter(self.options["path"], overwrite)
 
 
+class Npy(_Source):
+    kind, columns = "npy", "vec_id long, embedding array<float>"
+
+    def reader(self, schema: StructType) -> DataSourceReader:
+        return NpyReader(self.options["path"])
+
+
 class IdMap(_Source):
     kind, columns = "idmap", "local_id long, vec_id long"
 
@@ -472,7 +503,7 @@ class LayeredGraph(_Source):
 
 def register(spark: SparkSession) -> None:
     """Make all formats known to a session."""
-    for source in (VecBin, Vecs, IdMap, GroundTruth, FixedGraph, VariableGraph, LayeredGraph):
+    for source in (VecBin, Vecs, Npy, IdMap, GroundTruth, FixedGraph, VariableGraph, LayeredGraph):
         spark.dataSource.register(source)
 
 
@@ -480,3 +511,22 @@ def save(df: DataFrame, format: str, path: str, **options: str | int) -> None:
     """Write a table in id order, range by range, in one of the formats."""
     key, within = {"idmap": ("local_id", ["local_id"]), "fixedgraph": ("src", ["src", "pos"]), "variablegraph": ("src", ["src", "pos"])}.get(format, ("vec_id", ["vec_id"]))
     df.repartitionByRange(key).sortWithinPartitions(*within).write.format(format).options(**options).mode("overwrite").save(path)
+
+
+def load_vectors(spark: SparkSession, path: str) -> DataFrame:
+    """vec_id, embedding of a file in any vector format, by its suffix, or of a Parquet table."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix in BIN_TYPES or suffix in VECS_TYPES or suffix == "npy":
+        register(spark)
+        return spark.read.format("vecbin" if suffix in BIN_TYPES else "npy" if suffix == "npy" else "vecs").load(path)
+    return spark.read.parquet(path)
+
+
+def save_vectors(df: DataFrame, path: str) -> None:
+    """The inverse of load_vectors(); converts between formats without holding a file."""
+    suffix = path.rstrip("/").rsplit(".", 1)[-1].lower()
+    if suffix in BIN_TYPES or suffix in VECS_TYPES:
+        register(df.sparkSession)
+        save(df, "vecbin" if suffix in BIN_TYPES else "vecs", path)
+    else:
+        df.write.mode("overwrite").parquet(path)
