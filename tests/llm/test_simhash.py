@@ -55,7 +55,7 @@ def test_components_of_nothing(spark):
 
 
 def linked(spark, fps, max_bits=3):
-    frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)),) for f in fps], "fp long").distinct()
+    frame = spark.createDataFrame([(int(np.uint64(f).astype(np.int64)), [int(np.uint64(f).astype(np.int64))]) for f in set(fps)], "fp long, code array<long>")
     edges = [(r.a, r.b) for r in simhash.links(frame, max_bits).collect()]
     signed = {int(np.uint64(f).astype(np.int64)) for f in fps}
     want = [(a, b) for a in signed for b in signed if a < b and (a % 2**64 ^ b % 2**64).bit_count() <= max_bits]

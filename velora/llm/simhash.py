@@ -73,6 +73,16 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return fingerprint_of(shingle_hashes(text, words))
 
 
+def code_of(hashes: np.ndarray, code_words: int) -> list[int]:
+    """A longer fingerprint: its first 64 bits are fingerprint_of(), the others vote on remixed hashes."""
+    out = [fingerprint_of(hashes)]
+    native = hashes.astype(np.uint64)
+    for k in range(1, code_words):
+        mixed = (native ^ (native >> np.uint64(31))) * np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 % 2**64)
+        out.append(fingerprint_of((mixed ^ (mixed >> np.uint64(32))).astype(">u8")) if len(hashes) else 0)
+    return out
+
+
 def anchors_of(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     """One hash (signed) for each band of the least shingles under some orders."""
     odd = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -84,20 +94,34 @@ def anchors_of(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
     return [int.from_bytes(xxhash.xxh64_digest(raw[8 * rows * k : 8 * rows * (k + 1)], k), "big", signed=True) for k in range(bands)]
 
 
-def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", anchors: tuple[int, int] | None = None) -> DataFrame:
-    """doc_id, text_hash, fp (the fingerprint as a signed long), anchors of every row, written to the shared folder."""
+def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text", anchors: tuple[int, int] | None = None, code_words: int = 1) -> DataFrame:
+    """doc_id, text_hash, fp, code, anchors of every row, written to the shared folder.
+
+    code holds the fingerprint's 64-bit words as signed longs; fp is its only word,
+    or a hash of several.
+    """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = np.empty(batch.num_rows, np.uint64)
+        codes = np.empty((batch.num_rows, code_words), np.uint64)
         near = []
         for k, text in enumerate(texts_utf8(batch.column(1))):
             hashes = shingle_hashes(text, words)
-            found[k] = fingerprint_of(hashes)
+            codes[k] = code_of(hashes, code_words)
             near.append(anchors_of(hashes, *anchors) if anchors and len(hashes) else [])
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(found.view(np.int64)), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "anchors"])
+        fp = codes[:, 0] if code_words == 1 else np.fromiter((xxhash.xxh64_intdigest(c.tobytes()) for c in codes), np.uint64, len(codes))
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(fp.view(np.int64)), _code_array(codes), pa.array(near, pa.list_(pa.int64()))], ["doc_id", "text_hash", "fp", "code", "anchors"])
 
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, anchors array<long>"), "fingerprints")
+    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, code array<long>, anchors array<long>"), "fingerprints")
+
+
+def _code_array(codes: np.ndarray) -> pa.Array:
+    n, width = codes.shape
+    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(codes).view(np.int64).ravel()))
+
+
+def _codes(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
 
 
 def _grids(max_bits: int) -> list[int]:
@@ -109,11 +133,12 @@ def _grids(max_bits: int) -> list[int]:
 
 
 def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
-    """fp, cell: a row for each grid."""
+    """fp, code, cell: a row for each grid over the code's first word."""
     grids = _grids(max_bits)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        fp = batch.column(0).to_numpy().view(np.uint64)
+        codes = _codes(batch.column(1))
+        fp = codes[:, 0]
         # the count of each two-bit segment, in place
         counts = (fp & np.uint64(0x5555555555555555)) + ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
         cells = []
@@ -122,9 +147,9 @@ def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
             c ^= c >> np.uint64(29)
             c *= np.uint64(0xBF58476D1CE4E5B9)
             cells.append(c ^ (c >> np.uint64(32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(fp.view(np.int64), len(grids))), pa.array(np.concatenate(cells).view(np.int64))], ["fp", "cell"])
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column(0).to_numpy(), len(grids))), _code_array(np.tile(codes, (len(grids), 1))), pa.array(np.concatenate(cells).view(np.int64))], ["fp", "code", "cell"])
 
-    return map_batches(fps.select("fp"), run, "fp long, cell long")
+    return map_batches(fps.select("fp", "code"), run, "fp long, code array<long>, cell long")
 
 
 def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -137,53 +162,51 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which pairs are within max_bits: the Manhattan bound first, then exactly."""
-    near = np.flatnonzero(_manhattan(a, b) <= max_bits)
-    return near[np.bitwise_count(a[near] ^ b[near]) <= max_bits]
+    """Which pairs of codes are within max_bits: the Manhattan bound of the first words first, then exactly."""
+    near = np.flatnonzero(_manhattan(a[:, 0], b[:, 0]) <= max_bits)
+    return near[np.bitwise_count(a[near] ^ b[near]).sum(1, dtype=np.int64) <= max_bits]
 
 
-def _flood(fp: np.ndarray, max_bits: int) -> np.ndarray:
-    """For each fingerprint of a large group, the smallest of its component."""
-    order = np.argsort(fp)
-    fp_sorted, out = fp[order], np.empty(len(fp), fp.dtype)
+def _flood(fp: np.ndarray, codes: np.ndarray, max_bits: int) -> np.ndarray:
+    """For each of a large group's distinct fingerprints, in ascending order, the smallest of its component."""
+    out = np.empty(len(fp), fp.dtype)
     rest = np.arange(len(fp))
     while len(rest):
-        root, front, rest = fp_sorted[rest[0]], rest[:1], rest[1:]
+        root, front, rest = fp[rest[0]], rest[:1], rest[1:]
         while len(front):
-            out[order[front]] = root
+            out[front] = root
             new = np.zeros(len(rest), bool)
             for f in front:
                 left = np.flatnonzero(~new)
-                new[left[_near(fp_sorted[rest[left]], np.full(len(left), fp_sorted[f]), max_bits)]] = True
+                new[left[_near(codes[rest[left]], np.broadcast_to(codes[f], (len(left), codes.shape[1])), max_bits)]] = True
             front, rest = rest[new], rest[~new]
     return out
 
 
-def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, smallest of its component in the group) of all groups [start, end)."""
     sizes = ends - starts
     a_out, b_out = [], []
     for s, e in zip(starts[sizes > 64].tolist(), ends[sizes > 64].tolist()):
-        group = np.unique(fp[s:e])
-        root = _flood(group, max_bits)
+        group, first = np.unique(fp[s:e], return_index=True)
+        root = _flood(group, codes[s:e][first], max_bits)
         a_out.append(group[group != root])
         b_out.append(root[group != root])
     small = (sizes > 1) & (sizes <= 64)
     starts, ends = starts[small], ends[small]
     stop = np.repeat(ends, ends - starts)
     at = np.concatenate([np.arange(s, e) for s, e in zip(starts, ends)]) if len(starts) else np.empty(0, np.int64)
-    label, links, step = np.arange(len(fp)), [], 1
+    pairs, step = [], 1
     while len(at):
         inside = at + step < stop
         at, stop = at[inside], stop[inside]
-        near = at[_near(fp[at], fp[at + step], max_bits)]
-        links.append((near, near + step))
+        near = at[_near(codes[at], codes[at + step], max_bits)]
+        pairs.append((near, near + step))
         step += 1
-    if links:
-        i, j = (np.concatenate(x) for x in zip(*links))
-        # labels by smallest fingerprint: positions ordered by value
-        rank = np.argsort(np.argsort(fp, kind="stable"), kind="stable")
-        label = rank.copy()
+    if pairs:
+        i, j = (np.concatenate(x) for x in zip(*pairs))
+        # the least label of linked rows spreads until nothing changes; labels are ranks by value
+        label = np.argsort(np.argsort(fp, kind="stable"), kind="stable")
         while len(i):
             least = np.minimum(label[i], label[j])
             before = label.copy()
@@ -200,43 +223,43 @@ def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int)
 
 
 def links(fps: DataFrame, max_bits: int = 3, grid_bits: int | None = None, more_cells: DataFrame | None = None) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints within max_bits; fewer than all pairs.
+    """Edges (a, b) that connect all distinct fingerprints (fp, code) within max_bits; fewer than all pairs.
 
     With grid_bits the grids are for that smaller distance, and fingerprints up to
     max_bits apart are connected where they meet in a grid's cell or in one of
-    more_cells(fp, cell).
+    more_cells(fp, code, cell).
     """
     cells = _cells(fps, max_bits if grid_bits is None else grid_bits)
     if more_cells is not None:
-        cells = cells.unionByName(more_cells.select("fp", "cell").distinct())
+        cells = cells.unionByName(more_cells.select("fp", "code", "cell").dropDuplicates(["fp", "cell"]))
     looked = cells.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0)
     crowded = looked.groupBy(F.col("cell").alias("full")).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS // LOOK).select("full", F.ceil(F.col("n") * 2 * LOOK / CELL_ROWS).cast("int").alias("blocks"))
     crowded = written(crowded, "crowded-cells")
     if crowded.isEmpty():
-        dealt = cells.withColumn("part", F.lit(0))
+        dealt = cells.select("fp", "cell", F.lit(0).alias("part"), "code")
     else:
         own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")).cast("int")
         pair = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
         parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
-        dealt = cells.join(crowded, cells.cell == crowded.full, "left").select("fp", "cell", F.explode(parts).alias("part"))
+        dealt = cells.join(crowded, cells.cell == crowded.full, "left").select("fp", "cell", F.explode(parts).alias("part"), "code")
     dealt = dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] | None = None
 
         def told(group: list[np.ndarray], last: bool) -> tuple[pa.RecordBatch | None, list[np.ndarray]]:
-            cell, part, fp = group
+            cell, part, fp, codes = group
             edge = np.flatnonzero((np.diff(cell) != 0) | (np.diff(part) != 0)) + 1
             starts, ends = np.append(0, edge), np.append(edge, len(cell))
             tail = len(cell) if last else int(starts[-1])
             if not last:
                 starts, ends = starts[:-1], ends[:-1]
-            a, b = _forest(fp, starts, ends, max_bits)
-            out = pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"]) if len(a) else None
+            a, b = _forest(fp, codes, starts, ends, max_bits)
+            out = pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]) if len(a) else None
             return out, [x[tail:] for x in group]
 
         for batch in batches:
-            new = [batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_numpy().view(np.uint64)]
+            new = [batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_numpy(), _codes(batch.column(3))]
             kept = new if kept is None else [np.concatenate(x) for x in zip(kept, new)]
             if len(kept[0]):
                 out, kept = told(kept, False)
@@ -253,11 +276,11 @@ def hex_of(fp: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def grouped(docs: DataFrame, *, words: int, max_bits: int, grid_bits: int | None = None, anchors: tuple[int, int] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def grouped(docs: DataFrame, *, words: int, max_bits: int, grid_bits: int | None = None, anchors: tuple[int, int] | None = None, code_words: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, fp, label (the same for a component's rows), component_id of every row."""
-    rows = fingerprints(docs, words, id_col, text_col, anchors)
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    more = rows.select("fp", F.explode("anchors").alias("cell")) if anchors else None
+    rows = fingerprints(docs, words, id_col, text_col, anchors, code_words)
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("code").alias("code")), "distinct-fingerprints")
+    more = rows.select("fp", "code", F.explode("anchors").alias("cell")) if anchors else None
     labels = components(links(fps, max_bits, grid_bits, more), "simhash").select(F.col("node").alias("fp"), "label")
     members = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     smallest = members.groupBy("label").agg(F.min("least").alias("component_id"))
@@ -270,11 +293,12 @@ def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_co
     return grouped(docs, words=words, max_bits=max_bits, id_col=id_col, text_col=text_col).select("doc_id", "fp", "component_id")
 
 
-def deduplicated(docs: DataFrame, *, words: int = 5, max_bits: int = 12, grid_bits: int = 3, anchors: tuple[int, int] | None = (16, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, *, words: int = 5, code_words: int = 4, max_bits: int = 50, grid_bits: int = 3, anchors: tuple[int, int] | None = (16, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, of which one of each near-duplicate group stays.
 
-    Two texts are near-duplicates if their fingerprints of word shingles agree in
-    at least 1 - max_bits / 64 of the bits (0.81). Pairs within grid_bits all
+    Two texts are near-duplicates if their fingerprints of word shingles, of 64
+    bits a code word, agree in at least 1 - max_bits / 256 of the bits (0.80). A
+    longer fingerprint spreads less around a pair's similarity. Pairs within grid_bits all
     meet in a grid. So wide a radius as max_bits no grid of a few counts can
     search, so that further pairs meet in a second set of cells: ``anchors``
     bands of the least shingles under so many orders, of which texts that share
@@ -282,7 +306,7 @@ def deduplicated(docs: DataFrame, *, words: int = 5, max_bits: int = 12, grid_bi
     The document with the smallest doc_id stays (null first; of equal ids that
     with the smaller text hash); of repeated rows one stays.
     """
-    rows = written(grouped(docs, words=words, max_bits=max_bits, grid_bits=grid_bits, anchors=anchors, id_col=id_col, text_col=text_col), "simhash-groups")
+    rows = written(grouped(docs, words=words, max_bits=max_bits, grid_bits=grid_bits, anchors=anchors, code_words=code_words, id_col=id_col, text_col=text_col), "simhash-groups")
     key = F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")
     stay = rows.groupBy("label").agg(F.min(F.struct(key, "text_hash")).alias("w")).select(F.col("w.id").alias("stay_id"), F.col("w.text_hash").alias("stay_hash"))
     repeats = rows.groupBy(key, "text_hash").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("text_hash", "repeat_hash")
