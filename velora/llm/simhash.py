@@ -283,7 +283,8 @@ def grouped(docs: DataFrame, *, words: int, max_bits: int, grid_bits: int | None
     more = rows.select("fp", "code", F.explode("anchors").alias("cell")) if anchors else None
     labels = components(links(fps, max_bits, grid_bits, more), "simhash").select(F.col("node").alias("fp"), "label")
     members = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    smallest = members.groupBy("label").agg(F.min("least").alias("component_id"))
+    # written, so that both sides of the next join are plain exchanges and a very large component can be split
+    smallest = written(members.groupBy("label").agg(F.min("least").alias("component_id")), "component-ids")
     of_fp = written(members.join(smallest, "label").select(F.col("fp").alias("known"), "label", "component_id"), "fingerprint-components")
     return rows.join(of_fp, rows.fp == of_fp.known, "left").select("doc_id", "text_hash", "fp", "label", "component_id")
 
