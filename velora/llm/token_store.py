@@ -45,7 +45,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from velora.llm.common import id_and_text, shared_folder, texts_utf8
+from velora.llm.common import id_and_text, release_memory, shared_folder, texts_utf8
 
 WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
@@ -186,12 +186,23 @@ def merkle_root(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def pack(ids: np.ndarray, wide: bool) -> bytes:
-    return zstandard.compress(ids.astype("<u4" if wide else "<u2").tobytes(), 3)
+class Packer:
+    """zstd with its working memory kept between chunks."""
 
+    def __init__(self, wide: bool = False) -> None:
+        self.kind = "<u4" if wide else "<u2"
+        self.compress = zstandard.ZstdCompressor(level=3).compress
+        self.decompress = zstandard.ZstdDecompressor().decompress
 
-def unpack(payload: bytes, n: int) -> np.ndarray:
-    raw = zstandard.decompress(payload)
+    def pack(self, ids: np.ndarray) -> bytes:
+        return self.compress(ids.astype(self.kind).tobytes())
+
+    def unpack(self, payload: bytes, n: int) -> np.ndarray:
+        return unpack(payload, n, self.decompress)
+
+
+def unpack(payload: bytes, n: int, decompress=zstandard.decompress) -> np.ndarray:
+    raw = decompress(payload)
     return np.frombuffer(raw, "<u2" if len(raw) == 2 * n else "<u4").astype("<u4")
 
 
@@ -222,28 +233,40 @@ def shifted_crc(crc: np.ndarray, behind: np.ndarray) -> np.ndarray:
 def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, order, n_tokens, addresses, lengths, fresh: payloads of addresses new to the task."""
 
+    def lists(parts: list[list], values: pa.Array) -> pa.ListArray:
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(tokenizer_path, end_id), set()
+        pack = Packer(encoder.wide).pack
         for whole in batches:
             for k in range(0, whole.num_rows, 128):
                 batch = whole.slice(k, 128)
-                rows = []
+                names, sizes, fresh, roots, totals = [], [], [], [], []
                 for ids in encoder.encode([t.decode() for t in texts_utf8(batch.column(1))]):
-                    names, sizes, fresh, last = [], [], [], 0
-                    for end in cuts(ids):
-                        chunk = ids[last:end]
-                        names.append(name := address(chunk))
-                        sizes.append(end - last)
+                    ends = cuts(ids)
+                    chunks = [ids[a:b] for a, b in zip([0, *ends], ends)]
+                    own = list(map(address, chunks))
+                    new = []
+                    for name, chunk in zip(own, chunks):
                         if name not in seen:
                             if len(seen) > CACHE_ADDRESSES:
                                 seen.clear()
                             seen.add(name)
-                            fresh.append({"address": name, "n": end - last, "payload": pack(chunk, encoder.wide)})
-                        last = end
-                    root = merkle_root(names)
-                    rows.append((int.from_bytes(root[:8], "big", signed=True), len(ids), names, sizes, root, fresh))
-                kinds = (pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.struct([("address", pa.binary()), ("n", pa.int32()), ("payload", pa.binary())])))
-                yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds))], ["doc_id", "tie", "n_tokens", "addresses", "lengths", "root", "fresh"])
+                            new.append((name, len(chunk), pack(chunk)))
+                    names.append(own)
+                    sizes.append(list(map(len, chunks)))
+                    fresh.append(new)
+                    roots.append(merkle_root(own))
+                    totals.append(len(ids))
+                flat = [x for new in fresh for x in new]
+                packs = pa.StructArray.from_arrays([pa.array([x[0] for x in flat], pa.binary()), pa.array([x[1] for x in flat], pa.int32()), pa.array([x[2] for x in flat], pa.binary())], ["address", "n", "payload"])
+                ties = pa.array([int.from_bytes(r[:8], "big", signed=True) for r in roots], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), ties, pa.array(totals, pa.int64()), lists(names, pa.array([x for own in names for x in own], pa.binary())), lists(sizes, pa.array([x for own in sizes for x in own], pa.int32())), pa.array(roots, pa.binary()), lists(fresh, packs)],
+                    ["doc_id", "tie", "n_tokens", "addresses", "lengths", "root", "fresh"],
+                )
+        release_memory()
 
     return docs.mapInArrow(run, "doc_id long, tie long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, fresh array<struct<address: binary, n: int, payload: binary>>")
 
@@ -299,6 +322,7 @@ def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
     """address, n, crc, sound of every stored chunk, from its payload."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = Packer().unpack
         for batch in batches:
             rows = []
             for name, n, payload in zip(batch.column(0), batch.column(1), batch.column(2)):
