@@ -15,7 +15,8 @@ where merging the two pieces' characters by rank gives back just these two
 pieces, and infinity elsewhere. Merges inside two neighbours never depend on
 pieces further away until one crosses a boundary, so a path is free of infinite
 weights if and only if it is the merge order's segmentation, and each prefix has
-exactly one such path: the shortest path is the model's encoding. A pair's weight
+exactly one such path: the shortest path is the model's encoding, and the first
+path of weight zero that a search meets is the shortest. A pair's weight
 is found by running both pieces' merges side by side and watching for a better
 merge across, and is remembered.
 
@@ -43,7 +44,9 @@ from velora.llm.common import id_and_text, map_batches, texts_utf8
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Words and pairs that a worker remembers, and the longest word of these.
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 150_000, 500_000, 12
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 300_000, 800_000, 12
+#: In place of a piece: before the first one, and a character that no piece has.
+NONE, FALLBACK = -2, -1
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 
 
@@ -107,8 +110,11 @@ class Model:
                 arcs = state[0]
             state[1] = i
         self.separable = not any(SPACE in p.lstrip(SPACE) for _, p, _ in usable)
+        # characters that some piece has next to each other; elsewhere a lattice falls apart too
+        self.joined = {p[k : k + 2] for _, p, _ in usable for k in range(len(p) - 1)}
         self.text_of = [b"" if t == CONTROL else bytes([int(p[3:5], 16)]) if t == BYTE else b" \xe2\x81\x87 " if t == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, t in self.pieces]
         self.words: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple[tuple, tuple] | None] = {}
 
@@ -162,56 +168,84 @@ class Model:
             else:
                 j += 1
 
-    def shortest_path(self, word: str) -> list[int]:
-        """The ids on the least path through a normalised word's lattice."""
-        n, start, pairs, bpe, score = len(word), self.start, self.pairs, self.bpe, self.score
-        none, fallback = -2, -1
-        cost = [np.inf] * (n + 1)
-        cost[0] = 0.0
-        ends, starts = [none] * (n + 1), [0] * (n + 1)
-        for i, c in enumerate(word):
-            so_far = cost[i]
-            if so_far == np.inf:
+    def _arcs(self, word: str, i: int) -> list[tuple[int, int]]:
+        """The lattice's arcs from a position: (piece, end), shorter ones first; FALLBACK where no piece has the character."""
+        out: list[tuple[int, int]] = []
+        state, j, n = self.start.get(word[i]), i, len(word)
+        if state is None or state[1] < 0:
+            out.append((FALLBACK, i + 1))
+        while state is not None:
+            j += 1
+            if state[1] >= 0:
+                out.append((state[1], j))
+            state = state[0].get(word[j]) if j < n else None
+        return out
+
+    def _fits(self, left: int, piece: int) -> bool:
+        """Whether the arc of a piece behind another (below zero: behind none) has weight zero."""
+        if piece < 0:
+            return True
+        if left < 0:
+            return self._history(piece) is not None
+        key = left << 20 | piece
+        fits = self.pairs.get(key)
+        if fits is None:
+            if len(self.pairs) > CACHE_PAIRS:
+                self.pairs.clear()
+            fits = self.pairs[key] = self._stays_apart(left, piece)
+        return fits
+
+    def _finite_path(self, word: str) -> list[tuple[int, int]]:
+        """The only path of finite weight, as (piece, end): depth first, longest arcs first, dead ends remembered."""
+        n, fits = len(word), self._fits
+        trail = [(NONE, 0)]
+        open_arcs = [self._arcs(word, 0)]
+        dead: set[tuple[int, int]] = set()
+        while True:
+            arcs = open_arcs[-1]
+            if not arcs:
+                dead.add(trail.pop())
+                open_arcs.pop()
                 continue
-            left, j, state = ends[i], i, start.get(c)
-            if state is None or state[1] < 0:
-                if so_far + self.unknown_weight < cost[i + 1]:
-                    cost[i + 1], ends[i + 1], starts[i + 1] = so_far + self.unknown_weight, fallback, i
-            while state is not None:
-                arcs, piece = state
-                j += 1
-                if piece >= 0:
-                    if not bpe:
-                        if so_far - score[piece] < cost[j]:
-                            cost[j], ends[j], starts[j] = so_far - score[piece], piece, i
-                    elif ends[j] == none:  # the path to a position is the only one of finite weight
-                        if left >= 0:
-                            key = left << 20 | piece
-                            fits = pairs.get(key)
-                            if fits is None:
-                                if len(pairs) > CACHE_PAIRS:
-                                    pairs.clear()
-                                fits = pairs[key] = self._stays_apart(left, piece)
-                        else:
-                            fits = self._history(piece) is not None
-                        if fits:
-                            cost[j], ends[j], starts[j] = so_far, piece, i
-                state = arcs.get(word[j]) if j < n else None
-            if bpe and ends[n] != none:
-                break
-        out: list[int] = []
-        j = n
+            step = arcs.pop()
+            if step in dead or not fits(trail[-1][0], step[0]):
+                continue
+            trail.append(step)
+            if step[1] == n:
+                return trail[1:]
+            open_arcs.append(self._arcs(word, step[1]))
+
+    def _least_path(self, word: str) -> list[tuple[int, int]]:
+        """The path of least weight, as (piece, end), by relaxing arcs in order of position."""
+        n, score = len(word), self.score
+        cost = [0.0] + [np.inf] * n
+        back: list[tuple[int, int]] = [(NONE, 0)] * (n + 1)
+        for i in range(n):
+            for piece, j in self._arcs(word, i):
+                weight = cost[i] + (self.unknown_weight if piece < 0 else -score[piece])
+                if weight < cost[j]:
+                    cost[j], back[j] = weight, (piece, i)
+        out, j = [], n
         while j:
-            i = starts[j]
-            if ends[j] >= 0:
-                out.append(ends[j])
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(word[i:j].encode()))
-            elif out[-1:] != [self.unknown]:  # unknown characters in a row are one piece
-                out.append(self.unknown)
+            piece, i = back[j]
+            out.append((piece, j))
             j = i
         return out[::-1]
 
+    def shortest_path(self, word: str) -> list[int]:
+        """The ids on the shortest path through a normalised word's lattice."""
+        out: list[int] = []
+        begin, last = 0, NONE
+        for piece, end in self._finite_path(word) if self.bpe else self._least_path(word):
+            if piece >= 0:
+                out.append(piece)
+            elif self.bytes:
+                out.extend(self.bytes[b] for b in word[begin:end].encode())
+            elif last != FALLBACK:  # unknown characters in a row are one piece
+                out.append(self.unknown)
+            begin, last = end, piece
+        return out
+
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, 32-bit."""
         if not text:
@@ -229,15 +263,33 @@ class Model:
         return np.frombuffer(b"".join(found), "<u4")
 
     def _word(self, key: str) -> bytes:
+        """The ids of a word without spaces, behind the space mark."""
         found = self.words.get(key)
         if found is None:
-            found = np.array(self.shortest_path(SPACE + key), "<u4").tobytes()
+            word, joined = SPACE + key, self.joined
+            # without byte fallback, unknown characters on both sides of a cut would be one piece
+            cuts = [k for k in range(1, len(word)) if word[k - 1 : k + 1] not in joined] if self.bytes else []
+            if cuts:
+                found = b"".join([self._part(word[a:b]) for a, b in zip([0, *cuts], [*cuts, len(word)])])
+            else:
+                found = self._part(word)
             if len(key) <= CACHED_LENGTH:
                 if len(self.words) > CACHE_WORDS:
                     self.words.clear()
                 self.words[key] = found
         return found
 
+    def _part(self, part: str) -> bytes:
+        """The ids of a part of a normalised word that no cut runs through."""
+        found = self.parts.get(part)
+        if found is None:
+            found = np.array(self.shortest_path(part), "<u4").tobytes()
+            if len(part) <= CACHED_LENGTH:
+                if len(self.parts) > CACHE_WORDS:
+                    self.parts.clear()
+                self.parts[part] = found
+        return found
+
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids: the inverse transducer."""
         size = len(self.text_of)
