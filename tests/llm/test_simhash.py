@@ -92,3 +92,70 @@ def test_defined_cases(spark):
     assert got == sorted([(5, 3), (3, 3), (None, 9), (9, 9), (9, 9), (2, 2), (None, None)], key=str)
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
     assert docs.select(simhash.hex_of(simhash.F.lit(-1).cast("long")).alias("h")).first().h == "f" * 16
+
+
+def replaced(text, spots, tag):
+    words = text.split()
+    for n, k in enumerate(spots):
+        words[k] = f"{tag}{n}"
+    return " ".join(words)
+
+
+def around_the_limit():
+    """Texts whose pairs share from some 0.6 to 0.95 of their shingles, short ones at exactly 0.8, and pairs that quote one passage."""
+    rng = random.Random(12)
+    texts = []
+    for k in range(40):
+        base = " ".join(f"w{k}x{rng.randrange(400)}" for _ in range(rng.choice([12, 60, 240])))
+        texts.append(base)
+        n = len(base.split())
+        for c in range(4):
+            texts.append(replaced(base, rng.sample(range(n), max(1, round(n * rng.uniform(0.01, 0.05)))), f"r{k}c{c}x"))
+    for k in range(10):
+        words = [f"e{k}x{n}" for n in range(13)]
+        # 9 shingles, of which the longer text has all: 8 of 10, 9 of 12 and 9 of 11 are shared
+        texts += [" ".join(words), " ".join(words[1:] + ["end"]), " ".join(words + ["a", "b", "c"]), " ".join(words + [f"q{k}", "z"])]
+    passage = " ".join(f"quoted{n}" for n in range(120))
+    texts += [f"{passage} " + " ".join(f"own{k}x{n}" for n in range(m)) for k, m in enumerate([25, 30, 40, 60, 12, 14])]
+    return texts
+
+
+def brute_shingles(text, words=5):
+    w = text.split()
+    return {tuple(w[k : k + words]) for k in range(len(w) - words + 1)} or {tuple(w)}
+
+
+def brute_groups(texts):
+    sets = [brute_shingles(t) for t in texts]
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i) if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])]
+    return pairs, brute_components(pairs, range(len(texts)))
+
+
+def found_groups(spark, texts, **how):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    steer = {"words": 5, "code_words": 4, "max_bits": 50, "grid_bits": 3, "anchors": (16, 5)} | how
+    rows = simhash.similar_groups(docs, **steer).collect()
+    least = {}
+    for r in rows:
+        least[r.label] = min(r.doc_id, least.get(r.label, r.doc_id))
+    return {r.doc_id: least[r.label] for r in rows}
+
+
+def test_groups_around_the_limit_match_brute_force(spark):
+    texts = around_the_limit()
+    pairs, want = brute_groups(texts)
+    assert len(pairs) > 60
+    assert found_groups(spark, texts) == want
+    kept = simhash.deduplicated(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+
+
+def test_pairs_are_found_without_bands_or_bits(spark, monkeypatch):
+    texts = around_the_limit()
+    want = brute_groups(texts)[1]
+    assert found_groups(spark, texts, max_bits=0, grid_bits=0, anchors=(1, 40)) == want
+    # crowded cells in parts, and frequent shingles last
+    monkeypatch.setattr(simhash, "CELL_ROWS", 4)
+    monkeypatch.setattr(simhash, "LOOK", 1)
+    monkeypatch.setattr(simhash, "HOT", 2)
+    assert found_groups(spark, texts, max_bits=0, grid_bits=0, anchors=(1, 40)) == want
