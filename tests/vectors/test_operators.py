@@ -181,6 +181,19 @@ def test_beam_search_refuses_and_falls_back(vectors):
     assert a == search.beam_search(queries, vectors, edges, seeds, 3, 4).select("neighbor_id").collect()
 
 
+def test_hierarchical_search_by_joins_equals_packed(spark, vectors):
+    queries = vectors.where("vec_id % 60 = 0").selectExpr("vec_id as query_id", "embedding")
+    layers = None
+    for layer, step in enumerate((1, 4, 16)):
+        own = knn.knn_graph(vectors.where(f"vec_id % {step} = 0"), 4).selectExpr(f"{layer} as layer", "src", "pos", "dst")
+        layers = own if layers is None else layers.unionByName(own)
+    layers = layers.cache()
+    seeds = sampling.start_points(queries, vectors.where("vec_id % 16 = 0"), 2, 3).cache()
+    rows = lambda size: sorted((r.query_id, r["rank"], r.neighbor_id, round(r.distance, 6), r.n_visited, r.n_distance) for r in search.hierarchical_search(queries, vectors, layers, seeds, 3, 4, packed_bytes=size).collect())
+    packed = rows(search.PACKED_BYTES)
+    assert packed and rows(10) == packed
+
+
 def test_start_points_are_distinct_and_whole_where_few(vectors):
     queries = vectors.where("vec_id < 5").selectExpr("vec_id as query_id", "embedding")
     got = sampling.start_points(queries, vectors, 40, 9)

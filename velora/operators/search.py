@@ -184,17 +184,18 @@ def sharded_search(queries: DataFrame, vectors: DataFrame, shard_edges: DataFram
 def hierarchical_search(queries: DataFrame, vectors: DataFrame, layers: DataFrame, seeds: DataFrame, k: int, width: int, *, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", packed_bytes: int = PACKED_BYTES) -> DataFrame:
     """As beam_search(), from the top layer down: a layer's pool seeds the layer below.
 
-    layers(layer, src, pos, dst) has every layer's edges in bottom ids. The same
-    bound holds; larger hierarchies are searched from their bottom layer alone.
+    layers(layer, src, pos, dst) has every layer's edges in bottom ids. Hierarchies
+    over packed_bytes are searched by joins, layer by layer (latency_us is null then).
     """
-    if packed_size(vectors, layers, vector) > packed_bytes:
-        return beam_search_joins(queries, vectors, layers.where("layer = 0"), seeds, k, width, query_id=query_id, id_col=id_col, vector=vector)
     top = layers.agg(F.max("layer")).first()[0] or 0
     graphs = []
     for layer in range(top, -1, -1):
         own = layers.where(F.col("layer") == layer)
         nodes = vectors.join(own.select(F.col("src").alias(id_col)).distinct(), id_col, "left_semi") if layer else vectors
-        graphs.append(pack(nodes, own, id_col, vector, packed_bytes))
+        graphs.append((nodes, own))
+    if packed_size(vectors, layers, vector) > packed_bytes:
+        return _layers_by_joins(queries, graphs, seeds, k, width, query_id=query_id, id_col=id_col, vector=vector)
+    graphs = [pack(nodes, own, id_col, vector, packed_bytes) for nodes, own in graphs]
     sent = queries.sparkSession.sparkContext.broadcast(graphs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -212,6 +213,19 @@ def hierarchical_search(queries: DataFrame, vectors: DataFrame, layers: DataFram
     return _with_seeds(queries, seeds, query_id, vector).mapInPandas(run, RESULT)
 
 
+def _layers_by_joins(queries: DataFrame, graphs: list[tuple[DataFrame, DataFrame]], seeds: DataFrame, k: int, width: int, *, query_id: str, id_col: str, vector: str) -> DataFrame:
+    """hierarchical_search() over (nodes, edges) of the layers, top first, by beam_search_joins()."""
+    spent = None
+    for nodes, edges in graphs:
+        pool = materialise(beam_search_joins(queries, nodes, edges, seeds, width, width, query_id=query_id, id_col=id_col, vector=vector), "layer-pool")
+        seeds = pool.select("query_id", F.col("neighbor_id").alias("vec_id"))
+        own = pool.where("rank = 1").select("query_id", "n_visited", "n_distance")
+        spent = own if spent is None else spent.unionByName(own)
+    total = spent.groupBy("query_id").agg(F.sum("n_visited").alias("n_visited"), F.sum("n_distance").alias("n_distance"))
+    found = pool.where(F.col("rank") <= k).drop("n_visited", "n_distance").join(total, "query_id")
+    return found.select("query_id", "rank", "neighbor_id", "distance", "n_visited", "n_distance", "latency_us")
+
+
 def recall_at_k(results: DataFrame, truth: DataFrame, k: int) -> DataFrame:
     """One row, recall in percent: the mean share of each query's first k true neighbours that were found.
 
