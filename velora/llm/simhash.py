@@ -54,6 +54,8 @@ CELL_ROWS, LOOK = 2048, 64
 SIMILAR = (4, 5)
 #: Shingles that more than so many texts of the sample have come last in the join's order, and how many of them at most.
 HOT, HOT_ROWS = 8, 1 << 16
+#: Counts of shingles that a set's sketch has.
+SKETCH = 128
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
@@ -131,6 +133,18 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both * whole >= (len(a) + len(b) - both) * part
 
 
+def sketch_of(shingles: np.ndarray) -> bytes:
+    """How many of the shingles fall to each of SKETCH numbers; sets differ in at least the sum of differences."""
+    return np.bincount((shingles >> np.uint64(32)) % np.uint64(SKETCH), minlength=SKETCH).astype(np.int32).tobytes()
+
+
+def may_be_similar(a: bytes, b: bytes) -> bool:
+    """False only for sketches of sets that differ in more shingles than similar ones can."""
+    part, whole = SIMILAR
+    x, y = np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.int32).astype(np.int64)
+    return int(np.abs(x - y).sum()) * (part + whole) <= int(x.sum() + y.sum()) * (whole - part)
+
+
 def hot_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) -> np.ndarray:
     """The most frequent shingles of a sample of the distinct texts, the most frequent one last."""
 
@@ -159,7 +173,7 @@ def prefix_of(shingles: np.ndarray, hot: np.ndarray, by_hash: np.ndarray) -> np.
 
 
 def shingle_rows(docs: DataFrame, words: int, code_words: int, anchors: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, code, anchors, size, prefix of every row, written to the shared folder.
+    """doc_id, text_hash, fp, code, anchors, size, prefix, sketch of every row, written to the shared folder.
 
     All are of the text's distinct shingles: fp is a hash of the whole set, code its
     fingerprint's 64-bit words as signed longs.
@@ -169,7 +183,7 @@ def shingle_rows(docs: DataFrame, words: int, code_words: int, anchors: tuple[in
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         codes = np.empty((batch.num_rows, code_words), np.uint64)
-        fp, sizes, near, first = [], [], [], []
+        fp, sizes, near, first, sketches = [], [], [], [], []
         for k, text in enumerate(texts_utf8(batch.column(1))):
             shingles = shingle_set(text, words)
             codes[k] = code_of(shingles.astype(">u8"), code_words)
@@ -177,13 +191,14 @@ def shingle_rows(docs: DataFrame, words: int, code_words: int, anchors: tuple[in
             sizes.append(len(shingles))
             near.append(anchors_of(shingles, *anchors) if len(shingles) else [])
             first.append(prefix_of(shingles, hot, by_hash))
+            sketches.append(sketch_of(shingles))
         ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
         prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
-        columns = [batch.column(0), batch.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), _code_array(codes), pa.array(near, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), prefix]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "code", "anchors", "size", "prefix"])
+        columns = [batch.column(0), batch.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), _code_array(codes), pa.array(near, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), prefix, pa.array(sketches, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "code", "anchors", "size", "prefix", "sketch"])
 
     texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, code array<long>, anchors array<long>, size int, prefix array<long>"), "shingle-rows")
+    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, code array<long>, anchors array<long>, size int, prefix array<long>, sketch binary"), "shingle-rows")
 
 
 def _code_array(codes: np.ndarray) -> pa.Array:
@@ -398,9 +413,19 @@ def sharing(sets: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Those of the pairs (a, b), once each, whose texts' whole shingle sets are similar.
 
-    fps(fp, least_id, least_hash) tells a document that has the set.
+    fps(fp, least_id, least_hash, sketch) tells a document that has the set. Pairs
+    whose sketches differ too much go before texts are fetched.
     """
-    pairs = written(pairs.distinct(), "candidate-pairs")
+    pairs = pairs.distinct()
+    for end in ("b", "a"):
+        pairs = pairs.join(fps.select(F.col("fp").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
+
+    def may(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        keep = [may_be_similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
+        out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+        return out if out.num_rows else None
+
+    pairs = written(map_batches(pairs.select("a", "b", "sketch_a", "sketch_b"), may, "a long, b long"), "candidate-pairs")
     nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = written(fps.join(nodes, F.col("fp") == F.col("node")).select("node", "least_id", "least_hash"), "candidate-nodes")
     texts = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("hash"), "text")
@@ -441,8 +466,8 @@ def similar_groups(docs: DataFrame, *, words: int, code_words: int, max_bits: in
     """doc_id, text_hash, label of every row; rows have one label if a chain of similar texts leads from one to the other."""
     rows = shingle_rows(docs, words, code_words, anchors, id_col, text_col)
     least = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("w")
-    fps = rows.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("code", "size", "prefix")))
-    fps = written(fps.select("fp", F.col("w.id").alias("least_id"), F.col("w.text_hash").alias("least_hash"), "code", "size", "prefix"), "distinct-sets")
+    fps = rows.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("code", "size", "prefix", "sketch")))
+    fps = written(fps.select("fp", F.col("w.id").alias("least_id"), F.col("w.text_hash").alias("least_hash"), "code", "size", "prefix", "sketch"), "distinct-sets")
     # what fingerprints find first only spares the join pairs inside groups that are known
     more = rows.select("fp", "code", F.explode("anchors").alias("cell"))
     first = verified(links(fps.select("fp", "code"), max_bits, grid_bits, more, direct=True), fps, docs, words, id_col, text_col)
