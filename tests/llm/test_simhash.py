@@ -159,3 +159,20 @@ def test_pairs_are_found_without_bands_or_bits(spark, monkeypatch):
     monkeypatch.setattr(simhash, "LOOK", 1)
     monkeypatch.setattr(simhash, "HOT", 2)
     assert found_groups(spark, texts, max_bits=0, grid_bits=0, anchors=(1, 40)) == want
+
+
+def test_texts_under_the_limit_stay_however_near_their_bits(spark):
+    rng = random.Random(21)
+    texts, near = [], 0
+    for k in range(30):
+        passage = [f"p{k}x{rng.randrange(10**6)}" for _ in range(180)]
+        pair = [" ".join(passage + [f"o{k}x{side}x{n}" for n in range(25)]) for side in (0, 1)]
+        one, other = (brute_shingles(t) for t in pair)
+        assert 0.7 < len(one & other) / len(one | other) < 0.8
+        codes, bands = zip(*((simhash.code_of(h, 4), set(simhash.anchors_of(h, 16, 5))) for h in (simhash.shingle_hashes(t.encode(), 5) for t in pair)))
+        near += sum((x ^ y).bit_count() for x, y in zip(*codes)) <= 50 and bool(bands[0] & bands[1])
+        texts += pair
+    # some of them are within the bits and share a band, which alone doesn't make them near-duplicates
+    assert near
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert simhash.deduplicated(docs).count() == len(texts)
