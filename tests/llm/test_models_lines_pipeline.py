@@ -5,7 +5,7 @@ import pytest
 
 import corpus_pipeline
 from velora.llm import line_dedup as ld
-from velora.llm import quality, simhash, toxicity
+from velora.llm import near_texts, quality, toxicity
 
 WORDS = "the house of river and stone was by green light in water under old trees with many small birds that sing all day".split()
 
@@ -179,11 +179,11 @@ def test_one_of_each_group_stays(spark):
             rows.append((1000 + 10 * k + c, " ".join(words)))
     rows += [(3, base[3]), (None, None), (None, ""), (5000, ""), (7, prose(rng, 200))]
     docs = spark.createDataFrame([(i, t, "x", i) for i, t in rows], "doc_id long, text string, label string, stay_id long")
-    kept = simhash.deduplicated(docs)
+    kept = near_texts.deduplicated(docs)
     assert kept.columns == docs.columns
     got = sorted((r.doc_id for r in kept.collect()), key=str)
     assert got == sorted([*range(25), 7, None], key=str)
-    assert simhash.deduplicated(docs.limit(0)).count() == 0
+    assert near_texts.deduplicated(docs.limit(0)).count() == 0
 
 
 def test_pipeline_over_a_small_corpus(spark, quality_tables, tmp_path):

@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +19,10 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: A row whose id is null sorts and compares as this id.
 NULL_ID = -(2**63)
 
-#: Rows that are turned into Python objects at a time.
-SLICE = 1024
+#: Rows, and bytes, that are turned into Python objects at a time; a longer row is a slice of its own.
+SLICE, SLICE_BYTES = 1024, 64 << 20
+#: Bits of the filter that marked() sends to the tasks.
+MARK_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,10 +39,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path in the folder that driver and executors share.
 
     The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset, as in tests on one machine, a temporary one is made and remembered.
+    unset and all runs in one process, as in tests, a temporary one is made and
+    remembered. A cluster must name its folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="velora-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/velora/{name}-{uuid.uuid4().hex}"
@@ -56,12 +63,40 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of tables that written() gave and nothing reads any more."""
+    for df in tables:
+        for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+            discard(df.sparkSession, folder)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder that is no longer read."""
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def marked(keys: DataFrame, column: Column) -> Column:
+    """True wherever the 64-bit value of column is a row of keys, and by chance elsewhere.
+
+    A bitmap of fixed size, put together by aggregation, is sent to the tasks, so
+    that most rows that a join would not match never reach its shuffle. The join
+    itself decides; the more keys, the less is spared.
+    """
+    key = keys.select(F.pmod(F.col(keys.columns[0]), F.lit(MARK_BITS)).cast("long").alias("k"))
+    words = key.groupBy(F.floor(F.col("k") / 64).cast("int").alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(k % 64 as int)))").alias("bits")).toArrow()
+    bitmap = np.zeros(MARK_BITS // 64, np.int64)
+    bitmap[words["word"].to_numpy()] = words["bits"].to_numpy()
+    sent = keys.sparkSession.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def has(values: pd.Series) -> pd.Series:
+        at = values.to_numpy() % MARK_BITS
+        return pd.Series((sent.value[at >> 6] >> (at & 63)) & 1 == 1)
+
+    return has(column)
+
+
 def id_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns that are used, under fixed names; so no other column can clash."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -88,13 +123,25 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of bounded rows and bytes."""
+    open_slices = [batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)][::-1]
+    while open_slices:
+        part = open_slices.pop()
+        if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
+            half = part.num_rows // 2
+            open_slices += [part.slice(half), part.slice(0, half)]
+        else:
+            yield part
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Arrow batches through fn, in slices of bounded size; slices that give no rows are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for k in range(0, whole.num_rows, SLICE):
-                if (out := fn(whole.slice(k, SLICE))) is not None:
+            for part in slices(whole):
+                if (out := fn(part)) is not None:
                     yield out
         release_memory()
 

@@ -6,8 +6,9 @@ until all are roots (each jump halves a chain), and the edges are renamed to
 their ends' roots. A tree of hooks has no cycle since parents are smaller; the
 rounds end when no edge is left between different labels, after a number that
 grows with the logarithm of the largest component. A node is hooked in one round
-only, so it gets one label. Joins are on node labels and can be split where skewed. Each round is
-written to the shared folder, so that lost executors cost one round at most.
+only, so it gets one label. Joins are on node labels and can be split where skewed.
+Each round is written to the shared folder, so that lost executors cost one round at
+most, and removed when the next one stands.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.common import written
+from velora.llm.common import release, written
 
 
 def _renamed(df: DataFrame, col: str, parents: DataFrame) -> DataFrame:
@@ -41,15 +42,18 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         parents = left.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("parent"))
         hooks = written(parents, f"{name}-hooks")
         while not hooks.join(hooks.select(F.col("node").alias("_of")), F.col("parent") == F.col("_of"), "left_semi").isEmpty():
-            hooks = written(_renamed(hooks, "parent", hooks), f"{name}-hooks")
+            hooks, old = written(_renamed(hooks, "parent", hooks), f"{name}-hooks"), hooks
+            release(old)
         if labels is None:
-            labels = hooks.select("node", F.col("parent").alias("label"))
+            labels = written(hooks.select("node", F.col("parent").alias("label")), f"{name}-labels")
         else:
             # nodes that were roots so far are new in hooks
             moved = _renamed(labels.select("node", F.col("label").alias("x")), "x", hooks).select("node", F.col("x").alias("label"))
-            labels = moved.unionByName(hooks.select("node", F.col("parent").alias("label")))
-        labels = written(labels, f"{name}-labels")
-        left = written(_between(_renamed(_renamed(left, "a", hooks), "b", hooks)), f"{name}-edges")
+            labels, old = written(moved.unionByName(hooks.select("node", F.col("parent").alias("label"))), f"{name}-labels"), labels
+            release(old)
+        left, old = written(_between(_renamed(_renamed(left, "a", hooks), "b", hooks)), f"{name}-edges"), left
+        release(old, hooks)
+    release(left)
     if labels is None:
         labels = edges.select(F.col("a").alias("node"), F.col("b").alias("label")).where("false")
     return labels

@@ -19,13 +19,9 @@ without bound. Components come from hooking and pointer jumping on the edges.
 Texts are read once, and what is shuffled is some 20 x 16 bytes for each distinct
 fingerprint.
 
-The pipeline's stage, deduplicated(), is about similarity and not about bits: two
-texts are near-duplicates if they share 0.8 (SIMILAR) or more of their distinct
-shingles. Longer fingerprints and bands of least shingles only find pairs first,
-so that large groups are known early. Then a prefix-filtered join over shingles
-finds every pair that can be as similar and isn't in one group yet. All pairs of
-either search are checked by their texts' whole shingle sets before groups are
-formed.
+A cell of three groups is one of some 2**24, so that cells stay small up to about
+10**9 distinct fingerprints (60 to a cell and grid); beyond that, meet=4 (35 grids,
+2**27 cells) or 5 (56 grids, 2**30) buys smaller cells for more rows.
 
 Defined results: null or empty text, or one without words: fingerprint zero,
 linked like any other. A null doc_id is the smallest id of its component only if
@@ -43,19 +39,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.common import NULL_ID, UPPER, fresh_name, id_and_text, map_batches, texts_utf8, written
+from velora.llm.common import UPPER, id_and_text, map_batches, release, texts_utf8, written
 from velora.llm.components import components
 
 SEED = 42
 SEGMENTS, SEGMENT_BITS = 32, 2
 #: Fingerprints of a cell that one group holds; and the share of fingerprints looked at to find larger cells.
 CELL_ROWS, LOOK = 2048, 64
-#: Texts are near-duplicates if they share this part of all their distinct shingles, as a fraction.
-SIMILAR = (4, 5)
-#: Shingles that more than so many texts of the sample have come last in the join's order, and how many of them at most.
-HOT, HOT_ROWS = 8, 1 << 16
-#: Counts of shingles that a set's sketch has.
-SKETCH = 128
 _LOWER = bytes.maketrans(UPPER.encode(), UPPER.lower().encode())
 
 
@@ -87,144 +77,30 @@ def fingerprint(text: bytes, words: int = 3) -> int:
     return fingerprint_of(shingle_hashes(text, words))
 
 
-def code_of(hashes: np.ndarray, code_words: int) -> list[int]:
-    """A longer fingerprint: its first 64 bits are fingerprint_of(), the others vote on remixed hashes."""
-    out = [fingerprint_of(hashes)]
-    native = hashes.astype(np.uint64)
-    for k in range(1, code_words):
-        mixed = (native ^ (native >> np.uint64(31))) * np.uint64((2 * k + 1) * 0xD6E8FEB86659FD93 % 2**64)
-        out.append(fingerprint_of((mixed ^ (mixed >> np.uint64(32))).astype(">u8")) if len(hashes) else 0)
-    return out
-
-
-def anchors_of(hashes: np.ndarray, bands: int, rows: int) -> list[int]:
-    """One hash (signed) for each band of the least shingles under some orders."""
-    odd = (np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    least = np.full(bands * rows, np.iinfo(np.uint64).max)
-    native = hashes.astype(np.uint64)
-    for k in range(0, len(native), 4096):
-        least = np.minimum(least, (native[None, k : k + 4096] * odd[:, None]).min(1))
-    raw = least.tobytes()
-    return [int.from_bytes(xxhash.xxh64_digest(raw[8 * rows * k : 8 * rows * (k + 1)], k), "big", signed=True) for k in range(bands)]
-
-
 def fingerprints(docs: DataFrame, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, code of every row, written to the shared folder; code holds fp alone."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = np.fromiter((fingerprint(text, words) for text in texts_utf8(batch.column(1))), np.uint64, batch.num_rows)[:, None]
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(codes[:, 0].view(np.int64)), _code_array(codes)], ["doc_id", "text_hash", "fp", "code"])
-
-    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, code array<long>"), "fingerprints")
-
-
-def shingle_set(text: bytes, words: int) -> np.ndarray:
-    """The distinct shingle hashes of a text, ascending."""
-    return np.unique(shingle_hashes(text, words).astype(np.uint64))
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Whether two sets share SIMILAR of their members or more."""
-    part, whole = SIMILAR
-    if min(len(a), len(b)) * whole < max(len(a), len(b)) * part:
-        return False
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both * whole >= (len(a) + len(b) - both) * part
-
-
-def sketch_of(shingles: np.ndarray) -> bytes:
-    """How many of the shingles fall to each of SKETCH numbers; sets differ in at least the sum of differences."""
-    return np.bincount((shingles >> np.uint64(32)) % np.uint64(SKETCH), minlength=SKETCH).astype(np.int32).tobytes()
-
-
-def may_be_similar(a: bytes, b: bytes) -> bool:
-    """False only for sketches of sets that differ in more shingles than similar ones can."""
-    part, whole = SIMILAR
-    x, y = np.frombuffer(a, np.int32).astype(np.int64), np.frombuffer(b, np.int32).astype(np.int64)
-    return int(np.abs(x - y).sum()) * (part + whole) <= int(x.sum() + y.sum()) * (whole - part)
-
-
-def hot_shingles(docs: DataFrame, words: int, id_col: str, text_col: str) -> np.ndarray:
-    """The most frequent shingles of a sample of the distinct texts, the most frequent one last."""
+    """doc_id, fp of every row, written to the shared folder."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        sets = [shingle_set(text, words) for text in texts_utf8(batch.column(0))]
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(sets).view(np.int64))], ["shingle"])
-
-    sample = id_and_text(docs, id_col, text_col).select("text").where(F.pmod(F.xxhash64("text"), F.lit(LOOK)) == 0).dropDuplicates()
-    counts = map_batches(sample, run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    found = [r.shingle for r in counts.orderBy(F.desc("n"), "shingle").limit(HOT_ROWS).collect()]
-    return np.array(found[::-1], np.int64).view(np.uint64)
-
+        found = np.fromiter((fingerprint(text, words) for text in texts_utf8(batch.column(1))), np.uint64, batch.num_rows)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], ["doc_id", "fp"])
 
-def prefix_of(shingles: np.ndarray, hot: np.ndarray, by_hash: np.ndarray) -> np.ndarray:
-    """The first of a text's shingles in the join's order: by hash, and those in hot last, in hot's order.
-
-    Two similar texts have one of these in common. by_hash is np.argsort(hot).
-    """
-    part, whole = SIMILAR
-    keep = len(shingles) - -(-len(shingles) * part // whole) + 1 if len(shingles) else 0
-    if len(hot):
-        at = by_hash[np.minimum(np.searchsorted(hot, shingles, sorter=by_hash), len(hot) - 1)]
-        last = hot[at] == shingles
-        shingles = np.concatenate([shingles[~last], hot[np.sort(at[last])]])
-    return shingles[:keep]
+    return written(map_batches(id_and_text(docs, id_col, text_col), run, "doc_id long, fp long"), "fingerprints")
 
 
-def shingle_rows(docs: DataFrame, words: int, code_words: int, anchors: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, fp, code, anchors, size, prefix, sketch of every row, written to the shared folder.
-
-    All are of the text's distinct shingles: fp is a hash of the whole set, code its
-    fingerprint's 64-bit words as signed longs.
-    """
-    hot = hot_shingles(docs, words, id_col, text_col)
-    by_hash = np.argsort(hot)
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = np.empty((batch.num_rows, code_words), np.uint64)
-        fp, sizes, near, first, sketches = [], [], [], [], []
-        for k, text in enumerate(texts_utf8(batch.column(1))):
-            shingles = shingle_set(text, words)
-            codes[k] = code_of(shingles.astype(">u8"), code_words)
-            fp.append(xxhash.xxh64_intdigest(shingles.tobytes()))
-            sizes.append(len(shingles))
-            near.append(anchors_of(shingles, *anchors) if len(shingles) else [])
-            first.append(prefix_of(shingles, hot, by_hash))
-            sketches.append(sketch_of(shingles))
-        ends = np.cumsum([0, *map(len, first)]).astype(np.int32)
-        prefix = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(first).view(np.int64)))
-        columns = [batch.column(0), batch.column(2), pa.array(np.array(fp, np.uint64).view(np.int64)), _code_array(codes), pa.array(near, pa.list_(pa.int64())), pa.array(sizes, pa.int32()), prefix, pa.array(sketches, pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, ["doc_id", "text_hash", "fp", "code", "anchors", "size", "prefix", "sketch"])
-
-    texts = id_and_text(docs, id_col, text_col).withColumn("text_hash", F.xxhash64("text"))
-    return written(map_batches(texts, run, "doc_id long, text_hash long, fp long, code array<long>, anchors array<long>, size int, prefix array<long>, sketch binary"), "shingle-rows")
-
-
-def _code_array(codes: np.ndarray) -> pa.Array:
-    n, width = codes.shape
-    return pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * width), pa.array(np.ascontiguousarray(codes).view(np.int64).ravel()))
-
-
-def _codes(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().view(np.uint64).reshape(len(column), -1)
-
-
-def _grids(max_bits: int) -> list[int]:
-    """A mask of the bits that each grid spans."""
-    groups = max_bits + 3
+def _grids(max_bits: int, meet: int) -> list[int]:
+    """A mask of the bits that each grid spans: meet of max_bits + meet groups of segments."""
+    groups = max_bits + meet
     edges = [round(k * SEGMENTS / groups) for k in range(groups + 1)]
     masks = [sum(((1 << SEGMENT_BITS) - 1) << (SEGMENT_BITS * s) for s in range(a, b)) for a, b in zip(edges, edges[1:])]
-    return [sum(c) for c in combinations(masks, 3)]
+    return [sum(c) for c in combinations(masks, meet)]
 
 
-def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
-    """fp, code, cell: a row for each grid over the code's first word."""
-    grids = _grids(max_bits)
+def _cells(fps: DataFrame, max_bits: int, meet: int) -> DataFrame:
+    """fp, cell: a row for each grid."""
+    grids = _grids(max_bits, meet)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        codes = _codes(batch.column(1))
-        fp = codes[:, 0]
+        fp = batch.column(0).to_numpy().view(np.uint64)
         # the count of each two-bit segment, in place
         counts = (fp & np.uint64(0x5555555555555555)) + ((fp >> np.uint64(1)) & np.uint64(0x5555555555555555))
         cells = []
@@ -233,9 +109,9 @@ def _cells(fps: DataFrame, max_bits: int) -> DataFrame:
             c ^= c >> np.uint64(29)
             c *= np.uint64(0xBF58476D1CE4E5B9)
             cells.append(c ^ (c >> np.uint64(32)))
-        return pa.RecordBatch.from_arrays([pa.array(np.tile(batch.column(0).to_numpy(), len(grids))), _code_array(np.tile(codes, (len(grids), 1))), pa.array(np.concatenate(cells).view(np.int64))], ["fp", "code", "cell"])
+        return pa.RecordBatch.from_arrays([pa.array(np.tile(fp.view(np.int64), len(grids))), pa.array(np.concatenate(cells).view(np.int64))], ["fp", "cell"])
 
-    return map_batches(fps.select("fp", "code"), run, "fp long, code array<long>, cell long")
+    return map_batches(fps.select("fp"), run, "fp long, cell long")
 
 
 def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -248,17 +124,17 @@ def _manhattan(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _near(a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which pairs of codes are within max_bits: the Manhattan bound of the first words first, then exactly."""
-    near = np.flatnonzero(_manhattan(a[:, 0], b[:, 0]) <= max_bits)
-    return near[np.bitwise_count(a[near] ^ b[near]).sum(1, dtype=np.int64) <= max_bits]
+    """Which pairs of fingerprints are within max_bits: the Manhattan bound first, then exactly."""
+    near = np.flatnonzero(_manhattan(a, b) <= max_bits)
+    return near[np.bitwise_count(a[near] ^ b[near]) <= max_bits]
 
 
-def _flood(fp: np.ndarray, codes: np.ndarray, max_bits: int, direct: bool = False) -> np.ndarray:
-    """For each of a large group's distinct fingerprints, in ascending order, the smallest of its component.
+def _flood(fp: np.ndarray, max_bits: int, direct: bool = False) -> np.ndarray:
+    """For each of a large group's distinct fingerprints, in ascending order (signed), the smallest of its component.
 
     If direct, the one within max_bits from which it was reached, instead.
     """
-    out = fp.copy()
+    out, bits = fp.copy(), fp.view(np.uint64)
     rest = np.arange(len(fp))
     while len(rest):
         root, front, rest = fp[rest[0]], rest[:1], rest[1:]
@@ -268,7 +144,7 @@ def _flood(fp: np.ndarray, codes: np.ndarray, max_bits: int, direct: bool = Fals
             new = np.zeros(len(rest), bool)
             for f in front:
                 left = np.flatnonzero(~new)
-                reached = left[_near(codes[rest[left]], np.broadcast_to(codes[f], (len(left), codes.shape[1])), max_bits)]
+                reached = left[_near(bits[rest[left]], np.broadcast_to(bits[f], len(left)), max_bits)]
                 new[reached] = True
                 if direct:
                     out[rest[reached]] = fp[f]
@@ -276,16 +152,16 @@ def _flood(fp: np.ndarray, codes: np.ndarray, max_bits: int, direct: bool = Fals
     return out
 
 
-def _forest(fp: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def _forest(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray, max_bits: int, direct: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Edges (fingerprint, smallest of its component in the group) of all groups [start, end).
 
     If direct, both ends of every edge are within max_bits.
     """
-    sizes = ends - starts
+    sizes, bits = ends - starts, fp.view(np.uint64)
     a_out, b_out = [], []
     for s, e in zip(starts[sizes > 64].tolist(), ends[sizes > 64].tolist()):
-        group, first = np.unique(fp[s:e], return_index=True)
-        root = _flood(group, codes[s:e][first], max_bits, direct)
+        group = np.unique(fp[s:e])
+        root = _flood(group, max_bits, direct)
         a_out.append(group[group != root])
         b_out.append(root[group != root])
     small = (sizes > 1) & (sizes <= 64)
@@ -296,7 +172,7 @@ def _forest(fp: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndar
     while len(at):
         inside = at + step < stop
         at, stop = at[inside], stop[inside]
-        near = at[_near(codes[at], codes[at + step], max_bits)]
+        near = at[_near(bits[at], bits[at + step], max_bits)]
         pairs.append((near, near + step))
         step += 1
     if pairs:
@@ -323,23 +199,22 @@ def _forest(fp: np.ndarray, codes: np.ndarray, starts: np.ndarray, ends: np.ndar
     return np.concatenate([none, *a_out]), np.concatenate([none, *b_out])
 
 
-def _dealt(cells: DataFrame, then: list[str]) -> DataFrame:
-    """The cells' rows (fp, cell, more) by groups (cell, part), sorted by these and then; a crowded cell has several parts."""
+def _dealt(cells: DataFrame) -> DataFrame:
+    """The cells' rows (fp, cell) by groups (cell, part), sorted by these; a crowded cell has several parts."""
     looked = cells.where(F.pmod(F.xxhash64("fp"), F.lit(LOOK)) == 0)
     crowded = looked.groupBy(F.col("cell").alias("full")).agg(F.count("*").alias("n")).where(F.col("n") > CELL_ROWS // LOOK).select("full", F.ceil(F.col("n") * 2 * LOOK / CELL_ROWS).cast("int").alias("blocks"))
     crowded = written(crowded, "crowded-cells")
-    more = [c for c in cells.columns if c not in ("fp", "cell")]
     if crowded.isEmpty():
-        dealt = cells.select("fp", "cell", F.lit(0).alias("part"), *more)
+        dealt = cells.select("fp", "cell", F.lit(0).alias("part"))
     else:
         own = F.pmod(F.xxhash64(F.lit(7), "fp"), F.col("blocks")).cast("int")
         pair = lambda other: F.least(own, other) * F.col("blocks") + F.greatest(own, other)
         parts = F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), pair))
-        dealt = cells.join(crowded, cells.cell == crowded.full, "left").select("fp", "cell", F.explode(parts).alias("part"), *more)
-    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part", *then)
+        dealt = cells.join(crowded, cells.cell == crowded.full, "left").select("fp", "cell", F.explode(parts).alias("part"))
+    return dealt.repartition("cell", "part").sortWithinPartitions("cell", "part")
 
 
-def _by_groups(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
+def by_groups(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBatch], list[np.ndarray]]) -> Iterator[tuple[list[np.ndarray], np.ndarray, np.ndarray]]:
     """Columns (cell, part first) of whole groups, with the groups' starts and ends."""
     kept: list[np.ndarray] | None = None
     for batch in chain(batches, [None]):
@@ -358,91 +233,21 @@ def _by_groups(batches: Iterator[pa.RecordBatch], columns: Callable[[pa.RecordBa
         kept = [x[tail:] for x in kept]
 
 
-def links(fps: DataFrame, max_bits: int = 3, grid_bits: int | None = None, more_cells: DataFrame | None = None, direct: bool = False) -> DataFrame:
-    """Edges (a, b) that connect all distinct fingerprints (fp, code) within max_bits; fewer than all pairs.
+def links(fps: DataFrame, max_bits: int = 3, *, meet: int = 3, direct: bool = False) -> DataFrame:
+    """Edges (a, b) that connect all distinct fingerprints (fp) within max_bits; fewer than all pairs.
 
-    With grid_bits the grids are for that smaller distance, and fingerprints up to
-    max_bits apart are connected where they meet in a grid's cell or in one of
-    more_cells(fp, code, cell). If direct, both ends of every edge are within
-    max_bits, and not just connected.
+    meet is the number of groups that a grid's cell spans. If direct, both ends of
+    every edge are within max_bits, and not just connected.
     """
-    cells = _cells(fps, max_bits if grid_bits is None else grid_bits)
-    if more_cells is not None:
-        cells = cells.unionByName(more_cells.select("fp", "code", "cell").dropDuplicates(["fp", "cell"]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = lambda batch: [batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_numpy(), _codes(batch.column(3))]
-        for (_, _, fp, codes), starts, ends in _by_groups(batches, columns):
-            a, b = _forest(fp, codes, starts, ends, max_bits, direct)
+        columns = lambda batch: [batch.column(1).to_numpy(), batch.column(2).to_numpy(), batch.column(0).to_numpy()]
+        for (_, _, fp), starts, ends in by_groups(batches, columns):
+            a, b = _forest(fp, starts, ends, max_bits, direct)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
-    return _dealt(cells, []).mapInArrow(run, "a long, b long")
-
-
-def sharing(sets: DataFrame) -> DataFrame:
-    """Pairs (a, b), with repeats, of all sets (fp, label, size, prefix) with different labels that can be similar.
-
-    The first shingle in order that two sets have in common is followed by all the
-    others, so that similar sets share one which in both is followed by enough. Where
-    it stands and the sizes tell; other pairs are left out.
-    """
-    part, whole = SIMILAR
-    cells = sets.select("fp", "label", "size", F.posexplode("prefix").alias("pos", "cell"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns = lambda batch: [batch.column(k).to_numpy() for k in (1, 2, 0, 3, 4, 5)]
-        for (_, _, fp, label, size, pos), starts, ends in _by_groups(batches, columns):
-            size, pos = size.astype(np.int64), pos.astype(np.int64)
-            stop, at, step = np.repeat(ends, ends - starts), np.arange(len(fp)), 1
-            while len(at):
-                at = at[at + step < stop[at]]
-                # a group is sorted by size, so that the next but one is too large where the next is
-                at = at[size[at] * whole >= size[at + step] * part]
-                other = at + step
-                need = -(-(size[at] + size[other]) * part // (part + whole))
-                good = (label[at] != label[other]) & (pos[at] <= size[at] - need) & (pos[other] <= size[other] - need)
-                if good.any():
-                    a, b = fp[at[good]], fp[other[good]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
-                step += 1
-
-    return _dealt(cells, ["size"]).mapInArrow(run, "a long, b long")
-
-
-def verified(pairs: DataFrame, fps: DataFrame, docs: DataFrame, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Those of the pairs (a, b), once each, whose texts' whole shingle sets are similar.
-
-    fps(fp, least_id, least_hash, sketch) tells a document that has the set. Pairs
-    whose sketches differ too much go before texts are fetched.
-    """
-    pairs = pairs.distinct()
-    for end in ("b", "a"):
-        pairs = pairs.join(fps.select(F.col("fp").alias(end), F.col("sketch").alias(f"sketch_{end}")), end)
-
-    def may(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep = [may_be_similar(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-        out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        return out if out.num_rows else None
-
-    pairs = written(map_batches(pairs.select("a", "b", "sketch_a", "sketch_b"), may, "a long, b long"), "candidate-pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = written(fps.join(nodes, F.col("fp") == F.col("node")).select("node", "least_id", "least_hash"), "candidate-nodes")
-    texts = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), F.xxhash64("text").alias("hash"), "text")
-    texts = texts.join(wanted, (F.col("id") == F.col("least_id")) & (F.col("hash") == F.col("least_hash"))).select("node", "text")
-    texts = written(texts.dropDuplicates(["node"]), "candidate-texts")
-    both = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").select("a", "b", "text_a", "text_b")
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        keep, last, mine = [], None, None
-        for a, one, other in zip(batch.column(0).to_pylist(), texts_utf8(batch.column(2)), texts_utf8(batch.column(3))):
-            if a != last:
-                last, mine = a, shingle_set(one, words)
-            keep.append(similar(mine, shingle_set(other, words)))
-        out = batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-        return out if out.num_rows else None
-
-    return written(map_batches(both, run, "a long, b long"), "similar-pairs")
+    return _dealt(_cells(fps, max_bits, meet)).mapInArrow(run, "a long, b long")
 
 
 def hex_of(fp: Column | str) -> Column:
@@ -450,55 +255,14 @@ def hex_of(fp: Column | str) -> Column:
     return F.lpad(F.lower(F.hex(fp)), 16, "0")
 
 
-def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, words: int = 3, max_bits: int = 3, meet: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fp, component_id of every row: the smallest doc_id that links lead to."""
     rows = fingerprints(docs, words, id_col, text_col)
-    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("code").alias("code")), "distinct-fingerprints")
-    labels = components(links(fps, max_bits), "simhash").select(F.col("node").alias("fp"), "label")
+    fps = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
+    labels = components(links(fps, max_bits, meet=meet), "simhash").select(F.col("node").alias("fp"), "label")
     members = fps.join(labels, "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
     # written, so that both sides of the next join are plain exchanges and a very large component can be split
     smallest = written(members.groupBy("label").agg(F.min("least").alias("component_id")), "component-ids")
     of_fp = written(members.join(smallest, "label").select(F.col("fp").alias("known"), "label", "component_id"), "fingerprint-components")
+    release(fps, smallest)
     return rows.join(of_fp, rows.fp == of_fp.known, "left").select("doc_id", "fp", "component_id")
-
-
-def similar_groups(docs: DataFrame, *, words: int, code_words: int, max_bits: int, grid_bits: int, anchors: tuple[int, int], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_hash, label of every row; rows have one label if a chain of similar texts leads from one to the other."""
-    rows = shingle_rows(docs, words, code_words, anchors, id_col, text_col)
-    least = F.min(F.struct(F.coalesce("doc_id", F.lit(NULL_ID)).alias("id"), "text_hash")).alias("w")
-    fps = rows.groupBy("fp").agg(least, *(F.first(c).alias(c) for c in ("code", "size", "prefix", "sketch")))
-    fps = written(fps.select("fp", F.col("w.id").alias("least_id"), F.col("w.text_hash").alias("least_hash"), "code", "size", "prefix", "sketch"), "distinct-sets")
-    # what fingerprints find first only spares the join pairs inside groups that are known
-    more = rows.select("fp", "code", F.explode("anchors").alias("cell"))
-    first = verified(links(fps.select("fp", "code"), max_bits, grid_bits, more, direct=True), fps, docs, words, id_col, text_col)
-    known = components(first, "simhash-first").select(F.col("node").alias("fp"), "label")
-    sets = fps.join(known, "fp", "left").select("fp", F.coalesce("label", "fp").alias("label"), "size", "prefix")
-    further = verified(sharing(sets), fps, docs, words, id_col, text_col)
-    labels = components(first.unionByName(further), "simhash").select(F.col("node").alias("known"), "label")
-    # written, so that both sides of the next join are plain exchanges
-    labels = written(labels, "set-labels")
-    return rows.join(labels, rows.fp == labels.known, "left").select("doc_id", "text_hash", F.coalesce("label", "fp").alias("label"))
-
-
-def deduplicated(docs: DataFrame, *, words: int = 5, code_words: int = 4, max_bits: int = 50, grid_bits: int = 3, anchors: tuple[int, int] = (16, 5), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which one of each near-duplicate group stays.
-
-    Two texts are near-duplicates if they share SIMILAR (0.8) or more of all their
-    distinct word shingles, exactly; groups are chains of such pairs. code_words,
-    max_bits, grid_bits and anchors (bands of the least shingles under so many
-    orders) only steer which pairs are looked at first, not what is found.
-    The document with the smallest doc_id stays (null first; of equal ids that
-    with the smaller text hash); of repeated rows one stays.
-    """
-    rows = written(similar_groups(docs, words=words, code_words=code_words, max_bits=max_bits, grid_bits=grid_bits, anchors=anchors, id_col=id_col, text_col=text_col), "simhash-groups")
-    key = F.coalesce("doc_id", F.lit(NULL_ID)).alias("id")
-    stay = rows.groupBy("label").agg(F.min(F.struct(key, "text_hash")).alias("w")).select(F.col("w.id").alias("stay_id"), F.col("w.text_hash").alias("stay_hash"))
-    repeats = rows.groupBy(key, "text_hash").agg(F.count("*").alias("n")).where("n > 1").withColumnRenamed("text_hash", "repeat_hash")
-    stay = stay.join(repeats, (F.col("stay_id") == F.col("id")) & (F.col("stay_hash") == F.col("repeat_hash")), "left").select("stay_id", "stay_hash", F.col("n").isNotNull().alias("stay_repeated"))
-    names = {c: fresh_name(docs, c) for c in stay.columns}
-    stay = stay.select(*(F.col(c).alias(n) for c, n in names.items()))
-    same = (F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NULL_ID)) == F.col(names["stay_id"])) & (F.xxhash64(F.col(f"`{text_col}`").cast("string")) == F.col(names["stay_hash"]))
-    kept = docs.join(stay, same)
-    once = kept.where(~F.col(names["stay_repeated"]))
-    again = kept.where(names["stay_repeated"]).dropDuplicates([names["stay_id"], names["stay_hash"]])
-    return once.unionByName(again).select(*(f"`{c}`" for c in docs.columns))
