@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from velora.llm import decontaminate, line_dedup, quality, sentencepiece_fst, simhash
+from velora.llm import decontaminate, line_dedup, near_texts, quality, sentencepiece_fst
 from velora.llm.common import table, written
 
 
@@ -24,7 +24,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays."""
-    return simhash.deduplicated(docs)
+    return near_texts.deduplicated(docs)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
