@@ -96,22 +96,27 @@ def test_sites_shrink_towards_their_hosts(spark):
 # Lines
 
 
+def common_parts(a, b, words, least):
+    """Positions in b of all maximal runs of lines, of least words or more, that a has too."""
+    out, open_runs = set(), {}
+    for i in range(len(a)):
+        for j in range(len(b)):
+            if a[i] == b[j]:
+                open_runs[i, j] = open_runs.get((i - 1, j - 1), 0) + 1
+                if (i + 1 == len(a) or j + 1 == len(b) or a[i + 1] != b[j + 1]) and sum(words[j + 1 - open_runs[i, j] : j + 1]) >= least:
+                    out |= set(range(j + 1 - open_runs[i, j], j + 1))
+    return out
+
+
 def covered(rows, least=20):
-    """By brute force: which lines stand in a run of enough words that an earlier document has."""
-    seen, out = set(), {}
-    for key in sorted({(i, t) for i, t in rows}, key=lambda r: (-(2**63) if r[0] is None else r[0])):
+    """By brute force over all pairs: the lines of each document that an earlier one has too."""
+    out, earlier = {}, []
+    for key in sorted({(i, t) for i, t in rows}, key=lambda r: -(2**63) if r[0] is None else r[0]):
         lines = [x.strip() for x in (key[1] or "").split("\n") if x.strip()]
-        runs, hit = [], set()
-        for s in range(len(lines)):
-            e, n = s, 0
-            while n < least and e < len(lines):
-                n += len(lines[e].split())
-                e += 1
-            if n >= least:
-                runs.append(tuple(lines[s:e]))
-                hit |= set(range(s, e)) if runs[-1] in seen else set()
-        seen.update(runs)
-        out[key] = (hit, lines)
+        words = [len(x.split()) for x in lines]
+        have = set(lines)
+        out[key] = (set().union(*(common_parts(a, lines, words, least) for a, held in earlier if held & have)), lines)
+        earlier.append((lines, have))
     return out
 
 
@@ -137,10 +142,7 @@ def test_repeated_passages_go_from_the_later_document(spark):
         inputs.setdefault(i, t)
     for r in got:
         hit, lines = want[r.doc_id, inputs[r.doc_id]]
-        left = [x.strip() for x in (r.text or "").split("\n") if x.strip()]
-        must = [x for k, x in enumerate(lines) if k not in hit]
-        # an aligned block may take lines beside its runs with it, never others
-        assert len(left) <= len(must)
+        assert [x.strip() for x in (r.text or "").split("\n") if x.strip()] == [x for k, x in enumerate(lines) if k not in hit]
         if not hit:
             assert r.text == inputs[r.doc_id] and r.n_cut == 0
     assert next(r for r in got if r.doc_id == 801).text == "first\nlast"
@@ -148,6 +150,29 @@ def test_repeated_passages_go_from_the_later_document(spark):
     assert ld.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_blocks_of_any_earlier_document_go(spark):
+    a, b, c = "a1 a2 a3 a4 a5 a6 a7 a8 a9 a0", "b1 b2 b3 b4 b5 b6 b7 b8 b9 b0", "c1 c2 c3 c4 c5"
+    docs = spark.createDataFrame([(1, f"{a}\n{b}"), (2, f"two\n{a}\n{b}\n{c}"), (3, f"three\n{a}\n{b}\n{c}\nend"), (4, f"{c}\n{a}\n{b}")], "doc_id long, text string")
+    for rare in (0, 4):
+        fates = {r.doc_id: r.cut and sorted(r.cut) for r in ld.repeated_lines(docs, rare=rare).collect()}
+        assert fates == {2: [1, 2], 3: [1, 2, 3], 4: [1, 2]}
+    # without the first document the others lose what the second has
+    fates = {r.doc_id: sorted(r.cut) for r in ld.repeated_lines(docs.where("doc_id > 1")).collect()}
+    assert fates == {3: [1, 2, 3], 4: [1, 2]}
+
+
+def test_blocks_for_any_number_of_words(spark):
+    rng = random.Random(8)
+    pool = [" ".join(rng.choice(WORDS) for _ in range(rng.choice([1, 2, 5]))) for _ in range(30)]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.choice([3, 40, 400])))) for i in range(25)]
+    rows += [(100, "\n".join(f"w{k}" for k in range(700))), (101, "\n".join(["x", *(f"w{k}" for k in range(100, 600)), "y"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for least in (4, 90):
+        want = {key[0]: hit for key, (hit, lines) in covered(rows, least).items() if hit}
+        got = {r.doc_id: set(range(len([x for x in dict(rows)[r.doc_id].split("\n") if x.strip()]))) if r.whole else set(r.cut) for r in ld.repeated_lines(docs, min_words=least).collect()}
+        assert got == want
+
+
 def test_short_repeats_stay_and_copies_drop(spark):
     docs = spark.createDataFrame([(1, "And so.\nThe end.", 16), (2, "And so.\nOther words.", 20), (3, "w " * 30, 60), (4, "w " * 30, 60), (5, "x\n" + "w " * 30, 9)], "doc_id long, text string, n_chars long")
     got = {r.doc_id: (r.text, r.n_chars) for r in ld.dedup_lines(docs, drop_emptied=True).collect()}

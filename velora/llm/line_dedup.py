@@ -1,22 +1,26 @@
 """Line dedup by pairwise alignment of overlapping documents.
 
 Method. A document is the sequence of hashes of its lines (stripped; blank lines
-don't count). At each line starts a run: the fewest lines from there that have
-at least ``min_words`` words. Such runs are rare by construction, whatever their
-single lines are, and a common block of min_words words or more in two documents
-starts with a run that both have. Every run is matched with the first document
-(by id) that has it, and that is an overlapping pair. Pairs are aligned by
-patience diff: lines that are unique in both and shared, in longest increasing
-order, are anchors, and equal lines around anchors and matched runs join them to
-blocks. Blocks of min_words words or more are deleted from the later document.
-Documents with equal line sequences form a class first; later members go whole.
-
-Scale. A run that any number of documents share gives one match per document,
-not one per pair, so there is no cap and none is needed. Long documents are
-aligned in segments of 256 lines with 64 more on either side, so a pair's rows
-are bounded. Copies are one row per class before anything is joined; joins on
-hot runs or documents can be split. Texts themselves are shuffled once, at the
-end, to meet what is to be cut.
+don't count). Lines are hashed in runs: from each line on the fewest lines, and up to
+each line the fewest lines, that have ``min_words`` words or more. The places
+that have a run are counted. A rare run (RARE places at most) makes a
+pair of each two documents that have it, a frequent one pairs each document with
+the first that has it. Pairs are aligned by patience diff: lines that are unique in
+both and shared, in longest increasing order, are anchors, and equal lines around
+anchors and shared runs join them to blocks. Blocks of min_words words or more are
+deleted from the later document. Documents with equal line sequences form a class
+first; later members go whole.
+
+What goes is thereby exactly what any earlier document has too: a common block of
+min_words words is covered by the runs from its lines on and the runs up to its last
+ones, and each of these is shared with the first document that has it, be it rare or
+not. So frequent runs need no other pairs, and nothing is lost by them.
+
+Scale. A frequent run gives one match per document, a rare one RARE at most. Long
+documents are aligned in segments of 256 lines with a margin on either side that no
+run exceeds, so a pair's rows are bounded. Copies are one row per class before
+anything is joined; joins on hot runs or documents can be split. Texts themselves
+are shuffled once, at the end, to meet what is to be cut.
 
 Defined results: null or empty texts, and those of blank lines only, have
 nothing to delete. Rows with one doc_id and equal text are one document: they
@@ -36,9 +40,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.common import NULL_ID, fresh_name, id_and_text, map_batches, texts_utf8, written
+from velora.llm.common import NULL_ID, fresh_name, id_and_text, map_batches, release, texts_utf8, written
 
 MIN_WORDS = 20
+#: A rare run stands in so many places at most.
+RARE = 4
+#: Lines that are aligned at a time, with so many (no run has more than its words) on either side.
 SEGMENT, MARGIN = 256, 64
 
 
@@ -49,18 +56,28 @@ def lines_of(text: bytes) -> tuple[list[int], list[int]]:
     return hashes, [len(s.split()) for s in kept]
 
 
-def runs_of(hashes: list[int], words: list[int], min_words: int) -> list[int | None]:
-    """For each line the hash of the shortest run from it with min_words words; none where lines run out."""
+def runs_of(hashes: list[int], words: list[int], min_words: int) -> list[tuple[int, int]]:
+    """(start, hash) of the shortest runs of min_words words from each line on and up to each line."""
     raw = np.array(hashes, np.int64).tobytes()
-    out: list[int | None] = []
+    spans: dict[tuple[int, int], None] = {}
     end = total = 0
     for start in range(len(hashes)):
         while total < min_words and end < len(hashes):
             total += words[end]
             end += 1
-        out.append(int(np.uint64(xxhash.xxh64_intdigest(raw[8 * start : 8 * end], 1)).astype(np.int64)) if total >= min_words else None)
+        if total < min_words:
+            break
+        spans[start, end] = None
         total -= words[start]
-    return out
+    start = total = 0
+    for end in range(1, len(hashes) + 1):
+        total += words[end - 1]
+        while total - words[start] >= min_words:
+            total -= words[start]
+            start += 1
+        if total >= min_words:
+            spans[start, end] = None
+    return [(a, int(np.uint64(xxhash.xxh64_intdigest(raw[8 * a : 8 * b], 1)).astype(np.int64))) for a, b in spans]
 
 
 def patience_anchors(a: list[int], b: list[int]) -> list[tuple[int, int]]:
@@ -101,27 +118,29 @@ def common_blocks(a: list[int], b: list[int], seeds: list[tuple[int, int]]) -> l
 
 
 def _sketches(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text_hash, class, hashes, words, runs of every row."""
+    """doc_id, text_hash, class, hashes, words, starts, runs of every row; the last two belong together."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         rows = []
         for text in texts_utf8(batch.column(1)):
             hashes, words = lines_of(text)
-            rows.append((xxhash.xxh3_128_digest(np.array(hashes, np.int64).tobytes()), hashes, words, runs_of(hashes, words, min_words)))
-        kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int64()))
-        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], ["doc_id", "text_hash", "class", "hashes", "words", "runs"])
+            runs = runs_of(hashes, words, min_words)
+            rows.append((xxhash.xxh3_128_digest(np.array(hashes, np.int64).tobytes()), hashes, words, [r[0] for r in runs], [r[1] for r in runs]))
+        kinds = (pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()))
+        names = ["doc_id", "text_hash", "class", "hashes", "words", "starts", "runs"]
+        return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds))], names)
 
     texts = id_and_text(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NULL_ID)).alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    return written(map_batches(texts, run, "doc_id long, text_hash long, class binary, hashes array<long>, words array<int>, runs array<long>"), "line-sketches")
+    return written(map_batches(texts, run, "doc_id long, text_hash long, class binary, hashes array<long>, words array<int>, starts array<int>, runs array<long>"), "line-sketches")
 
 
-def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
+def _aligned(pairs: DataFrame, min_words: int, margin: int) -> DataFrame:
     """class, cut (line numbers) of aligned segments."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         classes, cuts = [], []
         for row in batch.to_pylist():
-            a0, b0 = (max(0, row[k] * SEGMENT - MARGIN) for k in ("first_segment", "segment"))
+            a0, b0 = (max(0, row[k] * SEGMENT - margin) for k in ("first_segment", "segment"))
             seeds = [(s["first_at"] - a0, s["at"] - b0) for s in row["seeds"]]
             words = row["words"]
             cut: set[int] = set()
@@ -136,37 +155,51 @@ def _aligned(pairs: DataFrame, min_words: int) -> DataFrame:
     return map_batches(pairs, run, "class binary, cut array<int>")
 
 
-def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def matched_runs(classes: DataFrame, rare: int = RARE) -> DataFrame:
+    """class, at, first_class, first_at: where a class has a run that earlier classes have too.
+
+    Of a run that at most rare classes have, every earlier class; of others the first.
+    """
+    runs = classes.select("rep", "class", F.explode(F.arrays_zip("starts", "runs")).alias("r")).select("rep", "class", F.col("r.starts").alias("at"), F.col("r.runs").alias("run"))
+    counts = runs.groupBy(F.col("run").alias("counted")).agg(F.count("*").alias("n"), F.min(F.struct("rep", "class", "at")).alias("first"), F.max(F.struct("rep", "class")).alias("last"))
+    counts = counts.where((F.col("first.rep") != F.col("last.rep")) | (F.col("first.class") != F.col("last.class"))).drop("last")
+    shared = written(runs.join(counts, runs.run == counts.counted).select("run", "n", "rep", "class", "at", "first"), "shared-runs")
+    often = shared.where(F.col("n") > rare).select("class", "at", F.col("first.class").alias("first_class"), F.col("first.at").alias("first_at"))
+    few = shared.where(F.col("n") <= rare).groupBy("run").agg(F.sort_array(F.collect_list(F.struct("rep", "class", "at"))).alias("all"))
+    few = few.select(F.posexplode("all").alias("k", "me"), "all").where("k > 0").select("me", F.explode(F.expr("slice(all, 1, k)")).alias("e"))
+    few = few.select(F.col("me.class").alias("class"), F.col("me.at").alias("at"), F.col("e.class").alias("first_class"), F.col("e.at").alias("first_at"))
+    return often.unionByName(few).where("class <> first_class")
+
+
+def repeated_lines(docs: DataFrame, *, min_words: int = MIN_WORDS, rare: int = RARE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, text_hash, whole, cut of the documents that lose lines.
 
     cut numbers the lines that aren't blank, from 0; whole: all of them go.
     """
+    margin = max(MARGIN, min_words)
     sketches = _sketches(docs, min_words, id_col, text_col)
-    classes = sketches.groupBy("class").agg(F.min(F.struct("doc_id", "hashes", "words", "runs")).alias("m")).select("class", F.col("m.doc_id").alias("rep"), "m.hashes", "m.words", "m.runs")
+    classes = sketches.groupBy("class").agg(F.min(F.struct("doc_id", "hashes", "words", "starts", "runs")).alias("m")).select("class", F.col("m.doc_id").alias("rep"), "m.hashes", "m.words", "m.starts", "m.runs")
     classes = written(classes, "line-classes")
 
-    runs = classes.select("rep", "class", F.posexplode("runs").alias("at", "run")).where("run is not null")
-    firsts = runs.groupBy(F.col("run").alias("first_run")).agg(F.min(F.struct("rep", "class", "at")).alias("first"), F.max(F.struct("rep", "class")).alias("last"))
-    firsts = firsts.where((F.col("first.rep") != F.col("last.rep")) | (F.col("first.class") != F.col("last.class"))).select("first_run", F.col("first.class").alias("first_class"), F.col("first.at").alias("first_at"))
-    matches = runs.join(firsts, runs.run == firsts.first_run).where("class <> first_class")
     segment = lambda c: F.floor(F.col(c) / SEGMENT).cast("int")
-    pairs = matches.groupBy("class", segment("at").alias("segment"), "first_class", segment("first_at").alias("first_segment")).agg(F.collect_list(F.struct("at", "first_at")).alias("seeds"))
+    pairs = matched_runs(classes, rare).groupBy("class", segment("at").alias("segment"), "first_class", segment("first_at").alias("first_segment")).agg(F.collect_list(F.struct("at", "first_at")).alias("seeds"))
 
     cuts = F.sequence(F.lit(0), F.floor((F.size("hashes") - 1) / SEGMENT).cast("int"))
     segments = classes.where("size(hashes) > 0").select("class", "hashes", "words", F.explode(cuts).alias("segment"))
-    begin = F.greatest(F.lit(0), F.col("segment") * SEGMENT - MARGIN)
-    part = lambda c: F.slice(c, begin + 1, (F.col("segment") + 1) * SEGMENT + MARGIN - begin)
+    begin = F.greatest(F.lit(0), F.col("segment") * SEGMENT - margin)
+    part = lambda c: F.slice(c, begin + 1, (F.col("segment") + 1) * SEGMENT + margin - begin)
     segments = segments.select("class", "segment", part("hashes").alias("hashes"), part("words").alias("words"))
     first_segments = segments.select(F.col("class").alias("c1"), F.col("segment").alias("s1"), F.col("hashes").alias("first_hashes"))
     second_segments = segments.select(F.col("class").alias("c2"), F.col("segment").alias("s2"), "hashes", "words")
     paired = pairs.join(first_segments, (F.col("first_class") == F.col("c1")) & (F.col("first_segment") == F.col("s1"))).drop("c1", "s1")
     paired = paired.join(second_segments, (F.col("class") == F.col("c2")) & (F.col("segment") == F.col("s2"))).select("class", "segment", "first_segment", "seeds", "first_hashes", "hashes", "words")
-    cut = _aligned(paired, min_words).groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
+    cut = _aligned(paired, min_words, margin).groupBy("class").agg(F.array_distinct(F.flatten(F.collect_list("cut"))).alias("cut"))
     cut = written(cut, "line-cuts").withColumnRenamed("class", "cut_class")
 
     fates = classes.select(F.col("class").alias("of_class"), "rep", (F.aggregate("words", F.lit(0), lambda s, x: s + x) >= min_words).alias("long"))
     # written, so that both sides of the next join are plain exchanges and a class of very many copies can be split
     fates = written(fates.join(cut, F.col("of_class") == F.col("cut_class"), "left").select("of_class", "rep", "long", "cut"), "line-fates")
+    release(classes)
     members = sketches.select("doc_id", "text_hash", "class")
     found = members.join(fates, F.col("class") == F.col("of_class")).select("doc_id", "text_hash", (F.col("long") & (F.col("doc_id") != F.col("rep"))).alias("whole"), "cut")
     return found.where("whole or cut is not null").dropDuplicates(["doc_id", "text_hash"])
