@@ -1,6 +1,8 @@
+import math
 import random
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -53,11 +55,66 @@ def test_toxicity_does_not_learn_from_the_held_out_fold(spark, toxic_tables):
 def test_models_without_labels(spark, toxic_tables):
     docs, labels = toxic_tables
     none = labels.limit(0)
-    assert {r.score for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {0.5}
+    assert {(r.score < 1e-200, r.predicted) for r in toxicity.score(docs, toxicity.fit(docs, none)).collect()} == {(True, 0)}
+    assert {round(r.score, 6) for r in toxicity.score(docs, toxicity.fit(docs, labels.where("toxic = 0 and doc_id < 3"))).collect()} == {round(0.5 / (labels.where("toxic = 0 and doc_id < 3").where(~toxicity.is_held_out(labels.doc_id)).count() + 1), 6)}
     assert {round(r.evidence, 6) for r in quality.classify(docs.selectExpr("doc_id", "text", "label as lang", "score as source"), none).collect()} == {0.5}
     assert toxicity.score(docs.limit(0), toxicity.fit(docs, labels)).count() == 0
 
 
+def brute_scores(rows, labels):
+    """The same classifier, stated over Python sets of columns."""
+    known = {i: t for i, _, t in labels if i is not None and t in (0, 1) and crc32(str(i).encode()) % 5}
+    text_of = {}
+    for i, text, *_ in rows:
+        if i in known:
+            text_of.setdefault(i, text)
+    sets = {i: set(toxicity.ngrams(text_of[i] or "").tolist()) for i in known if i in text_of}
+    size = {c: sum(known[i] == c for i in sets) for c in (0, 1)}
+    count = {}
+    for i, s in sets.items():
+        for f in s:
+            pair = count.setdefault(f, [0, 0])
+            pair[known[i]] += 1
+    ratio = {f: math.log((p + 1) / (size[1] + 2)) - math.log((q + 1) / (size[0] + 2)) for f, (q, p) in count.items() if p + q >= 3}
+    return sets, ratio, size
+
+
+def test_toxicity_against_a_brute_force_fit(spark):
+    rng = random.Random(14)
+    rows = [(i, " ".join([prose(rng, rng.randint(5, 15)), "idiot" if i % 4 == 0 else ""])) for i in range(60)]
+    labels = [(i, 1, int(i % 4 == 0)) for i in range(60)]
+    docs = spark.createDataFrame(rows + rows[:7] + rows[:7], "doc_id long, text string")
+    table = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, table, columns=None)
+    sets, ratio, size = brute_scores(rows, labels)
+    # the driver's fit, by plain gradient steps over dense rows
+    names = sorted(f for f in ratio if ratio[f])
+    x = np.array([[ratio[f] if f in s else 0.0 for f in names] for s in sets.values()])
+    y = np.array([dict((i, t) for i, _, t in labels)[i] for i in sets], float)
+    theta, b, m, v, mb, vb = np.zeros(len(names)), 0.0, 0.0, 0.0, 0.0, 0.0
+    for t in range(1, 401):
+        g = (1 / (1 + np.exp(-(x @ theta + b))) - y) / len(y)
+        grad, gb = x.T @ g + 1e-3 * theta, g.sum()
+        m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
+        rate = 0.05 * np.sqrt(1 - 0.999**t) / (1 - 0.9**t)
+        theta, b = theta - rate * m / (np.sqrt(v) + 1e-8), b - rate * mb / (np.sqrt(vb) + 1e-8)
+    weights = dict(zip(names, theta * np.array([ratio[f] for f in names])))
+    for r in toxicity.score(docs, model).collect():
+        own = set(toxicity.ngrams(dict(rows)[r.doc_id]).tolist())
+        assert abs(r.score - 1 / (1 + math.exp(-(b + sum(weights.get(f, 0.0) for f in own))))) < 1e-4
+
+
+def test_samples_are_bounded_whatever_is_repeated(spark):
+    rows = [(1, "the same words")] * 3000 + [(2, "you idiot")] * 500 + [(3, "some other words")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'s' as source", "'en' as lang")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 1), (3, 1, 0)], "doc_id long, quality int, toxic int")
+    once = docs.dropDuplicates()
+    a, b = toxicity.fit(docs, labels, min_count=1), toxicity.fit(once, labels, min_count=1)
+    assert (a.weights == b.weights).all() and a.intercept == b.intercept
+    c, d = quality.fit(docs, labels, max_train=3), quality.fit(once, labels, max_train=3)
+    assert (c.weights == d.weights).all() and c.intercept == d.intercept
+
+
 # Quality
 
 
@@ -85,6 +142,34 @@ def test_quality_and_its_filter(quality_tables):
     assert quality.accepted(docs.limit(0), labels).count() == 0
 
 
+def test_quality_against_brute_force(quality_tables):
+    """Posteriors and scores level by level in Python, from the evidence of each row."""
+    docs, labels = quality_tables
+    model = quality.fit(docs, labels)
+    rows = [(r.doc_id, r.source, r.lang, float(model.evidence(quality.features((r.text or "").encode())[None])[0])) for r in docs.collect()]
+    mean = sum(e for *_, e in rows) / len(rows)
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    want = []
+    for i, host, path, own in rows:
+        of_host, of_path = [e for _, h, _, e in rows if h == host], [e for _, h, p, e in rows if (h, p) == (host, path)]
+        host_rate = (sum(of_host) + 20 * mean) / (len(of_host) + 20)
+        path_rate = (sum(of_path) - own + 20 * host_rate) / (len(of_path) - 1 + 20)
+        want.append((str(i), round(own, 5), round(1 / (1 + math.exp(-(odds(own) + 0.5 * (odds(path_rate) - odds(mean))))), 5)))
+    got = [(str(r.doc_id), round(r.evidence, 5), round(r.score, 5)) for r in quality.classify(docs, labels).collect()]
+    for x, y in zip(sorted(got), sorted(want), strict=True):
+        assert x[0] == y[0] and abs(x[1] - y[1]) < 2e-5 and abs(x[2] - y[2]) < 2e-5
+
+
+def test_quality_ties_and_long_texts(spark, quality_tables):
+    docs, labels = quality_tables
+    long = spark.createDataFrame([(20_000, prose(random.Random(1), 200_000), "en", "hot", 1, None), (20_001, "w " * 300_000, "en", "hot", 1, None)], docs.schema)
+    got = {r.doc_id: r for r in quality.classify(docs.unionByName(long), labels).collect()}
+    assert got[20_000].doc_id and 0 <= got[20_001].score <= 1
+    # a score at the threshold is kept
+    edge = got[3].score
+    assert next(r for r in quality.classify(docs.unionByName(long), labels, min_score=edge).collect() if r.doc_id == 3).keep
+
+
 def test_sites_shrink_towards_their_hosts(spark):
     rows = [("a", "x", 0.9)] * 200 + [("a", "y", 0.1)] + [("b", None, 0.2)] * 50
     sites = {(r.host, r.path): r for r in quality.site_posteriors(spark.createDataFrame(rows, "host string, path string, evidence double"), 20.0).collect()}

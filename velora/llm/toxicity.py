@@ -3,21 +3,25 @@
 Method. A text's features are its distinct character n-grams of 3 to 5 (A-Z
 lower-cased), hashed to 2**20 columns. On the labelled sample, column f has the
 log-count ratio r_f = log((p_f / |p|) / (q_f / |q|)) of its smoothed document
-counts in toxic and other texts. The columns whose ratio is best supported
-(|r| * sqrt(count)) are kept, each present feature takes the value r_f, and an
-L2-regularised logistic regression is fitted on these scaled features. A score
+counts in toxic and other texts. Each present feature takes the value r_f, and an
+L2-regularised logistic regression is fitted on these scaled features. The fit is of
+the ``columns`` features whose ratio is best supported (|r| * sqrt(count), with a
+count of ``min_count`` at least); columns=None and min_count=1 fit all 2**20. A score
 is the logistic function of the sum over a text's distinct n-grams; whole texts
 are scored, in the scan, without a shuffle.
 
-The fit sees at most ``max_per_class`` labelled rows of either class, taken in
-the order of a hash of their ids; rows are weighted so that the classes count as
-they do among all labelled training rows. The sample's texts become feature
-lists on the executors, and only those reach the driver.
+The fit sees at most ``max_per_class`` labelled ids of either class, taken in the
+order of a hash, and one row for each id (that with the least text hash); rows are
+weighted so that the classes count as they do among all labelled training ids. The
+sample's texts become feature lists on the executors, where they are counted too.
+What reaches the driver is a count for each column and of each sampled row the columns
+of the fit: at most 2 * max_per_class * columns numbers of 4 bytes.
 
 Defined results: null and empty texts have no features and get the score of the
-intercept. Labels that are null or neither 0 nor 1 are no labels. Without labels
-of both classes every score is the share of toxic labels (0.5 without any, and
-just under one half is never rounded up). Repeated rows get equal rows.
+intercept. Labels that are null or neither 0 nor 1 are no labels. With labels of one
+class every score is the share of toxic ones, smoothed by half a label; without any
+label every score is 0 (less than 10**-200). Repeated rows get equal rows. Equal
+support is decided by the column's number.
 """
 
 from __future__ import annotations
@@ -29,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from velora.llm.common import id_and_text, map_batches, texts_utf8
+from velora.llm.common import id_and_text, map_batches, release, texts_utf8, written
 from velora.llm.linear import logistic, sigmoid
 
 SIZES = (3, 4, 5)
 BITS = 20
 MAX_PER_CLASS = 2048
-MAX_COLUMNS = 1 << 14
+COLUMNS, MIN_COUNT = 1 << 14, 3
 
 
 def ngrams(text: str) -> np.ndarray:
@@ -71,14 +75,19 @@ def is_held_out(doc_id: Column, folds: int = 5) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def _constant(toxic: int, others: int) -> Model:
+    """The share of toxic labels for every text; 0 without labels."""
+    share = (toxic + 0.5) / (toxic + others + 1)
+    return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))) if toxic + others else -500.0)
+
+
+def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CLASS, columns: int | None = COLUMNS, min_count: int = MIN_COUNT, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from the labelled documents outside the held-out fold."""
     label = F.col(label_col).cast("int")
     known = labels.select(F.col(id_col).cast("long").alias("known"), label.alias("label")).where(F.col("known").isNotNull() & label.isin(0, 1) & ~is_held_out(F.col("known"))).groupBy("known").agg(F.max("label").alias("label"))
     n = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     if len(n) < 2:
-        share = (n.get(1, 0) + 0.5) / (sum(n.values()) + 1) if n else 0.5
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
+        return _constant(n.get(1, 0), n.get(0, 0))
     order = F.xxhash64("known")
     sample = known.where("label = 1").orderBy(order, "known").limit(max_per_class).unionByName(known.where("label = 0").orderBy(order, "known").limit(max_per_class))
 
@@ -86,29 +95,43 @@ def fit(docs: DataFrame, labels: DataFrame, *, max_per_class: int = MAX_PER_CLAS
         found = [np.unique(ngrams(t.decode())).astype(np.int32) for t in texts_utf8(batch.column(1))]
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["label", "columns"])
 
-    # at most 2 * max_per_class rows: broadcast
+    # at most 2 * max_per_class rows: broadcast; an id's repeated rows are one
     texts = id_and_text(docs, id_col, text_col)
-    train = map_batches(texts.join(F.broadcast(sample), texts.doc_id == sample.known).select("label", "text"), run, "label int, columns array<int>").toArrow()
-    y = train["label"].to_numpy().astype(np.float64)
-    columns = train["columns"].combine_chunks()
-    if not len(y) or y.min() == y.max():
-        share = (n[1] + 0.5) / (n[0] + n[1] + 1)
-        return Model(np.zeros(1 << BITS, np.float32), float(np.log(share / (1 - share))))
-    flat = columns.values.to_numpy()
-    rows = np.repeat(np.arange(len(y)), np.diff(columns.offsets.to_numpy()))
-    p = np.bincount(flat[y[rows] == 1], minlength=1 << BITS)
-    q = np.bincount(flat[y[rows] == 0], minlength=1 << BITS)
-    ratio = np.log((p + 1.0) / (y.sum() + 2)) - np.log((q + 1.0) / ((1 - y).sum() + 2))
-    support = np.where(p + q >= 3, np.abs(ratio) * np.sqrt(p + q), 0.0)
-    kept = np.sort(np.argsort(-support, kind="stable")[:MAX_COLUMNS])
-    kept = kept[support[kept] > 0]
-    place = np.full(1 << BITS, -1)
+    texts = texts.join(F.broadcast(sample), texts.doc_id == sample.known).groupBy("known").agg(F.min(F.struct(F.xxhash64("text"), "label", "text")).alias("r"))
+    rows = written(map_batches(texts.select("r.label", "r.text"), run, "label int, columns array<int>"), "toxicity-sample")
+    have = {r.label: r.n for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    if len(have) < 2:
+        release(rows)
+        return _constant(n[1], n[0])
+    counts = rows.select("label", F.explode("columns").alias("column")).groupBy("column").agg(F.sum("label").alias("p"), F.count("*").alias("n")).toArrow()
+    p, total = (np.zeros(1 << BITS) for _ in range(2))
+    p[counts["column"].to_numpy()], total[counts["column"].to_numpy()] = counts["p"].to_numpy(), counts["n"].to_numpy()
+    ratio = np.log((p + 1.0) / (have[1] + 2)) - np.log((total - p + 1.0) / (have[0] + 2))
+    support = np.where(total >= min_count, np.abs(ratio) * np.sqrt(total), 0.0)
+    kept = np.argsort(-support, kind="stable")[: columns or len(support)]
+    kept = np.sort(kept[support[kept] > 0])
+    place = np.full(1 << BITS, -1, np.int32)
     place[kept] = np.arange(len(kept))
-    used = place[flat] >= 0
-    weight = np.where(y == 1, n[1] / max(y.sum(), 1), n[0] / max((1 - y).sum(), 1))
-    theta, b = logistic(rows[used], place[flat[used]], ratio[flat[used]], y, weight, len(kept))
+    sent = docs.sparkSession.sparkContext.broadcast(place)
+
+    def placed(batch: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(x := sent.value[np.asarray(v.values)])[x >= 0] for v in batch.column(1)]
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int32()))], ["label", "columns"])
+
+    train = map_batches(rows, placed, "label int, columns array<int>").toArrow()
+    y = train["label"].to_numpy().astype(np.float64)
+    lists = train["columns"].combine_chunks()
+    flat, sizes = lists.flatten().to_numpy(), np.diff(lists.offsets.to_numpy())
+    # the fit doesn't depend on the order of rows
+    ends = np.cumsum(sizes)
+    by_text = sorted(range(len(y)), key=lambda k: (y[k], flat[ends[k] - sizes[k] : ends[k]].tobytes()))
+    flat = np.concatenate([flat[ends[k] - sizes[k] : ends[k]] for k in by_text])
+    y, sizes = y[by_text], sizes[by_text]
+    weight = np.where(y == 1, n[1] / have[1], n[0] / have[0])
+    theta, b = logistic(np.repeat(np.arange(len(y)), sizes), flat, ratio[kept][flat], y, weight, len(kept))
     weights = np.zeros(1 << BITS, np.float32)
     weights[kept] = theta * ratio[kept]
+    release(rows)
     return Model(weights, b)
 
 
