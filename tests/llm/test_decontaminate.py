@@ -70,3 +70,21 @@ def test_clean_drops_two_and_cuts_one(spark, block_bytes):
     docs = [(1, f"Start. {a.upper()}; end É", 5), (2, f"{a} {b}", 5), (3, "clean text", 5), (None, None, None), (4, b, 5)]
     got = dc.clean(spark.createDataFrame(docs, "doc_id long, text string, n_chars long"), spark.createDataFrame([(1, a), (2, b)], "item_id long, text string"), block_bytes=block_bytes).collect()
     assert sorted(map(tuple, got), key=str) == sorted([(1, "Start. ; end É", 14), (3, "clean text", 5), (None, None, None), (4, "", 0)], key=str)
+
+
+def test_an_index_is_small_and_other_columns_are_kept(spark):
+    random.seed(5)
+    vocabulary = [f"word{k}" for k in range(50_000)]
+    items = [(str(k), " ".join(random.choices(vocabulary, k=200)).encode()) for k in range(1500)]
+    index = dc.Index(items)
+    (scanner,) = index.scanners
+    size = len(scanner.flat) + len(scanner.shift) + sum(x.itemsize * len(x) for x in (scanner.own, scanner.items, scanner.places, scanner.starts))
+    windows = 1500 * 193
+    assert size < 100 * windows
+    text = b"before " + b" ".join(items[7][1].split()[20:40]) + b" after"
+    n, hit, found = index.scan(text)
+    assert (n, found, dc.runs(hit)) == (22, {"7"}, [(1, 21)])
+    d = spark.createDataFrame([(1, "x", "a b c"), (1, "y", None)], "key long, found string, marks string")
+    b = spark.createDataFrame([(4, "b"), (None, "c")], "name long, words string")
+    got = dc.clean(d, b, min_items=3, id_col="key", text_col="marks", item_col="name", item_text_col="words", block_bytes=1)
+    assert sorted(map(tuple, got.collect())) == [(1, "x", "a  c"), (1, "y", None)]

@@ -9,11 +9,14 @@ in no pattern: m), and where the shift is zero the bucket of that suffix block
 lists the patterns, which are compared word for word. Positions of a text that
 cannot end a match are thus never looked at.
 
-The benchmark is prepared by Spark and handed to the tasks in blocks of at most
-``block_bytes`` of item text; one block in the usual case. Beyond that each
-block is one pass over the documents, and the passes' word positions are united
-per document; so what is held in a task is bounded at any benchmark size. The
-documents are scanned where they are read, without a shuffle in the usual case.
+A scanner is three arrays: the shift table, addressed by a hash of the block (blocks
+that share a place keep the smaller shift, which is safe), the head of each suffix
+hash's bucket, and the patterns' symbols in bucket order, some 45 bytes a window. The
+benchmark is dealt into blocks of at most ``block_bytes`` of item text, one in the
+usual case; the driver holds one at a time, and a Python worker builds a block's index
+once and keeps the last one only. Each further block is a pass of its own over the
+documents, written before the next, so a task's memory is bounded at any benchmark
+size. There is no shuffle.
 
 Defined results: a null text, or one without words, has no words and no hits; a
 null item or one without words matches nothing; items with equal texts are all
@@ -25,18 +28,25 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
-from functools import reduce
+import uuid
+from array import array
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from operator import or_
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, StringType, StructField, StructType
 
-from velora.llm.common import fresh_name, id_and_text, map_batches, texts_utf8
+from velora.llm.common import fresh_name, id_and_text, map_batches, release, texts_utf8, written
 
 WINDOW = 8
+#: Item text in one index, which takes some 40 times that while a Python worker builds it.
+BLOCK_BYTES = 4 << 20
+#: Odd factors of the tables' hash; products with symbols stay under 2**63.
+MIX, MIX_BEFORE = 0x9E3779B1, 0x85EBCA6B
 #: A text's bytes: A-Z lower-cased, what is no word character made a space. Bytes from 128 on are word characters.
 _TO_WORDS = bytes(c if c > 127 or 48 <= c <= 57 or 97 <= c <= 122 else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
 _WORDS = re.compile(rb"[^ ]+")
@@ -48,43 +58,66 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 class Scanner:
-    """Wu-Manber tables for patterns of one length."""
+    """Wu-Manber tables for patterns of one length; symbols are numbered from 1."""
 
-    def __init__(self, patterns: dict[tuple[int, ...], list[str]], symbols: int) -> None:
-        self.length = len(next(iter(patterns)))
+    def __init__(self, patterns: np.ndarray, items: list[int]) -> None:
+        """patterns: a row of symbols each, repeats allowed; items: the item of each."""
+        self.length = patterns.shape[1]
         self.block = min(2, self.length)
-        self.symbols = symbols
-        self.shift: dict[int, int] = {}
-        self.buckets: dict[int, list[tuple[list[int], list[str]]]] = {}
-        for pattern, items in patterns.items():
-            for end in range(self.block, self.length + 1):
-                key = self._key(pattern, end)
-                self.shift[key] = min(self.shift.get(key, self.length), self.length - end)
-            self.buckets.setdefault(self._key(pattern, self.length), []).append((list(pattern), items))
-
-    def _key(self, ids: tuple[int, ...] | list[int], end: int) -> int:
-        return ids[end - 2] * self.symbols + ids[end - 1] if self.block == 2 else ids[end - 1]
-
-    def find(self, ids: list[int]) -> Iterator[tuple[int, list[str]]]:
-        """(start, items) of each occurrence, ascending."""
-        length, symbols, buckets, two = self.length, self.symbols, self.buckets, self.block == 2
-        shift, most = self.shift.get, length - self.block + 1
-        last, n = length - 1, len(ids)
+        most = self.length - self.block + 1
+        bits = max(10, (8 * len(patterns)).bit_length())
+        self.mask = (1 << min(bits, 26)) - 1
+        shift = np.full(self.mask + 1, most, np.uint8 if most < 256 else np.int32)
+        for end in range(self.block, self.length + 1):
+            np.minimum.at(shift, self._places(patterns, end), self.length - end)
+        suffix = self._places(patterns, self.length)
+        order = np.lexsort((*patterns.T, suffix))
+        patterns, suffix, items = patterns[order], suffix[order], np.asarray(items, np.int32)[order]
+        # equal patterns follow each other: a row for each, and the run of its items
+        first = np.append(True, (np.diff(patterns, axis=0) != 0).any(1)) if len(patterns) else np.zeros(0, bool)
+        rows = np.flatnonzero(first)
+        self.own = array("I", [*rows.tolist(), len(patterns)])
+        self.items = array("i", items.tolist())
+        self.flat = np.ascontiguousarray(patterns[rows], np.int32).tobytes()
+        places, counts = np.unique(suffix[rows], return_counts=True)
+        # only places of shift zero have a bucket
+        self.places, self.starts = array("q", places.tolist()), array("I", [*(np.cumsum(counts) - counts).tolist(), len(rows)])
+        self.shift = shift.tobytes() if shift.dtype == np.uint8 else array("i", shift.tolist())
+
+    def _places(self, ids: np.ndarray, end: int) -> np.ndarray:
+        """Where the block of symbols up to end stands in the tables."""
+        place = ids[:, end - 1].astype(np.int64) * MIX
+        if self.block == 2:
+            place ^= ids[:, end - 2].astype(np.int64) * MIX_BEFORE
+        return (place >> 5) & self.mask
+
+    def bucket(self, place: int) -> range:
+        """The rows of patterns whose suffix block stands at a place."""
+        k = bisect_left(self.places, place)
+        return range(self.starts[k], self.starts[k + 1]) if k < len(self.places) and self.places[k] == place else range(0)
+
+    def find(self, ids: list[int]) -> Iterator[tuple[int, int]]:
+        """(start, row) of each occurrence, ascending."""
+        length, two, mask, shift = self.length, self.block == 2, self.mask, self.shift
+        last, n, width = length - 1, len(ids), 4 * length
+        raw = b""
         while last < n:
             symbol = ids[last]
             if not symbol:
                 last += length
                 continue
-            key = ids[last - 1] * symbols + symbol if two else symbol
-            move = shift(key, most)
+            place = ((symbol * MIX ^ ids[last - 1] * MIX_BEFORE if two else symbol * MIX) >> 5) & mask
+            move = shift[place]
             if move:
                 last += move
                 continue
             start = last - length + 1
-            found = ids[start : last + 1]
-            for pattern, items in buckets[key]:
-                if found == pattern:
-                    yield start, items
+            raw = raw or array("i", ids).tobytes()
+            found = raw[4 * start : 4 * start + width]
+            for row in self.bucket(place):
+                if self.flat[width * row : width * (row + 1)] == found:
+                    yield start, row
+                    break
             last += 1
 
 
@@ -93,17 +126,18 @@ class Index:
 
     def __init__(self, items: Iterable[tuple[str, bytes]], window: int = WINDOW) -> None:
         self.numbers: dict[bytes, int] = {}
-        by_length: dict[int, dict[tuple[int, ...], list[str]]] = {}
+        self.names: list[str] = []
+        by_length: dict[int, tuple[list[np.ndarray], list[int]]] = {}
         for item, text in items:
-            ids = [self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)]
-            if not ids:
+            ids = np.fromiter((self.numbers.setdefault(w, len(self.numbers) + 1) for w in words_of(text)), np.int32)
+            if not len(ids):
                 continue
             size = min(window, len(ids))
-            for k in range(len(ids) - size + 1):
-                known = by_length.setdefault(size, {}).setdefault(tuple(ids[k : k + size]), [])
-                if item not in known:
-                    known.append(item)
-        self.scanners = [Scanner(by_length[k], len(self.numbers) + 1) for k in sorted(by_length)]
+            windows, owners = by_length.setdefault(size, ([], []))
+            windows.append(np.lib.stride_tricks.sliding_window_view(ids, size))
+            owners += [len(self.names)] * (len(ids) - size + 1)
+            self.names.append(item)
+        self.scanners = [Scanner(np.concatenate(by_length[k][0]), by_length[k][1]) for k in sorted(by_length)]
 
     def scan(self, text: bytes) -> tuple[int, bytearray | None, set[str]]:
         """Number of words; a mark for each word if any is hit; the items that occur."""
@@ -112,13 +146,25 @@ class Index:
         ids = [number(w, 0) for w in words]
         hit, found = None, set()
         for scanner in self.scanners:
-            for start, items in scanner.find(ids):
+            for start, row in scanner.find(ids):
                 hit = hit or bytearray(len(ids))
                 hit[start : start + scanner.length] = b"\x01" * scanner.length
-                found.update(items)
+                found.update(self.names[k] for k in scanner.items[scanner.own[row] : scanner.own[row + 1]])
         return len(ids), hit, found
 
 
+#: A Python worker keeps the index that it used last.
+_INDEX: dict[tuple[str, int], Index] = {}
+
+
+def index_of(key: str, block: Callable[[], list[tuple[str, bytes]]], window: int) -> Index:
+    """The index of a block, built where this worker doesn't have it."""
+    if (key, window) not in _INDEX:
+        _INDEX.clear()
+        _INDEX[key, window] = Index(block(), window)
+    return _INDEX[key, window]
+
+
 def runs(hit: bytes) -> list[tuple[int, int]]:
     """Start and end of each run of marked words."""
     return [m.span() for m in re.finditer(rb"\x01+", bytes(hit))]
@@ -134,19 +180,61 @@ def without_words(text: bytes, spans: Iterable[tuple[int, int]]) -> bytes:
     return b"".join([*out, text[last:]])
 
 
-def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> list[list[tuple[str, bytes]]]:
-    """The items with words, dealt into blocks of bounded size."""
+def item_blocks(items: DataFrame, item_col: str, text_col: str, block_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The items with words in blocks of bounded size, one after the other; one empty block if there are none."""
     rows = items.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null and text is not null").distinct().orderBy("item", "text")
-    blocks: list[list[tuple[str, bytes]]] = [[]]
+    block: list[tuple[str, bytes]] = []
     size = 0
     for row in rows.toLocalIterator():
         text = row.text.encode()
         if size and size + len(text) > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item, text))
+            yield block
+            block, size = [], 0
+        block.append((row.item, text))
         size += len(text)
-    return blocks
+    yield block
+
+
+def _scanned(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, text_col: str, item_col: str, item_text_col: str, finish: Callable[[pa.RecordBatch, list[bytes], list[set[str]], list[bytes | None]], pa.RecordBatch], schema: StructType | str) -> DataFrame:
+    """finish(batch of docs, texts, items found, marked words) of all documents.
+
+    Each block of the benchmark but the last hands on what it found in two columns.
+    """
+    width, at = len(docs.columns), docs.columns.index(text_col)
+    found_col, marks_col = fresh_name(docs, "found"), fresh_name(docs, "marks")
+    between = StructType(docs.schema.fields + [StructField(found_col, ArrayType(StringType())), StructField(marks_col, BinaryType())])
+    out = docs
+    blocks = item_blocks(items, item_col, item_text_col, block_bytes)
+    block = next(blocks)
+    first = True
+    while block is not None:
+        following = next(blocks, None)
+        sent, key = docs.sparkSession.sparkContext.broadcast(block), uuid.uuid4().hex
+
+        def run(batch: pa.RecordBatch, sent=sent, key=key, first=first, last=following is None) -> pa.RecordBatch:
+            index = index_of(key, lambda: sent.value, window)
+            texts = list(texts_utf8(batch.column(at)))
+            known = [set() for _ in texts] if first else [set(x) for x in batch.column(width).to_pylist()]
+            marks = [None] * len(texts) if first else batch.column(width + 1).to_pylist()
+            for k, text in enumerate(texts):
+                _, hit, new = index.scan(text)
+                known[k] |= new
+                if hit:
+                    marks[k] = bytes(hit if marks[k] is None else map(or_, hit, marks[k]))
+            own = batch.select(list(range(width)))
+            if last:
+                return finish(own, texts, known, marks)
+            columns = [*own.columns, pa.array(map(sorted, known), pa.list_(pa.string())), pa.array(marks, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, [*own.schema.names, found_col, marks_col])
+
+        before = out
+        out = map_batches(out, run, schema if following is None else between)
+        if following is not None:
+            out = written(out, "decontamination-pass")
+            if not first:
+                release(before)
+        block, first = following, False
+    return out
 
 
 def search(
@@ -155,51 +243,22 @@ def search(
     *,
     window: int = WINDOW,
     min_items: int = 2,
-    block_bytes: int = 32_000_000,
+    block_bytes: int = BLOCK_BYTES,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """doc_id, n_words, n_hit, items (sorted ids), spans (hit word runs), contaminated, text_hash per document."""
-    spark, schema = docs.sparkSession, "doc_id long, text_hash long, n_words long, items array<string>, spans array<struct<start: int, end: int>>"
-    texts = id_and_text(docs, id_col, text_col)
-    texts = texts.withColumn("text_hash", F.xxhash64("text"))
-    blocks = item_blocks(items, item_col, item_text_col, block_bytes)
-    passes = []
-    for block in blocks:
-        sent = spark.sparkContext.broadcast(block)
-        held: dict[str, Index] = {}
-
-        def run(batch: pa.RecordBatch, sent=sent, held=held) -> pa.RecordBatch:
-            if "index" not in held:
-                held["index"] = Index(sent.value, window)
-            n_words, found, spans = [], [], []
-            for text in texts_utf8(batch.column(1)):
-                n, hit, items = held["index"].scan(text)
-                n_words.append(n)
-                found.append(sorted(items))
-                spans.append([{"start": a, "end": b} for a, b in runs(hit)] if hit else [])
-            kinds = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(n_words, pa.int64()), pa.array(found, pa.list_(pa.string())), pa.array(spans, kinds)], ["doc_id", "text_hash", "n_words", "items", "spans"])
-
-        passes.append(map_batches(texts, run, schema))
-    out = passes[0]
-    if len(passes) > 1:
-        # a row of each pass has a copy number among its equals, so that repeated rows stay apart
-        key = ["doc_id", "text_hash", "n_words"]
-        each = [p.groupBy(*key, "items", "spans").agg(F.count("*").alias("copies")) for p in passes]
-        united = reduce(DataFrame.unionByName, each).groupBy(*key).agg(F.max("copies").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), _united(F.flatten(F.collect_list("spans"))).alias("spans"))
-        out = united.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).drop("copies", "copy")
-    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
-    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.col("items"), "spans", (F.size("items") >= min_items).alias("contaminated"), "text_hash")
-
-
-def _united(spans):
-    """Runs that overlap or touch made one; spans is an array column of (start, end)."""
-    first = F.slice(F.array_sort(spans), 1, 0)
-    joined = lambda done, x: F.when((F.size(done) > 0) & (F.element_at(done, -1)["end"] >= x["start"]), F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["start"].alias("start"), F.greatest(F.element_at(done, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(done, F.array(x)))
-    return F.aggregate(F.array_sort(spans), first, joined)
+    """doc_id, n_words, n_hit, items (sorted ids), spans (hit word runs), contaminated per document."""
+    spans_kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], known: list[set[str]], marks: list[bytes | None]) -> pa.RecordBatch:
+        spans = [[{"start": a, "end": b} for a, b in runs(m)] if m else [] for m in marks]
+        columns = [pa.array([len(words_of(t)) for t in texts], pa.int64()), pa.array([sum(m) if m else 0 for m in marks], pa.int64()), pa.array(map(sorted, known), pa.list_(pa.string())), pa.array(spans, spans_kind), pa.array([len(x) >= min_items for x in known])]
+        return pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_words", "n_hit", "items", "spans", "contaminated"])
+
+    schema = "doc_id long, n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int>>, contaminated boolean"
+    return _scanned(id_and_text(docs, id_col, text_col), items, window, block_bytes, "text", item_col, item_text_col, finish, schema)
 
 
 def items_digest(items: list[str]) -> str:
@@ -207,55 +266,30 @@ def items_digest(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_items: int = 2, block_bytes: int = 32_000_000, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars") -> DataFrame:
+def clean(docs: DataFrame, items: DataFrame, *, window: int = WINDOW, min_items: int = 2, block_bytes: int = BLOCK_BYTES, id_col: str = "doc_id", text_col: str = "text", n_chars_col: str | None = "n_chars", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The documents with all their columns, decontaminated.
 
     Documents with min_items items or more go; of the others, the words that a
     window hits are cut out of the text, and n_chars is brought up to date where
-    that happens. Each block of the benchmark is a step in the same scan, which
-    hands on what it found in two columns; the last step decides.
+    that happens.
     """
-    spark = docs.sparkSession
-    names, at = docs.columns, docs.columns.index(text_col)
-    width, count_at = len(names), names.index(n_chars_col) if n_chars_col in names else None
-    found_col, marks_col = fresh_name(docs, "found"), fresh_name(docs, "marks")
-    blocks = item_blocks(items, "item_id", "text", block_bytes)
-    out = docs
-    for number, block in enumerate(blocks):
-        sent = spark.sparkContext.broadcast(block)
-        held: dict[str, Index] = {}
-        first, last = number == 0, number == len(blocks) - 1
-
-        def run(batch: pa.RecordBatch, sent=sent, held=held, first=first, last=last) -> pa.RecordBatch:
-            if "index" not in held:
-                held["index"] = Index(sent.value, window)
-            texts = [v.as_py() for v in batch.column(at).cast(pa.large_binary())]
-            known = [set() for _ in texts] if first else [set(x) for x in batch.column(width).to_pylist()]
-            marks = [None] * len(texts) if first else batch.column(width + 1).to_pylist()
-            for k, text in enumerate(texts):
-                _, hit, items = held["index"].scan(text or b"")
-                known[k] |= items
-                if hit:
-                    marks[k] = bytes(hit if marks[k] is None else map(or_, hit, marks[k]))
-            columns = list(batch.columns[:width])
-            fields = [batch.schema.field(k) for k in range(width)]
-            if not last:
-                columns += [pa.array(map(sorted, known), pa.list_(pa.string())), pa.array(marks, pa.binary())]
-                fields += [pa.field(found_col, pa.list_(pa.string())), pa.field(marks_col, pa.binary())]
-                return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
-            keep = [len(x) < min_items for x in known]
-            cut = [k for k, m in enumerate(marks) if m is not None and keep[k]]
-            if cut:
+    at, count_at = docs.columns.index(text_col), docs.columns.index(n_chars_col) if n_chars_col in docs.columns else None
+
+    def finish(batch: pa.RecordBatch, texts: list[bytes], known: list[set[str]], marks: list[bytes | None]) -> pa.RecordBatch:
+        keep = pa.array([len(x) < min_items for x in known], pa.bool_())
+        cut = [k for k, m in enumerate(marks) if m is not None and len(known[k]) < min_items]
+        if cut:
+            columns = list(batch.columns)
+            for k in cut:
+                texts[k] = without_words(texts[k], runs(marks[k]))
+            whole = [t if v.is_valid else None for t, v in zip(texts, columns[at])]
+            columns[at] = pa.array(whole, pa.binary()).cast(pa.string()).cast(batch.schema.field(at).type)
+            if count_at is not None:
+                sizes = columns[count_at].to_pylist()
                 for k in cut:
-                    texts[k] = without_words(texts[k], runs(marks[k]))
-                columns[at] = pa.array(texts, pa.binary()).cast(pa.string()).cast(fields[at].type)
-                if count_at is not None:
-                    sizes = columns[count_at].to_pylist()
-                    for k in cut:
-                        sizes[k] = len(texts[k].decode())
-                    columns[count_at] = pa.array(sizes, fields[count_at].type)
-            return pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields)).filter(pa.array(keep))
-
-        schema = docs.schema if last else StructType(docs.schema.fields + [StructField(found_col, ArrayType(StringType())), StructField(marks_col, BinaryType())])
-        out = map_batches(out, run, schema)
-    return out
+                    sizes[k] = len(texts[k].decode())
+                columns[count_at] = pa.array(sizes, batch.schema.field(count_at).type)
+            batch = pa.RecordBatch.from_arrays(columns, schema=batch.schema)
+        return batch.filter(keep)
+
+    return _scanned(docs, items, window, block_bytes, text_col, item_col, item_text_col, finish, docs.schema)
