@@ -25,6 +25,11 @@ from velora.llm import html_text, media, url_filter
         ("<article>a<br>b<br><br>c</article>", "a b\nc"),
         ("<article><p>cut off <b", "cut off"),
         ("<article><p>1 < 2 &lt; 3 &#x41;</p>", "1 < 2 < 3 A"),
+        ("<article><p>Buy <span class='advert'>AD <b>now</b></span> now <span hidden>no</span><i class=x>yes</i></p></article>", "Buy now yes"),
+        ("<article><p>First of all.</p><p><a href=x>A paragraph that is one link and long enough to be decided</a></p><p>Last.</p></article>", "First of all.\nA paragraph that is one link and long enough to be decided\nLast."),
+        ("<article><div class='post-header'><h1>Title</h1></div><p class='foot-note'>Note</p><div class='search-results'><p>Found</p></div><div class='related-posts'><p>out</p></div></article>", "Title\nNote\nFound"),
+        ("<span class=ad><div>out</div>out</span><article>in<span class=ads><p>out</p></span></article>", "in"),
+        ("<ul><li><div><p>a<li>b</ul>", ""),
         ("<div hidden>x</div><article><div style='display: none'>x</div><p>y</p></article>", "y"),
     ],
 )
@@ -42,6 +47,65 @@ def test_extract_defined_cases(spark):
     assert html_text.main_text(long).count("\n") == 19_999
 
 
+PROSE = "the house that was by the river and all of it is in the old town as they have said to us when we were there with you".split()
+
+
+def generated(rng):
+    """A page and its main text."""
+    sentence = lambda n: " ".join(rng.choice(PROSE) for _ in range(n)).capitalize() + "."
+    boiler = lambda: rng.choice(["<nav><ul><li><a href=1>Home</a><li><a href=2>News</a></ul></nav>", "<div class='sidebar'><p>" + sentence(20) + "</p></div>", "<aside>" + sentence(9) + "</aside>", "<footer><p>" + sentence(12) + "</p></footer>", "<div id='cookie-banner'>" + sentence(15) + "</div>", "<form><label>Name</label><input></form>", "<script>if (1 < 2) { x('<p>no</p>') }</script>", "<!-- <p>no</p> -->", "<section class=comments><article><p>" + sentence(20) + "</p></article></section>", "<div class='ad-slot'>" + sentence(8) + "</div>"])
+    text, body = [], []
+    for _ in range(rng.randint(1, 9)):
+        kind = rng.randrange(6)
+        words = sentence(rng.randint(1, 60))
+        if kind == 0:
+            text.append(words)
+            body.append(f"<h2 class='{rng.choice(['post-header', 'title', 'x'])}'>{words}</h2>")
+        elif kind == 1:
+            items = [sentence(rng.randint(1, 5)) for _ in range(3)]
+            text += items
+            body.append("<ul>" + "".join(f"<li>{x}" + rng.choice(["", "</li>"]) for x in items) + "</ul>")
+        elif kind == 2:
+            text.append(words + " & ü")
+            body.append(f"<p>{words} <b>&amp;</b>\n <i class='foot'>&uuml;</i></p>")
+        elif kind == 3:
+            text.append(words)
+            body.append(f"<p><a href='x'>{words}</a>")
+        elif kind == 4:
+            text.append(words)
+            body.append(f"<div class='{rng.choice(['foot-note', 'search-results', 'reply-to', 'y'])}'><p>{words}<span class='advert'>Buy!</span></p></div>")
+        else:
+            body.append(boiler())
+    page = "<html><body>" + "".join(boiler() for _ in range(3)) + f"<{(root := rng.choice(['article', 'main']))}>" + "".join(body) + f"</{root}>" + "".join(boiler() for _ in range(3)) + "</body></html>"
+    return page, "\n".join(text)
+
+
+def test_generated_pages_give_their_text():
+    import random
+
+    for seed in range(400):
+        page, text = generated(random.Random(seed))
+        assert html_text.main_text(page) == text, page
+
+
+def test_ties_between_neighbours_and_hostile_pages():
+    import time
+
+    good = "<p>This is the first of the long paragraphs that we have in the text and it is good.</p>"
+    bad = "<p><a href=1>One link that is long enough to count as one</a></p>"
+    # equally near: good wins; else the nearer one
+    assert html_text.main_text(good + "<p>Tie.</p>" + bad).endswith("Tie.")
+    assert not html_text.main_text(good + "<p>a</p><p>b</p><p>Far.</p>" + bad).endswith("Far.")
+    began = time.process_time()
+    n = 30_000
+    assert html_text.main_text("<div>" * n + "x") == ""
+    assert html_text.main_text("<article>" + "<span>" * n + "</b>" * n + "x" + "<li>" * 10) == "x"
+    assert html_text.main_text("<article>" + "<div><li>" * n + "x") == "x"
+    assert len(html_text.main_text("<article>" + "<p>" + "w" * 3_000_000)) == 3_000_000
+    assert html_text.main_text("<article>" + "<a href='" * n) in ("", "<a href='" * n)
+    assert time.process_time() - began < 30
+
+
 # Media
 
 

@@ -2,22 +2,24 @@
 
 Method. A page is cut into blocks at block-level tags. Blocks inside menus,
 headers, footers, sidebars, notices, adverts, forms and reader comments (by tag,
-role, class or id of an enclosing element) are out. Pass one decides each other
+role, class or id of an enclosing element, be it a block or inline) are out; inside an
+article only tags and names that can mean nothing else count, as a post-header has the
+title and a foot-note is text. Pass one decides each other
 block from its link density, its length and its density of stop words (the
 densest of the four lists). Blocks that are too short or too poor in stop words
 to decide are ambiguous. Pass two gives each ambiguous block the label of the
 nearest decided block before or after it; of two equally near ones that differ,
 good wins. Where the page has an article or main element, only blocks inside it
 compete, and the place itself speaks for them: only link density makes such a
-block bad, only good neighbours hand their label on, and an ambiguous one without such
-neighbours is good. On a page without one, an ambiguous block without decided
+block bad, if it is no paragraph or heading, only good neighbours hand their label on,
+and an ambiguous one without such neighbours is good. On a page without one, an ambiguous block without decided
 neighbours is bad.
 
 Text inside a block has its character references decoded and white space runs
 turned into one space; blocks are joined by one newline. Nothing is cut or
 capped. A single <br> is white space, two in a row end the block.
 
-Work is per row, without a shuffle. Defined results: null or empty html gives
+Work is per row, linear in its length, without a shuffle. Defined results: null or empty html gives
 the empty text; broken or cut off markup is read as far as it goes; repeated
 rows give equal rows; a null url stays null.
 """
@@ -26,6 +28,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -69,19 +72,27 @@ BOILER_ROLES = frozenset("navigation banner contentinfo complementary search for
 BOILER_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense banner banners sponsor sponsored sponsors promo promotion promoted cookie cookies consent gdpr notice notices notification alert sidebar sidebars rail nav navbar navigation menu menus breadcrumb breadcrumbs crumbs footer foot header masthead comment comments commentlist reply replies respond discussion disqus share sharing social related recommended widget widgets newsletter subscribe subscription signup popup modal overlay login search skip pagination pager toolbar copyright disclaimer paywall outbrain taboola".split()
 )
+#: Of these names those that are boilerplate inside an article too.
+NARROW_NAMES = BOILER_NAMES - frozenset("header foot masthead search respond reply discussion social notification alert rail overlay toolbar skip copyright disclaimer widget widgets modal navigation login signup pager".split())
+#: Elements whose own names matter though they are no blocks.
+INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+#: Blocks that are text of an article even if they are one link.
+PROSE_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote figcaption caption pre dd".split())
 #: Opening one of these ends an open paragraph; and which open elements others of their kind end.
 _CLOSES_P = BLOCK_TAGS - {"head", "body", "html"}
 _SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
+#: What an end that is left out can be looked for behind, and where the search ends.
+_PASSED = frozenset("address div p dd dt li td th tr a span".split())
 _LIMITS = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
 
 
 class Block:
     """White space-normalised text; the share of its characters in links; where it stands."""
 
-    __slots__ = ("boiler", "linked", "root", "text")
+    __slots__ = ("boiler", "linked", "prose", "root", "text")
 
-    def __init__(self, text: str, linked: float, root: bool, boiler: bool) -> None:
-        self.text, self.linked, self.root, self.boiler = text, linked, root, boiler
+    def __init__(self, text: str, linked: float, root: bool, boiler: bool, prose: bool) -> None:
+        self.text, self.linked, self.root, self.boiler, self.prose = text, linked, root, boiler, prose
 
 
 def _names(value: str) -> set[str]:
@@ -103,73 +114,149 @@ def _kind(tag: str, attrs: str, in_root: bool) -> tuple[bool, bool]:
     names = _names(f"{found.get('class', '')} {found.get('id', '')}") if "class" in found or "id" in found else set()
     root = root or bool(names & ROOT_NAMES)
     hidden = "hidden" in found or found.get("aria-hidden", "").lower() == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    if hidden or names & BOILER_NAMES and not (tag in ("header", "h1", "h2", "h3") and in_root) and not (root and tag == "main"):
+    known = NARROW_NAMES if in_root else BOILER_NAMES
+    if hidden or names & known and not (tag in ("header", "h1", "h2", "h3") and in_root) and not (root and tag == "main"):
         return False, True
     if tag in BOILER_TAGS and not (tag == "header" and in_root) or role in BOILER_ROLES and not (role == "banner" and in_root):
         return False, True
     return root, False
 
 
-def blocks(page: str) -> Iterator[Block]:
-    """The blocks of a page in page order, without empty ones."""
-    stack: list[tuple[str, bool, bool]] = []  # tag, root, boilerplate; both include the enclosing ones
-    pieces: list[tuple[str, bool]] = []
-    link, breaks, at = False, 0, 0
+class _Inline:
+    """Inline elements that are open inside one block element."""
+
+    __slots__ = ("count", "hidden", "open")
+
+    def __init__(self) -> None:
+        self.open: list[tuple[str, bool]] = []  # tag, whether it is boilerplate
+        self.count: Counter[str] = Counter()
+        self.hidden = 0  # how many are boilerplate
+
+    def push(self, tag: str, boiler: bool) -> None:
+        self.open.append((tag, boiler))
+        self.count[tag] += 1
+        self.hidden += boiler
+
+    def close(self, tag: str) -> None:
+        while self.count[tag]:
+            closed, boiler = self.open.pop()
+            self.count[closed] -= 1
+            self.hidden -= boiler
+            if closed == tag:
+                break
+
+
+class _Open:
+    """An open block element: what holds inside it, and the inline elements open around it."""
+
+    __slots__ = ("around", "boiler", "root", "tag")
+
+    def __init__(self, tag: str, root: bool, boiler: bool, around: _Inline) -> None:
+        self.tag, self.root, self.boiler, self.around = tag, root, boiler, around
+
+
+class _Parser:
+    """Blocks of a page from its markup, one tag after the other."""
 
-    def flush() -> Block | None:
-        if not pieces:
+    def __init__(self) -> None:
+        self.stack: list[_Open] = []
+        self.count: Counter[str] = Counter()  # open block elements by tag
+        self.inline = _Inline()
+        self.pieces: list[tuple[str, bool]] = []
+        self.link, self.breaks = False, 0
+
+    def flush(self) -> Block | None:
+        self.breaks = 0
+        if not self.pieces:
             return None
-        raw = "".join(x for x, _ in pieces)
+        raw = "".join(x for x, _ in self.pieces)
         text = " ".join((html.unescape(raw) if "&" in raw else raw).split())
-        whole = sum(len(x.strip()) for x, _ in pieces)
-        block = Block(text, sum(len(x.strip()) for x, a in pieces if a) / max(whole, 1), bool(stack) and stack[-1][1], bool(stack) and stack[-1][2]) if text else None
-        pieces.clear()
-        return block
+        whole = sum(len(x.strip()) for x, _ in self.pieces)
+        linked = sum(len(x.strip()) for x, a in self.pieces if a) / max(whole, 1)
+        self.pieces.clear()
+        top = self.stack[-1] if self.stack else None
+        return Block(text, linked, bool(top and top.root), bool(top and top.boiler), bool(top and top.tag in PROSE_TAGS)) if text else None
+
+    def text(self, piece: str) -> None:
+        if not self.inline.hidden:
+            self.pieces.append((piece, self.link))
+        if not piece.isspace():
+            self.breaks = 0
+
+    def pop(self) -> None:
+        top = self.stack.pop()
+        self.count[top.tag] -= 1
+        self.inline = top.around
+
+    def inline_tag(self, tag: str, end: bool, attrs: str) -> None:
+        if tag == "a":
+            self.link = not end
+        if end:
+            self.inline.close(tag)
+        else:
+            root = bool(self.stack and self.stack[-1].root)
+            self.inline.push(tag, bool(attrs and not attrs.isspace()) and _kind(tag, attrs, root)[1])
+
+    def close(self, tag: str) -> None:
+        if self.count[tag]:
+            while self.stack[-1].tag != tag:
+                self.pop()
+            self.pop()
+
+    def open(self, tag: str, attrs: str) -> None:
+        if tag in _CLOSES_P and self.stack and self.stack[-1].tag == "p":
+            self.pop()
+        if tag == "body":  # an unclosed head ends here
+            self.close("head")
+        siblings, limits = _SIBLINGS.get(tag, ()), _LIMITS.get(tag, ())
+        if any(self.count[x] for x in siblings):
+            for k in range(len(self.stack) - 1, -1, -1):
+                if self.stack[k].tag in siblings:
+                    while len(self.stack) > k:
+                        self.pop()
+                    break
+                if self.stack[k].tag in limits or self.stack[k].tag not in _PASSED:
+                    break
+        top = self.stack[-1] if self.stack else None
+        root, boiler = bool(top and top.root), bool(top and top.boiler)
+        own_root, own_boiler = _kind(tag, attrs, root)
+        self.stack.append(_Open(tag, root or own_root, boiler or own_boiler or self.inline.hidden > 0, self.inline))
+        self.count[tag] += 1
+        self.inline = _Inline()
+
 
+def blocks(page: str) -> Iterator[Block]:
+    """The blocks of a page in page order, without empty ones."""
+    p, at = _Parser(), 0
     for m in _MARKUP.finditer(page):
         if m.start() > at:
-            piece = page[at : m.start()]
-            pieces.append((piece, link))
-            breaks = 0 if not piece.isspace() else breaks
+            p.text(page[at : m.start()])
         at = m.end()
         tag = m["tag"] or m["tag2"]
         if not tag:
             continue
-        tag, end = tag.lower(), m["end"] or m["end2"]
-        if tag == "a":
-            link = not end
+        tag, end, attrs = tag.lower(), bool(m["end"] or m["end2"]), m["attrs"] or m["attrs2"] or ""
+        if tag in INLINE_TAGS:
+            p.inline_tag(tag, end, attrs)
         elif tag == "br":
-            pieces.append((" ", link))
-            breaks += 1
-            if breaks > 1 and (b := flush()):
+            breaks = p.breaks + 1
+            p.pieces.append((" ", p.link))
+            p.breaks = breaks
+            if breaks > 1 and (b := p.flush()):
                 yield b
         elif tag in BLOCK_TAGS or tag in BOILER_TAGS or tag in ROOT_TAGS:
-            if b := flush():
+            if b := p.flush():
                 yield b
-            link, breaks = False, 0
+            p.link = False
             if tag in VOID_TAGS:
                 continue
             if end:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-                if k is not None:
-                    del stack[k:]
-                continue
-            if tag in _CLOSES_P and stack and stack[-1][0] == "p":
-                stack.pop()
-            if tag == "body":  # an unclosed head ends here
-                stack[:] = [x for x in stack if x[0] != "head"]
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in _LIMITS.get(tag, ()) and stack[k][0] not in _SIBLINGS.get(tag, ()):
-                    break
-                if stack[k][0] in _SIBLINGS.get(tag, ()):
-                    del stack[k:]
-                    break
-            root, boiler = stack[-1][1:] if stack else (False, False)
-            own_root, own_boiler = _kind(tag, m["attrs"] or m["attrs2"] or "", root)
-            stack.append((tag, root or own_root, boiler or own_boiler))
+                p.close(tag)
+            else:
+                p.open(tag, attrs)
     if at < len(page):
-        pieces.append((page[at:], link))
-    if b := flush():
+        p.text(page[at:])
+    if b := p.flush():
         yield b
 
 
@@ -184,7 +271,7 @@ def labels(found: list[Block]) -> list[bool]:
     first: list[bool | None] = []
     for b in found:
         if b.linked > MAX_LINK_DENSITY:
-            first.append(False)
+            first.append(None if b.root and b.prose else False)
         elif len(b.text) < SHORT:
             first.append(None)
         elif stop_density(b.text) >= MIN_STOP_DENSITY:
