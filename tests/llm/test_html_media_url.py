@@ -125,6 +125,20 @@ def test_decoders():
     palette = bytes(x for k in range(4) for x in (k, 10 * k, 20 * k, 0))
     small = b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + 16) + struct.pack("<IiiHHIIiiII", 40, 2, -1, 1, 8, 0, 0, 0, 0, 4, 0) + palette + bytes([3, 1, 0, 0])
     assert (media.decode(small) == [[[60, 30, 3], [20, 10, 1]]]).all()
+    # ASCII forms, and samples that don't use the whole range
+    assert (media.decode(b"P1 # c\n3 2\n1 0 1\n010") == [[0, 255, 0], [255, 0, 255]]).all()
+    assert (media.decode(b"P2\n2 1\n# c\n15\n0 15") == [[0, 255]]).all() and media.decode(b"P2\n2 1\n15\n0") is None
+    assert (media.decode(b"P3\n1 1\n1\n1 0 1") == [[[255, 0, 255]]]).all()
+    assert (media.decode(b"P5\n2 1\n100\n" + bytes([50, 100])) == [[128, 255]]).all()
+    assert (media.decode(b"P5\n2 1\n1000\n" + struct.pack(">HH", 0, 1000)) == [[0, 65535]]).all()
+    # masks, 16 bits, and small palettes
+    bmp = lambda w, h, bits, packing, extra, body: b"BM" + struct.pack("<IHHI", 0, 0, 0, 54 + len(extra)) + struct.pack("<IiiHHIIiiII", 40, w, h, 1, bits, packing, 0, 0, 0, len(extra) // 4 * (bits < 16), 0) + extra + body
+    assert (media.decode(bmp(1, -1, 32, 3, struct.pack("<III", 0xFF, 0xFF00, 0xFF0000), bytes([9, 8, 7, 0]))) == [[[9, 8, 7]]]).all()
+    assert (media.decode(bmp(1, -1, 16, 3, struct.pack("<III", 0xF800, 0x7E0, 0x1F), struct.pack("<HH", 0xF81F, 0))) == [[[255, 0, 255]]]).all()
+    assert (media.decode(bmp(2, -1, 16, 0, b"", struct.pack("<HH", 0x7FFF, 0x3E0))) == [[[255] * 3, [0, 255, 0]]]).all()
+    assert (media.decode(bmp(3, -1, 1, 0, bytes([0, 0, 0, 0, 3, 2, 1, 0]), bytes([0b01000000, 0, 0, 0]))) == [[[0] * 3, [1, 2, 3], [0] * 3]]).all()
+    assert (media.decode(bmp(3, -1, 4, 0, palette, bytes([0x31, 0x20, 0, 0])))[:, :, 2] == [[3, 1, 2]]).all()
+    assert media.decode(bmp(1, 1, 8, 1, palette, bytes(4))) is None
     assert all(media.decode(x) is None for x in (None, b"", b"P5\n9 9\n255\nx", b"BM", b"GIF89a", b"P5\nx"))
 
 

@@ -1,7 +1,8 @@
 """Media columns: netpbm and BMP images decoded to numpy arrays and stored as NPY tiles.
 
-Method. Binary netpbm (P4, P5, P6; 8 or 16 bit) and uncompressed BMP (8, 24 and
-32 bit) files are decoded to numpy arrays. Resizing averages areas: with the
+Method. Netpbm (P1 to P6; 8 or 16 bit, samples scaled to the whole range of these) and
+uncompressed BMP (1, 4, 8, 16, 24 and 32 bit, with or without channel masks; not RLE)
+files are decoded to numpy arrays. Resizing averages areas: with the
 integral image (double cumulative sum), the mean of any rectangle is four
 look-ups, and fractional borders come from linear interpolation of the integral
 image. A 9 x 8 area-resize gives the difference hash: bit k is 1 if a sample is
@@ -15,13 +16,14 @@ a positive multiple of 576, are the samples of a grey image of 24 columns, one
 the payload.
 
 All work is per row, so there is no shuffle and memory is bounded by a batch of
-rows and the largest single text. Defined results: a null text is empty (one
+rows and bytes and the largest single text. Defined results: a null text is empty (one
 tile of 255); a file that is no image gives null; repeated rows give equal rows.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 
@@ -36,12 +38,21 @@ BLOCK = SIDE * SIDE
 HASH_ROWS, HASH_COLS = 8, 9
 
 
+def _scaled(samples: np.ndarray, most: int) -> np.ndarray:
+    """Samples of 0 to most, as 8 bits of 0 to 255 or 16 bits of 0 to 65535."""
+    full = 255 if most <= 255 else 65535
+    if most != full:
+        samples = (np.minimum(samples, most).astype(np.uint64) * full + most // 2) // most
+    return samples.astype(np.uint8 if full == 255 else np.uint16, copy=False)
+
+
 def decode_netpbm(data: bytes) -> np.ndarray:
-    """P4, P5 or P6 to an array (rows, columns[, 3]); samples stay as they are."""
+    """P1 to P6 to an array (rows, columns[, 3])."""
     kind, at, numbers = data[:2], 2, []
-    if kind not in (b"P4", b"P5", b"P6"):
-        raise ValueError("not a binary netpbm file")
-    while len(numbers) < (2 if kind == b"P4" else 3):
+    if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
+        raise ValueError("not a netpbm file")
+    bits = kind in (b"P1", b"P4")
+    while len(numbers) < (2 if bits else 3):
         while at < len(data) and (data[at : at + 1].isspace() or data[at : at + 1] == b"#"):
             at = (data.index(b"\n", at) if data[at : at + 1] == b"#" else at) + 1
         end = at
@@ -51,16 +62,24 @@ def decode_netpbm(data: bytes) -> np.ndarray:
             raise ValueError("bad netpbm header")
         numbers.append(int(data[at:end]))
         at = end
+    width, height, most = (*numbers, 1)[:3]
+    if not 0 < most < 65536:
+        raise ValueError("bad largest sample")
+    shape = (height, width, 3) if kind in (b"P3", b"P6") else (height, width)
+    size = int(np.prod(shape))
+    if kind in (b"P1", b"P2", b"P3"):
+        plain = re.sub(rb"#[^\n]*", b" ", data[at:])
+        found = re.findall(rb"[01]", plain) if bits else plain.split()
+        if len(found) < size:
+            raise ValueError("too few samples")
+        samples = np.array(found[:size]).astype(np.int64).reshape(shape)
+        return (1 - samples).astype(np.uint8) * np.uint8(255) if bits else _scaled(samples, most)
     at += 1  # one white space byte ends the header
-    width, height = numbers[:2]
-    if kind == b"P4":
+    if bits:
         step = -(-width // 8)
         rows = np.frombuffer(data, np.uint8, step * height, at).reshape(height, step)
         return (1 - np.unpackbits(rows, axis=1)[:, :width]) * np.uint8(255)
-    kinds = np.dtype(">u2" if numbers[2] > 255 else "u1")
-    shape = (height, width) if kind == b"P5" else (height, width, 3)
-    out = np.frombuffer(data, kinds, int(np.prod(shape)), at).reshape(shape)
-    return out.astype(kinds.newbyteorder("="), copy=False)
+    return _scaled(np.frombuffer(data, ">u2" if most > 255 else "u1", size, at).reshape(shape), most)
 
 
 def encode_pgm(samples: np.ndarray) -> bytes:
@@ -69,22 +88,37 @@ def encode_pgm(samples: np.ndarray) -> bytes:
     return b"P5\n%d %d\n255\n" % (width, height) + np.ascontiguousarray(samples, np.uint8).tobytes()
 
 
+def _channel(pixels: np.ndarray, mask: int) -> np.ndarray:
+    """The bits of a mask, scaled to 0 to 255."""
+    if not mask:
+        return np.zeros(pixels.shape, np.uint8)
+    low = (mask & -mask).bit_length() - 1
+    most = mask >> low
+    return (((pixels & np.uint64(mask)) >> np.uint64(low)) * np.uint64(255) // np.uint64(most)).astype(np.uint8)
+
+
 def decode_bmp(data: bytes) -> np.ndarray:
-    """Uncompressed BMP of 8, 24 or 32 bits to an array (rows, columns[, 3]) in RGB order."""
+    """Uncompressed BMP to an array (rows, columns, 3) in RGB order."""
     if data[:2] != b"BM":
         raise ValueError("not a BMP file")
     start, header = struct.unpack_from("<II", data, 10)
     width, height, _, bits, packing = struct.unpack_from("<iiHHI", data, 18)
-    if packing not in (0, 3) or bits not in (8, 24, 32):
+    if packing not in (0, 3, 6) or bits not in (1, 4, 8, 16, 24, 32) or packing and bits not in (16, 32):
         raise ValueError("unsupported BMP kind")
     rows, step = abs(height), -(-width * bits // 32) * 4
-    body = np.frombuffer(data, np.uint8, step * rows, start).reshape(rows, step)[:, : width * bits // 8]
+    body = np.frombuffer(data, np.uint8, step * rows, start).reshape(rows, step)
     body = body if height < 0 else body[::-1]
+    if bits == 24:
+        return np.ascontiguousarray(body[:, : 3 * width].reshape(rows, width, 3)[:, :, ::-1])
     if bits > 8:
-        return np.ascontiguousarray(body.reshape(rows, width, bits // 8)[:, :, 2::-1])
-    used = struct.unpack_from("<I", data, 46)[0] or 256
+        pixels = np.ascontiguousarray(body[:, : width * bits // 8]).view(f"<u{bits // 8}").astype(np.uint64)
+        usual = (0x7C00, 0x3E0, 0x1F) if bits == 16 else (0xFF0000, 0xFF00, 0xFF)
+        masks = struct.unpack_from("<III", data, 54) if packing else usual
+        return np.stack([_channel(pixels, m) for m in masks], axis=2)
+    at = body[:, :width] if bits == 8 else np.packbits(np.unpackbits(body, axis=1).reshape(rows, -1, bits)[:, :width], axis=2)[:, :, 0] >> (8 - bits)
+    used = struct.unpack_from("<I", data, 46)[0] or 1 << bits
     palette = np.frombuffer(data, np.uint8, used * 4, 14 + header).reshape(used, 4)[:, 2::-1]
-    return palette[body]
+    return palette[at]
 
 
 def decode(data: bytes | None) -> np.ndarray | None:
