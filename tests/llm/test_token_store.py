@@ -3,8 +3,9 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 from velora.llm import token_store as ts
 
@@ -26,14 +27,38 @@ def texts(n=200):
 def test_encoder_is_the_library(library):
     encoder = ts.Encoder(PATH, 2)
     for _ in range(2):
-        assert [x.tolist() for x in encoder.encode(texts())] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts()]
+        assert [x.tolist() for x in encoder.encode(pa.array(texts()))] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts()]
 
 
 def test_small_caches_change_nothing(library, monkeypatch):
     monkeypatch.setattr(ts, "CACHE_WORDS", 5)
+    monkeypatch.setattr(ts, "CACHE_PIECES", 3)
     encoder = ts.Encoder(PATH, 2)
     for t in texts(40):
-        assert encoder.encode([t])[0].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+        assert encoder.encode(pa.array([t]))[0].tolist() == [*library.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_encoder_over_all_letters(library):
+    random.seed(6)
+    letters = [chr(c) for c in range(1, 0x250)] + list(" \n.,'") * 40
+    some = ["".join(random.choice(letters) for _ in range(60)) for _ in range(1500)]
+    got = ts.Encoder(PATH, 2).encode(pa.array(some))
+    assert [x.tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
+def test_other_tokenizers_get_whole_texts(tmp_path, library):
+    digits, lower, clip = (Tokenizer.from_file(PATH) for _ in range(3))
+    digits.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
+    lower.normalizer = normalizers.Lowercase()
+    clip.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=True)
+    for k, other in enumerate((digits, lower, clip)):
+        other.save(f"{tmp_path}/{k}.json")
+    for path in [*(f"{tmp_path}/{k}.json" for k in range(3)), P.path("word_bpe_49k.json")]:
+        encoder, other = ts.Encoder(path, 2), Tokenizer.from_file(path)
+        assert not encoder.known
+        some = [*texts(30), "In 2024 The 12345 WORDS"]
+        assert [x.tolist() for x in encoder.encode(pa.array(some))] == [[*other.encode(t, add_special_tokens=False).ids, 2] for t in some]
+    assert ts.Encoder(PATH, 2).known
 
 
 def test_cuts_are_local_and_bounded():
@@ -93,6 +118,47 @@ def test_damage_is_found(spark, tmp_path):
     payloads = [chunks[1].payload, *[c.payload for c in chunks[1:]]]
     spark.createDataFrame([(c.address, c.n, p) for c, p in zip(chunks, payloads)], "address binary, n int, payload binary").write.mode("overwrite").parquet(f"{path}/chunks")
     assert sorted(r.verified for r in ts.read_back(spark, path).collect()) == [False, True]
+    with pytest.raises(Exception, match="lost or damaged"):
+        ts.reconstruct(spark, path).collect()
+
+
+def test_recipes_are_ascending_in_many_files_and_hot_ids_are_split(spark, tmp_path):
+    rows = [(i, f"text {i}") for i in range(1200)] + [(600, "hot")] * 500 + [(None, f"none {i}") for i in range(300)]
+    random.seed(9)
+    random.shuffle(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    path = f"file://{tmp_path}/store"
+    ts.write(docs, path, PATH, end_id=2, part_rows=100)
+    recipes = spark.read.parquet(f"{path}/recipes").withColumn("file", ts.F.input_file_name())
+    files = {}
+    for r in recipes.collect():
+        files.setdefault(r.file, []).append((r.start, -1 if r.doc_id is None else r.doc_id, r.part))
+    assert len(files) > 10 and max(map(len, files.values())) < 400
+    ordered = [i for name in sorted(files) for _, i, _ in sorted(files[name])]
+    assert ordered == sorted(-1 if i is None else i for i, _ in rows)
+    got = ts.read_back(spark, path).collect()
+    assert all(r.verified for r in got) and len({r.start for r in got}) == len(rows)
+    starts = [(-1 if r.doc_id is None else r.doc_id) for r in sorted(got, key=lambda r: r.start)]
+    assert starts == sorted(starts)
+    assert not (tmp_path / "store" / "staging").exists()
+
+
+def test_lost_and_exchanged_recipes_are_found(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"words of text {i}") for i in range(40)], "doc_id long, text string")
+    path = f"file://{tmp_path}/store"
+    ts.write(docs, path, PATH, end_id=2, part_rows=10)
+    whole = spark.read.parquet(f"{path}/recipes").collect()
+    fields = "doc_id long, part int, start long, n_tokens long, addresses array<binary>, lengths array<int>, root binary"
+    put = lambda rows: spark.createDataFrame([tuple(r) for r in rows], fields).write.mode("overwrite").parquet(f"{path}/recipes")
+    part_of = {r.doc_id: r.part for r in whole}
+    put([r for r in whole if r.doc_id != 7])
+    assert {r.doc_id: r.verified for r in ts.read_back(spark, path).collect()} == {i: part_of[i] != part_of[7] for i in range(40) if i != 7}
+    # a recipe in another's place, with a root of its own that fits
+    other = next(r for r in whole if r.doc_id == 8)
+    put([type(r)(**{**r.asDict(), "addresses": other.addresses, "root": other.root}) if r.doc_id == 7 else r for r in whole])
+    assert {r.doc_id for r in ts.read_back(spark, path).collect() if not r.verified} == {i for i in range(40) if part_of[i] == part_of[7]}
+    put([r for r in whole if r.part != part_of[7]])
+    assert {r.part for r in ts.audit(spark, path).collect() if not r.complete} == {part_of[7]}
 
 
 def test_empty_table(spark, tmp_path):

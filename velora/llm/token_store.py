@@ -8,23 +8,25 @@ The store has three tables of Parquet files:
 
 ``chunks``    address, n, payload: every distinct chunk once, as 16-bit ids if
               the vocabulary allows and 32-bit ids else, zstd-packed
-``recipes``   doc_id, start, n_tokens, addresses, lengths, root, part: for each
-              document, in ascending doc_id order, the chunks that make it up,
-              its offset in the stream of all ids, and the Merkle root of its
-              addresses
-``manifest``  part, documents, tokens, root: for each range of doc_id, the Merkle
-              root over its documents' roots in order
+``recipes``   doc_id, part, start, n_tokens, addresses, lengths, root: for each
+              document the chunks that make it up, where it starts among its part's
+              ids, and the Merkle root of its addresses; a part is a range of doc_id
+              and a file, and parts and the rows in them are in ascending doc_id order
+``manifest``  part, documents, tokens, offset, root: for each part where it starts in
+              the stream of all ids, and the Merkle root over its documents' roots
 
 Reading back unpacks every stored chunk, checks it against its address, joins
-recipes with what the chunks hold, checks lengths and Merkle roots, and
-reconstructs. A document's CRC-32 is put together from its chunks' CRCs, so the
-ids themselves are never shuffled for it.
+recipes with what the chunks hold, checks lengths and Merkle roots of documents, and
+recomputes each part's root, documents and ids against the manifest, so that a lost or
+exchanged recipe shows. A document's CRC-32 is put together from its chunks' CRCs, so
+the ids themselves are never shuffled for it.
 
 Scale: texts are encoded once, and the staged rows hold a chunk's payload only
 where their task sees it first; so a chunk that a third of all documents have is
-shuffled once per task. Ranges of doc_id are cut at quantiles; their totals, one
-number per range, are all that reaches the driver. The join on the address is
-between rows of some 40 bytes and can be split if skewed.
+shuffled once per task. Parts are ranges of (doc_id, ids' hash, row), so that an id
+that very many rows have, or none, is split too; their totals and roots, one row per
+part, are all that reaches the driver. The join on the address is between rows of some
+40 bytes and can be split if skewed. What was staged is removed at the end.
 
 Defined results: a null text is empty, that is the end id alone. Documents with
 one doc_id follow each other by the hash of their ids, null ids come first. An
@@ -34,55 +36,77 @@ empty table gives an empty store.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm.common import id_and_text, release_memory, shared_folder, texts_utf8
+from velora.llm.common import discard, id_and_text, release_memory, shared_folder, slices
 
 WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
 DIGEST = 16
-#: Distinct words and addresses that a task keeps; beyond that it starts anew, at a cost in time or payload only.
-CACHE_WORDS, CACHED_LENGTH, CACHE_ADDRESSES = 300_000, 12, 400_000
+#: Distinct words, pieces and addresses that a worker keeps; beyond that it starts anew, at a cost in time or payload only.
+CACHE_WORDS, CACHE_PIECES, CACHED_LENGTH, CACHE_ADDRESSES = 600_000, 200_000, 16, 400_000
 #: The byte-level split pattern, fixed by the tokenizer; for letters below U+0250 this is its \p{L}, \p{N} form.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
-#: Characters that the two forms, or their notions of white space, may class differently.
-_UNSURE = re.compile("[\x1c-\x1f\x85\xb2\xb3\xb9\xbc-\xbe\u0250-\U0010ffff]")
+#: Texts with white space beside a space, or characters that the two forms, or their notions of white space, may class differently.
+_UNSURE = "^ | $| [ \t\n\v\f\r]|[\t\n\v\f\r] |[\\x1c-\\x1f\\x{85}\\x{b2}\\x{b3}\\x{b9}\\x{bc}-\\x{be}\\x{250}-\\x{10ffff}]"
+#: What such a tokenizer's file says beside its vocabulary.
+_KNOWN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False}}
 _POLY = np.uint64(0xEDB88320)
 
 
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in a byte-level vocabulary: itself if it can be seen, else the next from U+0100."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {b: chr(b) for b in seen} | {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in set(seen))}
+
+
+def splits_as_known(tokenizer) -> bool:
+    """Whether the tokenizer's pieces are those of the pattern above, over a plain byte-level vocabulary."""
+    told = json.loads(tokenizer.to_str())
+    fits = lambda part, want: part == want if not isinstance(want, dict) else isinstance(part, dict) and all(fits(part.get(k), v) for k, v in want.items())
+    return fits(told, _KNOWN) and not told.get("truncation") and not told.get("padding") and not told["model"].get("ignore_merges")
+
+
 class Encoder:
     """The tokenizers library over whole texts, each distinct piece encoded once.
 
-    The tokenizer's split pattern starts a piece at every single space between
-    two other characters, and the library encodes pieces one by one. So a text is
-    cut there, and known words are looked up; new words are cut into pieces, and
-    the new pieces of some hundred texts go to the library in one call. A text that has other
-    white space beside a space, an added token's string, or characters for which
-    the pattern below might differ from the tokenizer's goes to the library whole.
+    Where the tokenizer is of the known kind, its split pattern starts a piece at
+    every single space between two other characters, and the library's model encodes
+    pieces one by one. So texts are cut there; the distinct words of a batch are looked
+    up, new words are cut into pieces, and new pieces go to the library's model. A text
+    that has other white space beside a space, an added token's string, or characters
+    for which the pattern above might differ from the tokenizer's goes to the library
+    whole, and so does every text if the tokenizer is of another kind.
     """
 
     def __init__(self, path: str, end_id: int) -> None:
         import os
 
-        from tokenizers import Tokenizer, pre_tokenizers
+        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
-        self.pieces_only = Tokenizer.from_file(path)
-        self.pieces_only.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
-        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.known = splits_as_known(self.tokenizer)
+        self.model = self.tokenizer.model
+        # the library's own memory of words only costs time where no word comes twice
+        getattr(self.model, "_resize_cache", lambda _: None)(0)
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
+        self.unsure = "|".join([_UNSURE, *added])
+        self.letters = byte_letters()
         self.words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {}
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.end_id = end_id
         self.end = end_id.to_bytes(4, "little")
         self.wide = max(self.tokenizer.get_vocab_size(), end_id + 1) > 65536
@@ -90,55 +114,77 @@ class Encoder:
     def _whole(self, text: str) -> np.ndarray:
         return np.array([*self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.end_id], "<u4")
 
-    def _learn(self, fresh: list[str]) -> None:
-        """Encode new pieces in one call, with line feeds, whose id is their own, between them."""
-        plain = [p for p in fresh if "\n" not in p]
-        for p in (p for p in fresh if "\n" in p):
-            self.pieces[p] = self._whole(p)[:-1].tobytes()
-        ids = np.array(self.pieces_only.encode_batch_fast([[x for p in plain for x in (p, "\n")]], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
-        ends = np.flatnonzero(ids == self.feed).tolist()
-        raw = ids.tobytes()
-        self.pieces.update(zip(plain, [raw[4 * a : 4 * b] for a, b in zip([0, *(e + 1 for e in ends)], ends)], strict=True))
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """Each text's ids with the end id, 32-bit. New words are learnt for all texts at once."""
-        known, get = self.pieces, self.words.get
-        cut: list[tuple[str, list[str], list[bytes | None]] | None] = []
-        new: dict[str, bytes] = {}
-        heads: dict[str, bytes] = {}
-        for text in texts:
-            first, *words = text.split(" ")
-            found = list(map(get, words))
-            if None in found:
-                new.update(dict.fromkeys(w for w, ids in zip(words, found) if ids is None))
-            heads[first] = b""
-            cut.append((first, words, found))
-        odd = {w for w in new if not w or w[0].isspace() or w[-1].isspace() or _UNSURE.search(w)} | {w for w in heads if w[-1:].isspace() or _UNSURE.search(w)}
-        for w in odd:
-            new.pop(w, None)
-            heads.pop(w, None)
-        # a piece that opens with the space before a word opens the word
-        parts = _PIECES(" " + " ".join(new)) if new else []
-        head_parts = {w: _PIECES(w) for w in heads}
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        fresh = {p for p in parts if p not in known}.union(p for ps in head_parts.values() for p in ps if p not in known)
-        if fresh:
-            self._learn(list(fresh))
-        ids = [known[p] for p in parts]
-        starts = [i for i, p in enumerate(parts) if p[0] == " "]
-        new.update(zip(new, [ids[a] if b - a == 1 else b"".join(ids[a:b]) for a, b in zip(starts, [*starts[1:], len(parts)])], strict=True))
+    def _piece(self, piece: str) -> bytes:
+        """Ids of one piece, little-endian."""
+        letters = f"\u0120{piece[1:]}" if piece.isascii() and piece[1:].isalpha() and piece[0] == " " else piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
+
+    def _cut(self, word: str) -> bytes:
+        """Ids of a word behind a space that isn't all letters."""
         out = []
-        for text, (first, words, found) in zip(texts, cut):
-            if odd and (first in odd or not odd.isdisjoint(w for w, x in zip(words, found) if x is None)) or any(a in text for a in self.added):
-                out.append(self._whole(text))
-                continue
-            whole = [x or new[w] for w, x in zip(words, found)] if None in found else found
-            out.append(np.frombuffer(b"".join([*(known[p] for p in head_parts[first]), *whole, self.end]), "<u4"))
-        if len(self.words) > CACHE_WORDS:
-            self.words.clear()
-        self.words.update(x for x in new.items() if len(x[0]) <= CACHED_LENGTH)
-        return out
+        for piece in _PIECES(" " + word):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                ids = self._piece(piece)
+                if len(piece) <= CACHED_LENGTH:
+                    if len(self.pieces) >= CACHE_PIECES:
+                        self.pieces.clear()
+                    self.pieces[piece] = ids
+            out.append(ids)
+        return b"".join(out)
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of each of the distinct words behind a space."""
+        known = self.words
+        found = list(map(known.get, words))
+        if None in found:
+            if len(known) > CACHE_WORDS:
+                known.clear()
+            points = {p: self._piece(p) for p in (",", ".")}
+            for k, ids in enumerate(found):
+                if ids is not None:
+                    continue
+                word = words[k]
+                if word.isalpha():
+                    ids = self._piece(" " + word)
+                elif word[-1:] in points and (stem := word[:-1]).isalpha():
+                    ids = known.get(stem)
+                    if ids is None:
+                        ids = self._piece(" " + stem)
+                        if len(stem) <= CACHED_LENGTH:
+                            known[stem] = ids
+                    ids += points[word[-1]]
+                else:
+                    ids = self._cut(word)
+                found[k] = ids
+                if len(word) <= CACHED_LENGTH:
+                    known[word] = ids
+        return found
+
+    def encode(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array without nulls, 32-bit, with the end id."""
+        plain = pc.invert(pc.match_substring_regex(texts, self.unsure)) if self.known else pa.array([False] * len(texts))
+        out: list[np.ndarray | None] = [None if p else self._whole(t.as_py()) for p, t in zip(plain.to_pylist(), texts)]
+        lists = pc.split_pattern(texts.filter(plain), " ")
+        if not len(lists):
+            return out
+        offsets = lists.offsets.to_numpy().astype(np.int64)
+        offsets, values = offsets - offsets[0], lists.flatten()
+        heads = values.take(pa.array(offsets[:-1])).to_pylist()
+        coded = values.dictionary_encode()
+        # of the words of a batch, with the texts' first words, which have no space before them, and the end id
+        ids = [*self._words(coded.dictionary.to_pylist()), *(b"".join(map(self._piece, _PIECES(h))) for h in heads), self.end]
+        at = coded.indices.to_numpy().astype(np.int64)
+        at[offsets[:-1]] = len(ids) - 1 - len(heads) + np.arange(len(heads))
+        at = np.insert(at, offsets[1:], len(ids) - 1)
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begins = np.cumsum(sizes) - sizes
+        n = sizes[at]
+        ends = np.cumsum(n)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[at] - ends + n, n) + np.arange(ends[-1])]
+        bounds = ends[offsets[1:] + np.arange(len(heads))]
+        encoded = iter(np.split(flat, bounds[:-1]))
+        return [next(encoded) if x is None else x for x in out]
 
 
 #: A Python worker runs many tasks; its encoder, with the words it knows, stays.
@@ -231,7 +277,7 @@ def shifted_crc(crc: np.ndarray, behind: np.ndarray) -> np.ndarray:
 
 
 def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, order, n_tokens, addresses, lengths, fresh: payloads of addresses new to the task."""
+    """doc_id, tie, n_tokens, addresses, lengths, root, fresh: payloads of addresses new to the task."""
 
     def lists(parts: list[list], values: pa.Array) -> pa.ListArray:
         return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), values)
@@ -240,10 +286,9 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         encoder, seen = encoder_of(tokenizer_path, end_id), set()
         pack = Packer(encoder.wide).pack
         for whole in batches:
-            for k in range(0, whole.num_rows, 128):
-                batch = whole.slice(k, 128)
+            for batch in slices(whole):
                 names, sizes, fresh, roots, totals = [], [], [], [], []
-                for ids in encoder.encode([t.decode() for t in texts_utf8(batch.column(1))]):
+                for ids in encoder.encode(pc.fill_null(batch.column(1), "")):
                     ends = cuts(ids)
                     chunks = [ids[a:b] for a, b in zip([0, *ends], ends)]
                     own = list(map(address, chunks))
@@ -271,51 +316,66 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, tie long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, fresh array<struct<address: binary, n: int, payload: binary>>")
 
 
-def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, part_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode documents and write the store at path."""
-    spark = docs.sparkSession
-    staging = f"{path}/staging"
-    _staged(id_and_text(docs, id_col, text_col), tokenizer_path, end_id).write.option("compression", "zstd").parquet(staging)
-    staged = spark.read.parquet(staging)
-    packs = staged.select(F.explode("fresh").alias("f")).select("f.*")
-    packs.groupBy("address").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+def _parts(recipes: DataFrame) -> DataFrame:
+    """part, documents, tokens, root of the recipes' parts, recomputed from what they hold."""
 
-    rows = staged.agg(F.count("*")).first()[0]
-    parts = max(1, rows // part_rows)
-    bounds = staged.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] if parts > 1 else []
-    edges = sorted(set(bounds or []))
-    if edges:
-        found = F.size(F.filter(F.lit(edges), lambda b: b <= F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(found)
-    else:
-        part = F.lit(0)
-    recipes = staged.select("doc_id", "tie", "n_tokens", "addresses", "lengths", "root", part.alias("part"))
-    totals = {r.part: r.tokens for r in recipes.groupBy("part").agg(F.sum("n_tokens").alias("tokens")).collect()}
-    before, offsets = 0, []
-    for k in range(len(edges) + 1):
-        offsets.append(before)
-        before += totals.get(k, 0)
-    order = Window.partitionBy("part").orderBy(F.col("doc_id").asc_nulls_first(), "tie")
-    start = F.element_at(F.lit(offsets), F.col("part") + 1).cast("long") + F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n_tokens")
-    recipes.withColumn("start", start).drop("tie").write.option("compression", "zstd").parquet(f"{path}/recipes")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the rows come sorted by part and start; the tree needs its part's roots only
         part, roots, tokens, done = None, [], 0, []
-        for frame in batches:
-            for p, root, n in zip(frame["part"], frame["root"], frame["n_tokens"]):
+        for batch in batches:
+            for p, root, n in zip(*(c.to_pylist() for c in batch.columns)):
                 if p != part and roots:
                     done.append((part, len(roots), tokens, merkle_root(roots)))
                     roots, tokens = [], 0
                 part = p
-                roots.append(bytes(root))
+                roots.append(root)
                 tokens += n
         if roots:
             done.append((part, len(roots), tokens, merkle_root(roots)))
-        yield pd.DataFrame(done, columns=["part", "documents", "tokens", "root"])
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array([d[k] for d in done], kind) for k, kind in enumerate(kinds)], ["part", "documents", "tokens", "root"])
+
+    ordered = recipes.select("part", "start", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "start")
+    return ordered.select("part", "root", "n_tokens").mapInArrow(fold, "part int, documents long, tokens long, root binary")
+
+
+def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int, part_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode documents and write the store at path."""
+    spark = docs.sparkSession
+    staging = f"{path}/staging"
+    _staged(id_and_text(docs, id_col, text_col), tokenizer_path, end_id).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(staging)
+    staged = spark.read.parquet(staging)
+    packs = staged.select(F.explode("fresh").alias("f")).select("f.*")
+    packs.groupBy("address").agg(F.first("n").alias("n"), F.first("payload").alias("payload")).write.option("compression", "uncompressed").parquet(f"{path}/chunks")
+
+    def started(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before = 0
+        for batch in batches:
+            sizes = batch.column(2).to_numpy()
+            starts = before + np.cumsum(sizes) - sizes
+            before += int(sizes.sum())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(starts, pa.int64()), *batch.columns[2:]], ["doc_id", "part", "start", "n_tokens", "addresses", "lengths", "root"])
+
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie"), F.col("row")]
+    rows = staged.agg(F.count("*")).first()[0]
+    ranged = staged.select("doc_id", "n_tokens", "addresses", "lengths", "root", "tie", "row").repartitionByRange(max(1, rows // part_rows), *order).sortWithinPartitions(*order)
+    ranged = ranged.select("doc_id", F.spark_partition_id().alias("part"), "n_tokens", "addresses", "lengths", "root")
+    ranged.mapInArrow(started, "doc_id long, part int, start long, n_tokens long, addresses array<binary>, lengths array<int>, root binary").write.option("compression", "zstd").parquet(f"{path}/recipes")
+
+    before, manifest = 0, []
+    for r in sorted(_parts(spark.read.parquet(f"{path}/recipes")).collect(), key=lambda r: r.part):
+        manifest.append((r.part, r.documents, r.tokens, before, r.root))
+        before += r.tokens
+    spark.createDataFrame(manifest, "part int, documents long, tokens long, offset long, root binary").coalesce(1).write.parquet(f"{path}/manifest")
+    discard(spark, staging)
+
 
-    ordered = spark.read.parquet(f"{path}/recipes").select("part", "start", "root", "n_tokens").repartition("part").sortWithinPartitions("part", "start")
-    ordered.select("part", "root", "n_tokens").mapInPandas(fold, "part int, documents long, tokens long, root binary").write.parquet(f"{path}/manifest")
+def audit(spark: SparkSession, path: str) -> DataFrame:
+    """part, offset, complete of every part of the manifest: whether its recipes are all there and as they were."""
+    manifest = spark.read.parquet(f"{path}/manifest")
+    now = _parts(spark.read.parquet(f"{path}/recipes")).select(F.col("part").alias("p"), F.col("documents").alias("d"), F.col("tokens").alias("t"), F.col("root").alias("r"))
+    same = (F.col("documents") == F.col("d")) & (F.col("tokens") == F.col("t")) & (F.col("root") == F.col("r"))
+    return manifest.join(now, F.col("part") == F.col("p"), "left").select("part", "offset", F.coalesce(same, F.lit(False)).alias("complete"))
 
 
 def chunk_facts(spark: SparkSession, path: str) -> DataFrame:
@@ -350,26 +410,37 @@ def read_back(spark: SparkSession, path: str) -> DataFrame:
 
     recipes = spark.read.parquet(f"{path}/recipes").withColumns({"rooted": same_root("addresses", "root"), "behind": bytes_behind("lengths")})
     # a document has its end id at least, so that starts are unique
-    steps = recipes.select("doc_id", "start", "n_tokens", "rooted", F.explode(F.arrays_zip("addresses", "lengths", "behind")).alias("c"))
-    steps = steps.select("doc_id", "start", "n_tokens", "rooted", F.col("c.addresses").alias("address"), F.col("c.lengths").alias("length"), F.col("c.behind").alias("behind"))
+    steps = recipes.select("doc_id", "part", "start", "n_tokens", "rooted", F.explode(F.arrays_zip("addresses", "lengths", "behind")).alias("c"))
+    steps = steps.select("doc_id", "part", "start", "n_tokens", "rooted", F.col("c.addresses").alias("address"), F.col("c.lengths").alias("length"), F.col("c.behind").alias("behind"))
     facts = chunk_facts(spark, path).withColumnRenamed("address", "stored")
     joined = steps.join(facts, steps.address == facts.stored, "left")
-    told = joined.select("doc_id", "start", "n_tokens", "rooted", "held", "sound", "length", part_crc("crc", "behind").alias("part"))
-    return told.groupBy("doc_id", "start", "n_tokens").agg(F.bit_xor("part").alias("ids_crc32"), (F.every(F.coalesce(F.col("sound") & F.col("rooted") & (F.col("held") == F.col("length")), F.lit(False))) & (F.sum("held") == F.col("n_tokens"))).alias("verified"))
+    told = joined.select("doc_id", "part", "start", "n_tokens", "rooted", "held", "sound", "length", part_crc("crc", "behind").alias("crc_part"))
+    sound = F.every(F.coalesce(F.col("sound") & F.col("rooted") & (F.col("held") == F.col("length")), F.lit(False))) & (F.sum("held") == F.col("n_tokens"))
+    whole = told.groupBy("doc_id", "part", "start", "n_tokens").agg(F.bit_xor("crc_part").alias("ids_crc32"), sound.alias("sound"))
+    parts = audit(spark, path).withColumnRenamed("part", "of_part")
+    return whole.join(parts, whole.part == parts.of_part, "left").select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", (F.col("sound") & F.col("complete")).alias("verified"))
 
 
 def reconstruct(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (array) of every document; for readers of whole documents."""
+    """doc_id, start, ids (array) of every document; for readers of whole documents. A lost or damaged chunk is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
-            frame["ids"] = [np.concatenate([unpack(bytes(c["payload"]), c["n"]) for c in sorted(cs, key=lambda c: c["at"])]).astype(np.int64) for cs in frame["cs"]]
+            out = []
+            for n_tokens, cs in zip(frame["n_tokens"], frame["cs"]):
+                chunks = sorted(((c["at"], bytes(c["address"]), unpack(bytes(c["payload"]), c["n"])) for c in cs if c["payload"] is not None), key=lambda c: c[0])
+                if sum(len(x) for _, _, x in chunks) != n_tokens or any(address(x) != name for _, name, x in chunks):
+                    raise ValueError("a chunk of the store is lost or damaged")
+                out.append(np.concatenate([x for _, _, x in chunks]).astype(np.int64))
+            frame["ids"] = out
             yield frame[["doc_id", "start", "ids"]]
 
-    steps = spark.read.parquet(f"{path}/recipes").select("doc_id", "start", F.posexplode("addresses").alias("at", "address"))
+    steps = spark.read.parquet(f"{path}/recipes").select("doc_id", "part", "start", "n_tokens", F.posexplode("addresses").alias("at", "address"))
     chunks = spark.read.parquet(f"{path}/chunks")
-    whole = steps.join(chunks, "address").groupBy("doc_id", "start").agg(F.collect_list(F.struct("at", "n", "payload")).alias("cs"))
-    return whole.mapInPandas(run, "doc_id long, start long, ids array<long>")
+    whole = steps.join(chunks, "address", "left").groupBy("doc_id", "part", "start", "n_tokens").agg(F.collect_list(F.struct("at", "address", "n", "payload")).alias("cs"))
+    offsets = spark.read.parquet(f"{path}/manifest").select(F.col("part").alias("of_part"), "offset")
+    placed = whole.join(offsets, whole.part == offsets.of_part).select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "cs")
+    return placed.mapInPandas(run, "doc_id long, start long, ids array<long>")
 
 
 def store_of(docs: DataFrame, tokenizer_path: str, *, end_id: int) -> str:
