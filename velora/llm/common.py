@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -123,9 +124,9 @@ def release_memory() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, rows: int = SLICE) -> Iterator[pa.RecordBatch]:
     """A batch in slices of bounded rows and bytes."""
-    open_slices = [batch.slice(k, SLICE) for k in range(0, batch.num_rows, SLICE)][::-1]
+    open_slices = [batch.slice(k, rows) for k in range(0, batch.num_rows, rows)][::-1]
     while open_slices:
         part = open_slices.pop()
         if part.num_rows > 1 and part.nbytes > SLICE_BYTES:
@@ -135,13 +136,27 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
             yield part
 
 
+@contextlib.contextmanager
+def no_cycles() -> Iterator[None]:
+    """For code that makes many objects but no cycles: the search for cycles, which reads all that a worker remembers, waits."""
+    on = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if on:
+            gc.enable()
+
+
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
     """Arrow batches through fn, in slices of bounded size; slices that give no rows are left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for part in slices(whole):
-                if (out := fn(part)) is not None:
+                with no_cycles():
+                    out = fn(part)
+                if out is not None:
                     yield out
         release_memory()
 

@@ -50,13 +50,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm.common import discard, id_and_text, release_memory, shared_folder, slices
+from velora.llm.common import SLICE, discard, id_and_text, no_cycles, release_memory, shared_folder, slices
 
 WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
 DIGEST = 16
 #: Distinct words, pieces and addresses that a worker keeps; beyond that it starts anew, at a cost in time or payload only.
-CACHE_WORDS, CACHE_PIECES, CACHED_LENGTH, CACHE_ADDRESSES = 600_000, 200_000, 16, 400_000
+CACHE_WORDS, CACHE_PIECES, CACHED_LENGTH, CACHE_ADDRESSES = 500_000, 150_000, 16, 400_000
 #: The byte-level split pattern, fixed by the tokenizer; for letters below U+0250 this is its \p{L}, \p{N} form.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 #: Texts with white space beside a space, or characters that the two forms, or their notions of white space, may class differently.
@@ -174,14 +174,14 @@ class Encoder:
         coded = values.dictionary_encode()
         # of the words of a batch, with the texts' first words, which have no space before them, and the end id
         ids = [*self._words(coded.dictionary.to_pylist()), *(b"".join(map(self._piece, _PIECES(h))) for h in heads), self.end]
-        at = coded.indices.to_numpy().astype(np.int64)
+        at = coded.indices.to_numpy().copy()
         at[offsets[:-1]] = len(ids) - 1 - len(heads) + np.arange(len(heads))
         at = np.insert(at, offsets[1:], len(ids) - 1)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        begins = np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+        begins = np.cumsum(sizes, dtype=np.int32) - sizes
         n = sizes[at]
-        ends = np.cumsum(n)
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[at] - ends + n, n) + np.arange(ends[-1])]
+        ends = np.cumsum(n, dtype=np.int32)
+        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[at] - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
         bounds = ends[offsets[1:] + np.arange(len(heads))]
         encoded = iter(np.split(flat, bounds[:-1]))
         return [next(encoded) if x is None else x for x in out]
@@ -286,9 +286,11 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         encoder, seen = encoder_of(tokenizer_path, end_id), set()
         pack = Packer(encoder.wide).pack
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, 2 * SLICE):
                 names, sizes, fresh, roots, totals = [], [], [], [], []
-                for ids in encoder.encode(pc.fill_null(batch.column(1), "")):
+                with no_cycles():
+                    encoded = encoder.encode(pc.fill_null(batch.column(1), ""))
+                for ids in encoded:
                     ends = cuts(ids)
                     chunks = [ids[a:b] for a, b in zip([0, *ends], ends)]
                     own = list(map(address, chunks))
