@@ -1,6 +1,7 @@
 import random
 
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -29,6 +30,25 @@ def test_encoding_and_decoding_are_the_librarys(library, monkeypatch):
         assert model.decode(ids) == library.decode(ids.tolist()), t
 
 
+def test_batches_are_the_librarys(library):
+    some = texts()
+    assert [x.tolist() for x in fst.model_of(PATH).encode_batch(pa.array(some))] == library.encode(some)
+    assert fst.model_of(PATH).encode_batch(pa.array([], pa.string())) == []
+    assert [x.tolist() for x in fst.model_of(PATH).encode_batch(pa.array(["", "  "]))] == library.encode(["", "  "])
+
+
+@pytest.mark.parametrize("rule", ["identity", "nmt_nfkc", "nfkc_cf"])
+def test_normaliser_is_the_librarys(rule):
+    known = sentencepiece.SentencePieceNormalizer(rule_name=rule)
+    spec = dict(fst._fields(known.serialized_normalizer_spec()))
+    normalise = fst.Normaliser(spec)
+    rng = random.Random(3)
+    letters = [chr(c) for r in [(32, 127), (0xA0, 0x250), (0x300, 0x370), (0x1E00, 0x1F00), (0x2460, 0x2500), (0x3040, 0x3100), (0xAC00, 0xAC40), (0xFB00, 0xFB07), (0xFF01, 0xFFA0)] for c in range(*r)] + [" "] * 300
+    for _ in range(600):
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
+        assert normalise(text) == known.normalize(text), text
+
+
 def test_small_memories_change_nothing(library, monkeypatch):
     monkeypatch.setattr(fst, "CACHE_WORDS", 3)
     monkeypatch.setattr(fst, "CACHE_PAIRS", 3)

@@ -117,6 +117,16 @@ def texts_utf8(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def gathered(ids: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids (32-bit, little-endian) of entries at[0], at[1], ... one behind the other, and where each ends."""
+    sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
+    begins = np.cumsum(sizes, dtype=np.int32) - sizes
+    n = sizes[at]
+    ends = np.cumsum(n, dtype=np.int32)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[at] - ends + n, n) + np.arange(total, dtype=np.int32)], ends
+
+
 def release_memory() -> None:
     """Give freed memory back to the system; a Python worker lives on after a task."""
     pa.default_memory_pool().release_unused()

@@ -1,28 +1,30 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-Method. A model file is compiled into three transducers. The normaliser puts the
-space mark in front and in place of spaces. The lexicon maps each piece's
-characters to its id: a deterministic prefix automaton whose final weights are,
-for a unigram model, the negative scores. Byte fallback maps a character that no
-piece holds to the ids of its UTF-8 bytes, at a weight above every piece's. The
-composition with an input is its lattice of pieces, and encoding is the shortest
-path through it in the tropical semiring (weights add along a path, the least
-path wins).
-
-For a BPE model scores do not add up along a path; there the arcs carry a second
-factor of the composition, an automaton over neighbouring pieces with weight 0
+Method. A model file is compiled into transducers. The normaliser's states are the
+trie of the model's character map (leftmost longest match; other characters stand for
+themselves), and it puts the space mark in front and in place of spaces. The lexicon
+maps each piece's characters to its id: a trie with an arc back to the start for each
+piece, whose weight is the negative score in a unigram model. Byte fallback maps a
+character that no piece holds to the ids of its UTF-8 bytes, at a weight above every
+piece's. They are composed with an input lazily, and encoding is the shortest path
+through the composition in the tropical semiring (weights add along a path, the least
+path wins), found best first; of equal weights the path that has come further is
+followed first. It is one search for both kinds of model.
+
+For a BPE model scores do not add up along a path; there pieces have weight 0, and the
+composition has one more factor, an automaton over neighbouring pieces with weight 0
 where merging the two pieces' characters by rank gives back just these two
 pieces, and infinity elsewhere. Merges inside two neighbours never depend on
 pieces further away until one crosses a boundary, so a path is free of infinite
 weights if and only if it is the merge order's segmentation, and each prefix has
-exactly one such path: the shortest path is the model's encoding, and the first
-path of weight zero that a search meets is the shortest. A pair's weight
+exactly one such path: the shortest path is the model's encoding. A pair's weight
 is found by running both pieces' merges side by side and watching for a better
-merge across, and is remembered.
+merge across, only when the search comes to it, and is remembered.
 
-The lattice of a text falls apart between words (no piece has the space mark
-after another character), so words are composed one by one, and frequent ones
-are remembered; both memories are bounded. Work is per row, without a shuffle.
+The composition of a text falls apart between words (no piece has the space mark
+after another character), so the distinct words of a batch are composed one by one,
+and frequent ones are remembered; both memories are bounded. Work is per row, without
+a shuffle. A model with user-defined pieces is refused.
 
 Defined results: a null or empty text has no ids; decoding null gives the empty
 text. Ids outside the model decode to nothing. Repeated rows give equal rows.
@@ -34,12 +36,14 @@ import re
 import struct
 import zlib
 from collections.abc import Iterator
+from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from velora.llm.common import id_and_text, map_batches, texts_utf8
+from velora.llm.common import gathered, id_and_text, map_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
@@ -76,6 +80,68 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
         at += size
 
 
+def character_map(blob: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double array over UTF-8 bytes, then the replacements, each ended by a zero byte.
+
+    A unit has its label in the low byte, a leaf mark in bit 8, and its offset from bit 10, shifted by 8 if bit 9 is set.
+    """
+    if not blob:
+        return {}
+    size = int.from_bytes(blob[:4], "little")
+    units, texts = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    offset = (units >> 10) << ((units & 512) >> 6)
+    label, labels = units & (1 << 31 | 255), np.arange(1, 256)
+    rules, open_nodes = {}, [(int(offset[0]), b"")]
+    while open_nodes:
+        node, key = open_nodes.pop()
+        at = node ^ labels
+        for k in np.flatnonzero((at < len(units)) & (label[np.minimum(at, len(units) - 1)] == labels)).tolist():
+            unit = int(at[k])
+            below, longer = unit ^ int(offset[unit]), key + bytes([k + 1])
+            open_nodes.append((below, longer))
+            if units[unit] >> 8 & 1:
+                start = int(units[below] & (1 << 31) - 1)
+                rules[longer.decode()] = texts[start : texts.index(b"\0", start)].decode()
+    return rules
+
+
+class Normaliser:
+    """The transducer from a text to the lexicon's characters."""
+
+    def __init__(self, spec: dict[int, int | bytes]) -> None:
+        self.dummy_prefix, self.squeeze, self.mark = (spec.get(k, 1) == 1 for k in (3, 4, 5))
+        # a state has its arcs by character, and what it gives out or None
+        self.start: dict[str, list] = {}
+        for key, out in character_map(spec.get(2, b"")).items():
+            arcs, state = self.start, [{}, None]
+            for c in key:
+                state = arcs.setdefault(c, [{}, None])
+                arcs = state[0]
+            state[1] = out
+
+    def _mapped(self, text: str) -> str:
+        """Through the character map: the longest match from the left, other characters as they are."""
+        out, i = [], 0
+        while i < len(text):
+            state, j, best = self.start.get(text[i]), i + 1, (text[i], i + 1)
+            while state is not None:
+                if state[1] is not None:
+                    best = state[1], j
+                state, j = state[0].get(text[j]) if j < len(text) else None, j + 1
+            out.append(best[0])
+            i = best[1]
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.start:
+            text = self._mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        if self.dummy_prefix and text:
+            text = " " + text
+        return text.replace(" ", SPACE) if self.mark else text
+
+
 class Model:
     """A compiled model."""
 
@@ -92,14 +158,16 @@ class Model:
             elif field == 3:
                 normaliser = dict(_fields(value))
         self.bpe = trainer.get(3, 1) == 2
-        if trainer.get(3, 1) not in (1, 2) or normaliser.get(2) or any(t == USER_DEFINED for _, _, t in self.pieces):
-            raise ValueError("only unigram and BPE models with the identity normaliser and without user-defined pieces are compiled")
-        self.dummy_prefix, self.squeeze = normaliser.get(3, 1) == 1, normaliser.get(4, 1) == 1
+        if trainer.get(3, 1) not in (1, 2) or any(t == USER_DEFINED for _, _, t in self.pieces):
+            raise ValueError("only unigram and BPE models without user-defined pieces are compiled")
+        self.normalise = Normaliser(normaliser)
         usable = [(i, p, s) for i, (p, s, t) in enumerate(self.pieces) if t == NORMAL]
         self.id_of = {p: i for i, p, _ in usable}
         self.score = [s for _, s, _ in self.pieces]
         self.bytes = {int(p[3:5], 16): i for i, (p, _, t) in enumerate(self.pieces) if t == BYTE}
         self.unknown = next(i for i, (_, _, t) in enumerate(self.pieces) if t == UNKNOWN)
+        # every path has the input's characters, so that a weight for each of them changes no order and makes all weights positive
+        self.lift = max([0.0, *(s / len(p) for _, p, s in usable)])
         self.unknown_weight = 10.0 - min((s for _, _, s in usable), default=0.0)
         # the prefix automaton: a state has its arcs by character, and its piece or -1
         self.start: dict[str, list] = {}
@@ -118,11 +186,6 @@ class Model:
         self.pairs: dict[int, bool] = {}
         self.histories: dict[int, tuple[tuple, tuple] | None] = {}
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        return SPACE * (self.dummy_prefix and bool(text)) + text.replace(" ", SPACE)
-
     def _history(self, piece: int) -> tuple[tuple, tuple] | None:
         """How a piece's last and first symbols come about by merging its characters.
 
@@ -195,48 +258,41 @@ class Model:
             fits = self.pairs[key] = self._stays_apart(left, piece)
         return fits
 
-    def _finite_path(self, word: str) -> list[tuple[int, int]]:
-        """The only path of finite weight, as (piece, end): depth first, longest arcs first, dead ends remembered."""
-        n, fits = len(word), self._fits
-        trail = [(NONE, 0)]
-        open_arcs = [self._arcs(word, 0)]
-        dead: set[tuple[int, int]] = set()
+    def _least_path(self, word: str) -> list[tuple[int, int]]:
+        """The path of least weight through the composition, as (piece, end), by best-first search.
+
+        A state is a position, in a BPE model with the piece before it. Steps are
+        queued by a weight that is no more than their own, which is found when it is
+        their turn.
+        """
+        n, bpe, score, lift = len(word), self.bpe, self.score, self.lift
+        steps: list[tuple[int, int, int]] = [(NONE, 0, -1)]  # piece, end, step before
+        queue: list[tuple[float, int, int]] = [(0.0, 0, 0)]  # weight, -end, step
+        done: set[int | tuple[int, int]] = set()
         while True:
-            arcs = open_arcs[-1]
-            if not arcs:
-                dead.add(trail.pop())
-                open_arcs.pop()
+            weight, _, k = heappop(queue)
+            piece, at, before = steps[k]
+            state = (piece, at) if bpe else at
+            if state in done or bpe and before >= 0 and not self._fits(steps[before][0], piece):
                 continue
-            step = arcs.pop()
-            if step in dead or not fits(trail[-1][0], step[0]):
-                continue
-            trail.append(step)
-            if step[1] == n:
-                return trail[1:]
-            open_arcs.append(self._arcs(word, step[1]))
-
-    def _least_path(self, word: str) -> list[tuple[int, int]]:
-        """The path of least weight, as (piece, end), by relaxing arcs in order of position."""
-        n, score = len(word), self.score
-        cost = [0.0] + [np.inf] * n
-        back: list[tuple[int, int]] = [(NONE, 0)] * (n + 1)
-        for i in range(n):
-            for piece, j in self._arcs(word, i):
-                weight = cost[i] + (self.unknown_weight if piece < 0 else -score[piece])
-                if weight < cost[j]:
-                    cost[j], back[j] = weight, (piece, i)
-        out, j = [], n
-        while j:
-            piece, i = back[j]
-            out.append((piece, j))
-            j = i
+            if at == n:
+                break
+            done.add(state)
+            for step, end in self._arcs(word, at):
+                own = 0.0 if bpe else lift * (end - at) + (self.unknown_weight if step < 0 else -score[step])
+                steps.append((step, end, k))
+                heappush(queue, (weight + own, -end, len(steps) - 1))
+        out = []
+        while before >= 0:
+            out.append((piece, at))
+            piece, at, before = steps[before]
         return out[::-1]
 
     def shortest_path(self, word: str) -> list[int]:
         """The ids on the shortest path through a normalised word's lattice."""
         out: list[int] = []
         begin, last = 0, NONE
-        for piece, end in self._finite_path(word) if self.bpe else self._least_path(word):
+        for piece, end in self._least_path(word):
             if piece >= 0:
                 out.append(piece)
             elif self.bytes:
@@ -248,19 +304,25 @@ class Model:
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text, 32-bit."""
-        if not text:
-            return np.empty(0, "<u4")
-        plain = self.separable and not self.squeeze and self.dummy_prefix and SPACE not in text
-        if plain and "  " not in text and text[0] != " " and text[-1] != " ":
-            keys = text.split(" ")
-            found = list(map(self.words.get, keys))
-            if None in found:
-                found = [self._word(k) if x is None else x for k, x in zip(keys, found)]
-        elif self.separable:
-            found = [np.array(self.shortest_path(w), "<u4").tobytes() for w in _WORDS.findall(self.normalise(text))]
-        else:
-            found = [np.array(self.shortest_path(self.normalise(text)), "<u4").tobytes()]
-        return np.frombuffer(b"".join(found), "<u4")
+        normal = self.normalise(text)
+        words = _WORDS.findall(normal) if self.separable else [normal] if normal else []
+        return np.array([i for w in words for i in self.shortest_path(w)], "<u4")
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a string array without nulls."""
+        known = self.normalise
+        apart = self.separable and known.dummy_prefix and known.mark and not known.squeeze and not known.start
+        plain = pc.invert(pc.match_substring_regex(texts, f"^$|^ | $|  |{SPACE}")) if apart else pa.array([False] * len(texts))
+        out: list[np.ndarray | None] = [None if p else self.encode(t.as_py()) for p, t in zip(plain.to_pylist(), texts)]
+        lists = pc.split_pattern(texts.filter(plain), " ")
+        if not len(lists):
+            return out
+        coded = lists.flatten().dictionary_encode()
+        ids = [self._word(w) for w in coded.dictionary.to_pylist()]
+        flat, ends = gathered(ids, coded.indices.to_numpy())
+        offsets = lists.offsets.to_numpy()
+        encoded = iter(np.split(flat, ends[offsets[1:-1] - offsets[0] - 1]))
+        return [next(encoded) if x is None else x for x in out]
 
     def _word(self, key: str) -> bytes:
         """The ids of a word without spaces, behind the space mark."""
@@ -295,7 +357,7 @@ class Model:
         size = len(self.text_of)
         raw = b"".join([self.text_of[i] for i in ids.tolist() if 0 <= i < size])
         text = raw.decode(errors="replace")
-        return text[1:] if self.dummy_prefix and text[:1] == " " else text
+        return text[1:] if self.normalise.dummy_prefix and text[:1] == " " else text
 
 
 #: Compiled models stay with their Python worker.
@@ -329,7 +391,7 @@ def _decoded(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
 
 def _encoded(batch: pa.RecordBatch, model: Model) -> pa.RecordBatch:
     """doc_id, ids of a batch of doc_id, text."""
-    return pa.RecordBatch.from_arrays([batch.column(0), _list_array([model.encode(t.decode()) for t in texts_utf8(batch.column(1))])], ["doc_id", "ids"])
+    return pa.RecordBatch.from_arrays([batch.column(0), _list_array(model.encode_batch(pc.fill_null(batch.column(1), "")))], ["doc_id", "ids"])
 
 
 DECODED = "doc_id long, ids array<int>, n_tokens long, ids_crc32 long, text string"

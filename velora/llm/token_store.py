@@ -50,7 +50,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from velora.llm.common import SLICE, discard, id_and_text, no_cycles, release_memory, shared_folder, slices
+from velora.llm.common import SLICE, discard, gathered, id_and_text, no_cycles, release_memory, shared_folder, slices
 
 WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
@@ -177,11 +177,7 @@ class Encoder:
         at = coded.indices.to_numpy().copy()
         at[offsets[:-1]] = len(ids) - 1 - len(heads) + np.arange(len(heads))
         at = np.insert(at, offsets[1:], len(ids) - 1)
-        sizes = np.fromiter(map(len, ids), np.int32, len(ids)) // 4
-        begins = np.cumsum(sizes, dtype=np.int32) - sizes
-        n = sizes[at]
-        ends = np.cumsum(n, dtype=np.int32)
-        flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(begins[at] - ends + n, n) + np.arange(ends[-1], dtype=np.int32)]
+        flat, ends = gathered(ids, at)
         bounds = ends[offsets[1:] + np.arange(len(heads))]
         encoded = iter(np.split(flat, bounds[:-1]))
         return [next(encoded) if x is None else x for x in out]
