@@ -67,6 +67,25 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+#: Windows of items are words in a row, so that equal windows are equal strings.
+OP1_SQL = r"""
+with words as (
+  select doc_id, row_number() over () as row_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), items as (
+  select item_id::varchar as item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark where item_id is not null and text is not null
+), windows as (
+  select distinct item_id, least(8, len(w)) as size, array_to_string(w[k : k + least(8, len(w)) - 1], ' ') as win
+  from (select item_id, w, unnest(range(1, len(w) - least(8, len(w)) + 2)) as k from items where len(w) > 0)
+), places as (
+  select row_id, k, size, array_to_string(w[k : k + size - 1], ' ') as win
+  from (select row_id, w, size, unnest(range(1, len(w) - size + 2)) as k from words, (select distinct size from windows))
+), found as (select row_id, k, size, item_id from places join windows using (size, win)),
+hits as (select row_id, count(distinct spot) as n_hit from (select row_id, unnest(range(k, k + size)) as spot from (select distinct row_id, k, size from found)) group by row_id),
+of_doc as (select row_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as ids from (select distinct row_id, item_id from found) group by row_id)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_items, 0) >= 2 as contaminated
+from words left join hits using (row_id) left join of_doc using (row_id)
+"""
+
 OP9_SQL = """
 with parts as (
   select page_id,
@@ -118,4 +137,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_toxicity": op10_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filter": OP9_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_benchmark_decontamination": OP1_SQL, "op9_url_filter": OP9_SQL}
