@@ -76,15 +76,16 @@ def vamana_graph(vectors: DataFrame, degree: int, *, pool: int = 64, alpha: floa
     Candidates are the pool nearest rows of the group (exact, by blocks) instead
     of what incremental searches would meet; each node's list is pruned, the
     edges are also taken backward, and lists over the degree are pruned again.
-    Lists are bounded by pool, or by degree plus the backward edges that a
-    seeded digest puts first among 4 * degree.
+    Every backward edge counts: a node's candidates are dealt into lists of
+    some 4 * degree, each is pruned, and what is left is dealt and pruned again
+    until one list is left, so no list grows with the number of rows that point to a node.
     """
     v = materialise(vectors.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "prune-rows")
     near = knn_graph(v, pool, group="grp" if group else None, id_col="id", vector="v").select("src", "dst")
 
     def pruned(pairs: DataFrame) -> DataFrame:
         d = v.select(F.col("id").alias("dst"), F.col("v").alias("vd"))
-        lists = pairs.join(d, "dst").groupBy("src").agg(F.collect_list(F.struct("dst", "vd")).alias("c")).join(v.select(F.col("id").alias("src"), F.col("v").alias("vs")), "src")
+        lists = pairs.join(d, "dst").groupBy("src", "part").agg(F.collect_list(F.struct("dst", "vd")).alias("c")).join(v.select(F.col("id").alias("src"), F.col("v").alias("vs")), "src")
 
         def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for frame in frames:
@@ -96,10 +97,20 @@ def vamana_graph(vectors: DataFrame, degree: int, *, pool: int = 64, alpha: floa
 
         return lists.mapInPandas(run, "src long, pos int, dst long")
 
-    forward = materialise(pruned(near), "prune-forward")
-    back = Window.partitionBy("src").orderBy(md5_key(42, "src", "dst"))
-    backward = forward.select(F.col("dst").alias("src"), F.col("src").alias("dst")).withColumn("n", F.row_number().over(back)).where(F.col("n") <= 4 * degree).drop("n")
-    return pruned(forward.select("src", "dst").unionByName(backward).distinct())
+    def dealt(pairs: DataFrame, width: int) -> DataFrame:
+        """Lists of some width rows of a node's candidates, each from the whole range, by a digest."""
+        sizes = pairs.groupBy(F.col("src").alias("of")).agg(F.ceil(F.count("*") / width).cast("int").alias("parts")).where("parts > 1")
+        part = F.coalesce(F.pmod(F.xxhash64("dst"), F.col("parts")), F.lit(0)).cast("int")
+        return pairs.join(sizes, F.col("src") == F.col("of"), "left").select("src", "dst", part.alias("part"))
+
+    forward = materialise(pruned(near.withColumn("part", F.lit(0))), "prune-forward")
+    pairs = forward.select("src", "dst").unionByName(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    while True:
+        lists = materialise(dealt(pairs, 4 * degree), "prune-lists")
+        out = materialise(pruned(lists), "prune-edges")
+        if lists.where("part > 0").isEmpty():
+            return out
+        pairs = out.select("src", "dst").distinct()
 
 
 def hierarchical_graph(vectors: DataFrame, plan: LayerPlan, degree: int, *, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:

@@ -11,17 +11,19 @@ from pyspark.sql import functions as F
 
 from velora.functions.ranking import md5_key
 from velora.functions.vectors import pairwise, rowwise
-from velora.sources.shared import materialise
+from velora.operators.knn import block_topk
+from velora.sources.shared import materialise, release
 
-#: Most bytes of centres that are handed to every task; more go through the block join.
+#: Most bytes of centres that are handed to every task; vectors meet more centres in the block join.
 CENTER_BYTES = 64 << 20
 
 
+def _center_bytes(centers: DataFrame) -> int:
+    return centers.agg(F.sum(8 * F.size("center"))).first()[0] or 0
+
+
 def center_arrays(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and vectors, in id order; refused beyond CENTER_BYTES."""
-    size = centers.agg(F.sum(8 * F.size("center"))).first()[0] or 0
-    if size > CENTER_BYTES:
-        raise ValueError(f"{size} bytes of centres are more than the {CENTER_BYTES} that tasks hold")
+    """Ids and vectors, in id order, of centres that a task can hold."""
     rows = centers.select("center_id", F.col("center").cast("array<double>")).orderBy("center_id").collect()
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
@@ -29,8 +31,13 @@ def center_arrays(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def nearest_centers(vectors: DataFrame, centers: DataFrame, count: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, center_id, rank, dist: the nearest centres of each vector; equal distances by center_id.
 
-    A scan without a shuffle. Vectors that are null have no row.
+    A scan without a shuffle; more than CENTER_BYTES of centres are met block by
+    block. Vectors that are null have no row.
     """
+    if _center_bytes(centers) > CENTER_BYTES:
+        asked = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+        found = block_topk(asked, centers.select("center_id", F.col("center").alias("v")), count, skip_self=False, query_id="vec_id", base_id="center_id", vector="v")
+        return found.select(F.col("query_id").alias("vec_id"), F.col("neighbor_id").alias("center_id"), F.col("rank").cast("int").alias("rank"), F.col("distance").alias("dist"))
     ids, points = center_arrays(centers)
     count = min(count, len(ids))
 
@@ -64,13 +71,62 @@ def group_means(rows: DataFrame, group: str, vector: str) -> DataFrame:
     return means.groupBy("center_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("center"))
 
 
+def center_sums(vectors: DataFrame, ids: np.ndarray, points: np.ndarray, vector: str = "embedding") -> DataFrame:
+    """center_id, n, sums, residual: partial results of the batches, one row for each centre that a batch has vectors of."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+            rough = pairwise(x, points)
+            least = rough.min(1)
+            row, col = np.nonzero(rough <= (least + 1e-9 * (1 + least))[:, None])
+            exact = rowwise(x[row], points[col])
+            order = np.lexsort((ids[col], exact, row))
+            first = np.append(True, np.diff(row[order]) != 0)
+            near, dist = col[order][first], exact[order][first]
+            used, group = np.unique(near, return_inverse=True)
+            sums = np.zeros((len(used), x.shape[1]))
+            np.add.at(sums, group, x)
+            yield pd.DataFrame({"center_id": ids[used], "n": np.bincount(group), "sums": list(sums), "residual": np.bincount(group, dist)})
+
+    return vectors.select(F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInPandas(run, "center_id long, n long, sums array<double>, residual double")
+
+
+def _stepped(vectors: DataFrame, centers: DataFrame, empty: str, vector: str) -> tuple[DataFrame, DataFrame]:
+    """(new centres, center_id and residual of the old ones) of centres that tasks hold; vectors are read once."""
+    partial = materialise(center_sums(vectors, *center_arrays(centers), vector), "center-sums")
+    totals = partial.groupBy("center_id").agg(F.sum("n").alias("n"))
+    means = partial.select("center_id", F.posexplode("sums").alias("dim", "x")).groupBy("center_id", "dim").agg(F.sum("x").alias("x"))
+    means = means.groupBy("center_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "x"))), lambda s: s["x"]).alias("sums"))
+    means = means.join(totals, "center_id").select("center_id", F.transform("sums", lambda x: x / F.col("n")).alias("mean"))
+    return _or_old(centers, means, empty), partial.groupBy("center_id").agg(F.sum("residual").alias("residual"))
+
+
+def _or_old(centers: DataFrame, means: DataFrame, empty: str) -> DataFrame:
+    old = F.col("center").cast("array<double>")
+    return centers.join(means, "center_id", "left").select("center_id", F.coalesce("mean", old if empty == "keep" else F.transform(old, lambda x: F.lit(0.0))).alias("center"))
+
+
 def lloyd_step(vectors: DataFrame, centers: DataFrame, *, empty: str = "keep", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """New centres. A centre without vectors stays (empty="keep") or becomes zero (empty="zero")."""
+    """New centres. A centre without vectors stays (empty="keep") or becomes zero (empty="zero").
+
+    Vectors are summed by centre where they are read, so only sums are shuffled. More
+    than CENTER_BYTES of centres take the assignment as a table.
+    """
+    if _center_bytes(centers) <= CENTER_BYTES:
+        return _stepped(vectors, centers, empty, vector)[0]
     assigned = kmeans_assign(vectors, centers, id_col, vector)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v")).join(assigned, "vec_id")
-    means = group_means(rows, "center_id", "v").withColumnRenamed("center", "mean")
-    old = F.col("center").cast("array<double>")
-    return centers.join(means, "center_id", "left").select("center_id", F.coalesce("mean", old if empty == "keep" else F.transform(old, lambda x: F.lit(0.0))).alias("center"))
+    return _or_old(centers, group_means(rows, "center_id", "v").withColumnRenamed("center", "mean"), empty)
+
+
+def uniform_centers(vectors: DataFrame, k: int, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """center_id, center: k distinct rows, each set of k equally likely: the first by the seeded digest of the id."""
+    rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("center")).where("center is not null")
+    first = rows.orderBy(md5_key(seed, "vec_id"), "vec_id").limit(k)
+    return first.select((F.row_number().over(Window.orderBy(md5_key(seed, "vec_id"), "vec_id")) - 1).cast("long").alias("center_id"), "center")
 
 
 def residual(vectors: DataFrame, centers: DataFrame, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -84,19 +140,40 @@ def kmeans_pp_init(vectors: DataFrame, k: int, seed: int = 42, id_col: str = "ve
     The draw is the exponential race: the row with the largest log(u) / dist, u
     uniform from the seeded digest of (seed, draw, id), so it needs no order and
     one aggregation per draw. Already chosen rows have distance zero and can't win.
+    The least distance so far stays with each row, so a draw looks at the newest
+    centre only; it is written every few draws, so that lineage and the number of
+    centres that a task computes stay small.
     """
-    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null"), "kmeans-rows")
+    spark = vectors.sparkSession
+    rows = materialise(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"), F.lit(float("inf")).alias("dist")).where("v is not null"), "kmeans-rows")
     first = rows.orderBy(md5_key(seed, F.lit(0), "vec_id"), "vec_id").limit(1).collect()
     chosen = [np.array(r.v) for r in first]
-    spark = vectors.sparkSession
+    seen = 0
+
+    def least(frame: DataFrame, points: list[np.ndarray]) -> DataFrame:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                if len(f):
+                    x, dist = np.stack(f["v"].to_numpy()), f["dist"].to_numpy()
+                    for p in points:
+                        dist = np.minimum(dist, ((x - p) ** 2).sum(1))
+                    f["dist"] = dist
+                    yield f
+
+        return frame.mapInPandas(run, "vec_id long, v array<double>, dist double")
+
     while chosen and len(chosen) < k:
-        centers = spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(chosen)], "center_id long, center array<double>")
-        near = kmeans_assign(rows, centers, "vec_id", "v")
+        near = least(rows, chosen[seen:])
+        if len(chosen) - seen >= 8:
+            near, old = materialise(near, "kmeans-rows"), rows
+            release(old)
+            rows, seen = near, len(chosen)
         u = (F.conv(F.substring(md5_key(seed, F.lit(len(chosen)), "vec_id"), 1, 13), 16, 10).cast("double") + 1) / float(16**13 + 1)
-        pick = near.where("dist > 0").select(F.max_by("vec_id", F.log(u) / F.col("dist")).alias("vec_id")).first().vec_id
+        pick = near.where("dist > 0").select(F.max_by(F.struct("vec_id", "v"), F.log(u) / F.col("dist")).alias("m")).first().m
         if pick is None:
             break
-        chosen.append(np.array(rows.where(F.col("vec_id") == pick).first().v))
+        chosen.append(np.array(pick.v))
+    release(rows)
     return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(chosen)], "center_id long, center array<double>")
 
 
@@ -125,10 +202,13 @@ def kmeans_fit(vectors: DataFrame, k: int, *, max_iter: int = 15, tol: float = 1
     centers = kmeans_pp_init(rows, k, seed, "vec_id", "v")
     last = np.inf
     for _ in range(max_iter):
-        now = residual(rows, centers, "vec_id", "v").first().residual or 0.0
+        # one pass gives the residual of these centres and the next ones
+        following, spent = _stepped(rows, centers, empty, "v")
+        now = spent.agg(F.sum("residual")).first()[0] or 0.0
         if now < np.finfo(np.float32).eps or (np.isfinite(last) and last - now < tol * last):
             break
         last = now
-        ids, points = center_arrays(lloyd_step(rows, centers, empty=empty, id_col="vec_id", vector="v"))
+        ids, points = center_arrays(following)
         centers = vectors.sparkSession.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, points)], "center_id long, center array<double>")
+    release(rows)
     return centers

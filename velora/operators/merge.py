@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from velora.functions.ranking import exclusive_prefix_sum, md5_key
+from velora.sources.shared import materialise
 
 
 def translate_edges(edges: DataFrame, assignment: DataFrame) -> DataFrame:
@@ -40,6 +41,8 @@ def merge_graphs(edges: DataFrame, assignment: DataFrame, degree: int, seed: int
     require_min: a node with fewer than degree distinct neighbours is an error.
     """
     merged = truncate_edges(translate_edges(edges, assignment), degree, seed)
+    # written, so that the count and the caller read it instead of merging twice
+    merged = materialise(merged, "merged-edges") if require_min else merged
     if require_min and (short := merged.groupBy("src").count().where(F.col("count") < degree).count()):
         raise ValueError(f"{short} nodes have fewer than {degree} distinct neighbours")
     return merged
@@ -82,6 +85,11 @@ def group_neighbors(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "dst"))), lambda e: e["dst"]).alias("neighbors"))
 
 
+def concat_group_cut(a: DataFrame, b: DataFrame, degree: int, seed: int = 42) -> DataFrame:
+    """src, neighbors of two edge lists at once: united, grouped, and cut to degree distinct neighbours by the seeded choice."""
+    return group_neighbors(truncate_edges(a.select("src", "dst").unionByName(b.select("src", "dst")), degree, seed))
+
+
 def degrees(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.count("*").alias("degree"))
 

@@ -26,17 +26,30 @@ def bernoulli_sample(df: DataFrame, rate: float, seed: int | str, id_col: str =
     return df.where(uniform(seed, id_col) < rate)
 
 
+def sample_with_replacement(df: DataFrame, size: int, seed: int, id_col: str = "vec_id") -> DataFrame:
+    """size rows, each drawn from all: draw (from 0) and the row's columns.
+
+    Draw k is the row at place floor(u * n) in id order, u from the digest of (seed, k).
+    """
+    from velora.functions.ranking import grouped_rank
+
+    n = df.count()
+    draws = df.sparkSession.range(size if n else 0).select(F.col("id").alias("draw"), F.floor(uniform(seed, "id") * n).cast("long").alias("place"))
+    placed = grouped_rank(df.withColumn("_all", F.lit(0)), ["_all"], id_col, "_place").drop("_all")
+    return draws.join(placed, F.col("place") == F.col("_place") - 1).drop("place", "_place")
+
+
 def shuffle_rows(df: DataFrame, seed: int, id_col: str = "vec_id") -> DataFrame:
     """vec_id, new_pos (from 0): a random permutation.
 
-    The digest's first two hex digits cut the rows into 256 ranges of the order,
-    which are ranked one by one after their counts are known.
+    The digest's first hex digits cut the rows into ranges of the order, as many as the
+    rows ask for, which are ranked one by one after their counts are known.
     """
     from pyspark.sql import Window
 
-    keyed = df.select(F.col(id_col).alias("vec_id"), md5_key(seed, id_col).alias("key")).withColumn("piece", F.substring("key", 1, 2))
+    keyed = df.select(F.col(id_col).alias("vec_id"), md5_key(seed, id_col).alias("key")).withColumn("piece", F.substring("key", 1, 2 if df.count() < 1 << 26 else 4))
     counts = keyed.groupBy("piece").agg(F.count("*").alias("n"))
-    # at most 256 rows
+    # 256 rows, or 65,536 for very large tables
     before = counts.select("piece", F.coalesce(F.sum("n").over(Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     own = F.row_number().over(Window.partitionBy("piece").orderBy("key", "vec_id"))
     return keyed.join(F.broadcast(before), "piece").select("vec_id", (own + F.col("before") - 1).cast("long").alias("new_pos"))
@@ -48,26 +61,52 @@ def sample_rows(df: DataFrame, size: int, seed: int, id_col: str = "vec_id") ->
     return df.join(picked, F.col(id_col) == F.col("picked"), "left_semi")
 
 
+def draws_for(count: int) -> int:
+    """Draws among 2 * count places or more that have count distinct ones among them but for a chance under 10**-15."""
+    return 4 * count + 64
+
+
 def start_points(queries: DataFrame, base: DataFrame, count: int, seed: int, *, query_id: str = "query_id", id_col: str = "vec_id", low: int | None = None, high: int | None = None) -> DataFrame:
     """query_id, vec_id, pos: count distinct random start rows per query, of ids in [low, high).
 
-    A start row is the base row at a random offset: draws are positions in id
-    order, so nothing but count rows per query is made. Where there are no more
-    than count rows, all are start points.
+    Draw k of a query is the row at place floor(u * n) in id order, u from the digest
+    of (seed, query, k); the first count distinct ones are taken, so that nothing but
+    some rows per draw is made. Where count is over half of the rows, the rows are
+    ordered by the digest of (seed, query, id) instead; where there are no more than
+    count rows, all are start points.
     """
+    from pyspark.sql import Window
+
     from velora.functions.ranking import grouped_rank
 
     rows = base.select(F.col(id_col).cast("long").alias("vec_id"))
     rows = rows if low is None else rows.where((F.col("vec_id") >= low) & (F.col("vec_id") < high))
-    rows = grouped_rank(rows.withColumn("all", F.lit(0)), ["all"], "vec_id", "place").select("vec_id", (F.col("place") - 1).alias("place"))
     n = rows.count()
     ask = queries.select(F.col(query_id).cast("long").alias("query_id"))
-    if n <= count:
-        drawn = ask.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(max(n - 1, 0))))).withColumn("pos", F.col("place"))
-    else:
-        # an affine walk over the positions: step is coprime to n, so places are distinct
-        primes = [p for p in (1_000_003, 998_244_353, 2_147_483_647, 67_867_967) if n % p]
-        offset = F.floor(uniform(seed, "query_id") * n).cast("long")
-        step = F.lit(primes[0] % n or 1).cast("long")
-        drawn = ask.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(count - 1)))).withColumn("place", ((offset + step * F.col("pos")) % n).cast("long"))
+    if 2 * count > n:
+        # fewer than 2 * count rows for each query
+        every = ask.join(F.broadcast(rows)).withColumn("key", md5_key(seed, "query_id", "vec_id"))
+        order = Window.partitionBy("query_id").orderBy("key", "vec_id")
+        return every.withColumn("pos", F.row_number().over(order) - 1).where(F.col("pos") < count).select("query_id", "vec_id", F.col("pos").cast("int").alias("pos"))
+    rows = grouped_rank(rows.withColumn("all", F.lit(0)), ["all"], "vec_id", "place").select("vec_id", (F.col("place") - 1).alias("place"))
+    draw = ask.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(draws_for(count) - 1))))
+    draw = draw.withColumn("place", F.floor(uniform(seed, "query_id", "k") * n).cast("long")).groupBy("query_id", "place").agg(F.min("k").alias("k"))
+    drawn = draw.withColumn("pos", F.row_number().over(Window.partitionBy("query_id").orderBy("k")) - 1).where(F.col("pos") < count)
     return drawn.join(rows, "place").select("query_id", "vec_id", F.col("pos").cast("int").alias("pos"))
+
+
+def start_places(seed: int, query: int, n: int, count: int, scope: int | str = "") -> list[int]:
+    """Places in id order of count distinct rows of n, drawn as start_points() does; scope tells samples for one query apart."""
+    from hashlib import md5
+
+    if count >= n:
+        return list(range(n))
+    digest = lambda k: md5(f"{seed}:{query}:{k}{scope}".encode()).hexdigest()
+    if 2 * count > n:
+        return sorted(range(n), key=lambda i: (digest(i), i))[:count]
+    out: dict[int, None] = {}
+    for k in range(draws_for(count)):
+        out[int(int(digest(k)[:13], 16) / 16**13 * n)] = None
+        if len(out) == count:
+            break
+    return list(out)

@@ -8,7 +8,8 @@ until all in the pool are expanded. Seeds count as distances, not as visits.
 Queries are independent and each is a loop of its own, so the main path runs them
 in Arrow batches against the packed graph, which is handed to the tasks only up
 to ``packed_bytes``. Larger graphs are searched by ``beam_search_joins``, the
-same rounds as joins, all queries at once; or shard by shard.
+same rounds as joins, all queries at once; or shard by shard. A search that ends with
+fewer than k rows is an error, as there were not enough seeds or rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 
 from velora.functions.vectors import l2_squared
 from velora.operators.knn import merge_topk
-from velora.sources.shared import materialise
+from velora.operators.sampling import start_places
+from velora.sources.shared import materialise, release
 
 PACKED_BYTES = 1 << 30
 RESULT = "query_id long, rank int, neighbor_id long, distance double, n_visited long, n_distance long, latency_us long"
@@ -74,9 +76,23 @@ class Packed:
         return pool, dist, n_visited, n_distance
 
 
-def _answers(query_id: int, packed: Packed, query: np.ndarray, seeds: np.ndarray, k: int, width: int) -> pd.DataFrame:
+def _enough(query_id: int, found: int, k: int) -> None:
+    if found < k:
+        raise ValueError(f"query {query_id} has {found} answers instead of {k}")
+
+
+def _all_enough(results: DataFrame, k: int) -> DataFrame:
+    """The ranked rows; evaluating them is an error where a query has fewer than k."""
+    n = F.count("*").over(Window.partitionBy("query_id"))
+    few = F.raise_error(F.concat(F.lit("query "), F.col("query_id").cast("string"), F.lit(f" has fewer answers than {k}"))).cast("int")
+    return results.withColumn("n_found", n).withColumn("rank", F.when(F.col("n_found") < k, few).otherwise(F.col("rank"))).drop("n_found")
+
+
+def _answers(query_id: int, packed: Packed, query: np.ndarray, seeds: np.ndarray, k: int, width: int, strict: bool = True) -> pd.DataFrame:
     began = time.perf_counter_ns()
     pool, dist, visits, distances = packed.beam(query, seeds, width)
+    if strict:
+        _enough(query_id, len(pool), k)
     return pd.DataFrame({"query_id": query_id, "rank": np.arange(1, min(k, len(pool)) + 1), "neighbor_id": packed.ids[pool[:k]], "distance": dist[:k], "n_visited": visits, "n_distance": distances, "latency_us": (time.perf_counter_ns() - began) // 1000})
 
 
@@ -88,9 +104,9 @@ def packed_size(vectors: DataFrame, edges: DataFrame, vector: str = "embedding")
     return n * 8 * ((dim or 0) + 2) + 16 * edges.count()
 
 
-def pack(vectors: DataFrame, edges: DataFrame, id_col: str = "vec_id", vector: str = "embedding", limit: int = PACKED_BYTES) -> Packed:
+def pack(vectors: DataFrame, edges: DataFrame, id_col: str = "vec_id", vector: str = "embedding", limit: int = PACKED_BYTES, size: int | None = None) -> Packed:
     """The graph as arrays on the driver, for graphs of up to limit bytes."""
-    if (size := packed_size(vectors, edges, vector)) > limit:
+    if (size := packed_size(vectors, edges, vector) if size is None else size) > limit:
         raise ValueError(f"a graph of {size} bytes is larger than the {limit} that a task holds; use beam_search_joins or shards")
     rows = vectors.select(F.col(id_col).cast("long"), F.col(vector).cast("array<double>")).toArrow()
     e = edges.select(F.col("src").cast("long"), F.col("dst").cast("long"), "pos").orderBy("src", "pos").toArrow()
@@ -112,9 +128,9 @@ def beam_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, seeds:
     """
     if k > width:
         raise ValueError("k is larger than the pool")
-    if packed_size(vectors, edges, vector) > packed_bytes:
+    if (size := packed_size(vectors, edges, vector)) > packed_bytes:
         return beam_search_joins(queries, vectors, edges, seeds, k, width, query_id=query_id, id_col=id_col, vector=vector)
-    sent = queries.sparkSession.sparkContext.broadcast(pack(vectors, edges, id_col, vector, packed_bytes))
+    sent = queries.sparkSession.sparkContext.broadcast(pack(vectors, edges, id_col, vector, packed_bytes, size))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -124,7 +140,7 @@ def beam_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, seeds:
     return _with_seeds(queries, seeds, query_id, vector).mapInPandas(run, RESULT)
 
 
-def beam_search_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, seeds: DataFrame, k: int, width: int, *, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def beam_search_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame, seeds: DataFrame, k: int, width: int, *, query_id: str = "query_id", id_col: str = "vec_id", vector: str = "embedding", strict: bool = True) -> DataFrame:
     """beam_search() with graph and vectors left in tables: one expansion of every query per round."""
     q = materialise(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")), "beam-queries")
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v"))
@@ -142,11 +158,14 @@ def beam_search_joins(queries: DataFrame, vectors: DataFrame, edges: DataFrame,
             break
         new = front.join(edges.select("src", F.col("dst").alias("vec_id")), "src").select("query_id", "vec_id").distinct().join(visited, ["query_id", "vec_id"], "left_anti")
         new = materialise(scored(new), "beam-new")
-        visited = materialise(visited.unionByName(new.select("query_id", "vec_id")), "beam-visited")
+        visited, before = materialise(visited.unionByName(new.select("query_id", "vec_id")), "beam-visited"), visited
+        release(before)
         expanded = pool.join(front.withColumnRenamed("src", "vec_id").withColumn("now", F.lit(True)), ["query_id", "vec_id"], "left").select("query_id", "vec_id", "dist", (F.col("done") | F.coalesce("now", F.lit(False))).alias("done"))
         fresh = new.join(pool.select("query_id", "vec_id"), ["query_id", "vec_id"], "left_anti").withColumn("done", F.lit(False))
-        pool = materialise(cut(expanded.unionByName(fresh)), "beam-pool")
+        pool, *old = materialise(cut(expanded.unionByName(fresh)), "beam-pool"), pool, front, new
+        release(*old)
     ranked = pool.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+    ranked = _all_enough(ranked, k) if strict else ranked
     stats = counts.join(visited.groupBy("query_id").agg(F.count("*").alias("n_visited")), "query_id", "left").select("query_id", F.coalesce("n_visited", F.lit(0)).alias("n_visited"), (F.coalesce("n_visited", F.lit(0)) + F.col("n_seeds")).alias("n_distance"))
     return ranked.join(stats, "query_id").select("query_id", "rank", F.col("vec_id").alias("neighbor_id"), F.col("dist").alias("distance"), "n_visited", "n_distance", F.lit(None).cast("long").alias("latency_us"))
 
@@ -155,8 +174,8 @@ def sharded_search(queries: DataFrame, vectors: DataFrame, shard_edges: DataFram
     """shard_id, then as beam_search(): every query in every shard's own graph (edges in global ids with shard_id).
 
     One group is one shard, whose size the partition plan bounds by memory. Start
-    rows are the first width by the seeded digest. merge_topk() makes the shards'
-    answers one.
+    rows are width random ones of the shard, drawn anew for each query. A shard with
+    fewer than k rows gives all; merge_topk() makes the shards' answers one.
     """
     nodes = assignment.select("shard_id", "vec_id").join(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")), "vec_id")
     lists = shard_edges.groupBy("shard_id", F.col("src").alias("vec_id")).agg(F.collect_list("dst").alias("near"))
@@ -165,8 +184,6 @@ def sharded_search(queries: DataFrame, vectors: DataFrame, shard_edges: DataFram
     asked = shards.crossJoin(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")))
 
     def run(key: tuple, shard: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        import hashlib
-
         if not len(shard) or not len(asked):
             return _EMPTY.assign(shard_id=pd.Series(dtype="int64"))
         ids = shard["vec_id"].to_numpy()
@@ -174,8 +191,8 @@ def sharded_search(queries: DataFrame, vectors: DataFrame, shard_edges: DataFram
         packed = Packed(ids, np.stack(shard["v"].to_numpy()), np.repeat(ids, [len(x) for x in near]), np.concatenate(near) if near else np.empty(0, np.int64))
         out = []
         for r in asked.itertuples():
-            order = sorted(range(len(ids)), key=lambda i: hashlib.md5(f"{seed}:{r.query_id}:{ids[i]}".encode()).hexdigest()) if width < len(ids) else range(len(ids))
-            out.append(_answers(r.query_id, packed, np.asarray(r.q), packed.rows(ids[list(order)[:width]]), k, width))
+            seeds = np.array(start_places(seed, r.query_id, len(ids), width, f":{key[0]}"))
+            out.append(_answers(r.query_id, packed, np.asarray(r.q), seeds, k, width, strict=False))
         return pd.concat(out).assign(shard_id=key[0])
 
     return nodes.groupBy("shard_id").cogroup(asked.groupBy("asked_shard")).applyInPandas(run, "shard_id long, " + RESULT)
@@ -195,7 +212,7 @@ def hierarchical_search(queries: DataFrame, vectors: DataFrame, layers: DataFram
         graphs.append((nodes, own))
     if packed_size(vectors, layers, vector) > packed_bytes:
         return _layers_by_joins(queries, graphs, seeds, k, width, query_id=query_id, id_col=id_col, vector=vector)
-    graphs = [pack(nodes, own, id_col, vector, packed_bytes) for nodes, own in graphs]
+    graphs = [pack(nodes, own, id_col, vector, packed_bytes, 0) for nodes, own in graphs]
     sent = queries.sparkSession.sparkContext.broadcast(graphs)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -207,6 +224,7 @@ def hierarchical_search(queries: DataFrame, vectors: DataFrame, layers: DataFram
                     start = graph.rows(ids)
                     pool, dist, a, b = graph.beam(np.asarray(r.q), start, width)
                     ids, visits, distances = graph.ids[pool], visits + a, distances + b
+                _enough(r.query_id, len(ids), k)
                 out.append(pd.DataFrame({"query_id": r.query_id, "rank": np.arange(1, min(k, len(ids)) + 1), "neighbor_id": ids[:k], "distance": dist[:k], "n_visited": visits, "n_distance": distances, "latency_us": (time.perf_counter_ns() - began) // 1000}))
             yield pd.concat(out)
 
@@ -217,12 +235,12 @@ def _layers_by_joins(queries: DataFrame, graphs: list[tuple[DataFrame, DataFrame
     """hierarchical_search() over (nodes, edges) of the layers, top first, by beam_search_joins()."""
     spent = None
     for nodes, edges in graphs:
-        pool = materialise(beam_search_joins(queries, nodes, edges, seeds, width, width, query_id=query_id, id_col=id_col, vector=vector), "layer-pool")
+        pool = materialise(beam_search_joins(queries, nodes, edges, seeds, width, width, query_id=query_id, id_col=id_col, vector=vector, strict=False), "layer-pool")
         seeds = pool.select("query_id", F.col("neighbor_id").alias("vec_id"))
         own = pool.where("rank = 1").select("query_id", "n_visited", "n_distance")
         spent = own if spent is None else spent.unionByName(own)
     total = spent.groupBy("query_id").agg(F.sum("n_visited").alias("n_visited"), F.sum("n_distance").alias("n_distance"))
-    found = pool.where(F.col("rank") <= k).drop("n_visited", "n_distance").join(total, "query_id")
+    found = _all_enough(pool.where(F.col("rank") <= k), k).drop("n_visited", "n_distance").join(total, "query_id")
     return found.select("query_id", "rank", "neighbor_id", "distance", "n_visited", "n_distance", "latency_us")
 
 

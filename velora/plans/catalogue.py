@@ -212,7 +212,10 @@ def build_configs(spark: SparkSession, d: str) -> DataFrame:
     return build_config_rows(selective(spark, d), [32, 64], [64, 128])
 
 
-@query("build_configs_json")
+BUILD_JSON_SQL = f"select shard_id, graph_degree, intermediate_degree, to_json({{'dataset': {{'shard_id': shard_id, 'n_rows': n_rows, 'distance': distance}}, 'build_param': {{'graph_degree': graph_degree, 'intermediate_degree': intermediate_degree}}}})::varchar as config from ({BUILD_SQL})"
+
+
+@query("build_configs_json", BUILD_JSON_SQL)
 def build_configs_json(spark: SparkSession, d: str) -> DataFrame:
     rows = build_config_rows(selective(spark, d), [32, 64], [64, 128])
     return rows.select("shard_id", "graph_degree", "intermediate_degree", F.to_json(F.struct(F.struct("shard_id", "n_rows", "distance").alias("dataset"), F.struct("graph_degree", "intermediate_degree").alias("build_param"))).alias("config"))
@@ -258,10 +261,12 @@ def train_test_sample(spark: SparkSession, d: str) -> DataFrame:
     return part("train").unionByName(part("test"))
 
 
+#: Draw k of a query is a row at a random place; the first 32 distinct ones.
 START_SQL = f"""with rows_ as (select vec_id, row_number() over (order by vec_id) - 1 as place from embeddings), n as (select count(*) as n from embeddings),
-asked as (select vec_id as query_id, floor({uniform_sql(str(SEED), 'vec_id')} * n)::bigint as off, n from embeddings, n where vec_id % 100 = 0),
-drawn as (select query_id, pos, (off + (1000003 % n) * pos) % n as place from asked, (select unnest(range(32)) as pos))
-select query_id, vec_id, pos::int as pos from drawn join rows_ using (place)"""
+draws as (select query_id, k, floor({uniform_sql(str(SEED), 'query_id', 'k')} * n)::bigint as place from (select vec_id as query_id from embeddings where vec_id % 100 = 0), n, (select unnest(range(4 * 32 + 64)) as k)),
+distinct_ as (select query_id, place, min(k) as k from draws group by query_id, place),
+first_ as (select query_id, place, row_number() over (partition by query_id order by k) - 1 as pos from distinct_)
+select query_id, vec_id, pos::int as pos from first_ join rows_ using (place) where pos < 32"""
 
 
 @query("start_points", START_SQL)
@@ -270,6 +275,11 @@ def start_points(spark: SparkSession, d: str) -> DataFrame:
     return sampling.start_points(asked(v), v, 32, SEED)
 
 
+@query("sample_with_replacement", f"with rows_ as (select vec_id, row_number() over (order by vec_id) - 1 as place from embeddings), draws as (select k as draw, floor({uniform_sql(str(SEED), 'k')} * n)::bigint as place from (select unnest(range(300)) as k), (select count(*) as n from embeddings)) select draw, vec_id from draws join rows_ using (place)")
+def sample_with_replacement(spark: SparkSession, d: str) -> DataFrame:
+    return sampling.sample_with_replacement(embeddings(spark, d), 300, SEED).select("draw", "vec_id")
+
+
 @query("flatten_vectors", "select vec_id, (generate_subscripts(embedding, 1) - 1)::int as pos, round(unnest(embedding)::double, 6) as x from embeddings")
 def flatten_vectors(spark: SparkSession, d: str) -> DataFrame:
     return embeddings(spark, d).select("vec_id", F.posexplode(V.as_double("embedding")).alias("pos", "x")).select("vec_id", "pos", r6("x"))
@@ -372,9 +382,25 @@ def kmeans_residual(spark: SparkSession, d: str) -> DataFrame:
     return kmeans.residual(v, label_centers(v)).select(r6("residual"))
 
 
-@query("kmeans_pp_init")
+def pp_init_sql(k: int) -> str:
+    """k draws one after the other: the largest log(u) / (least distance to the rows drawn so far)."""
+    steps = [f"p0 as (select vec_id, e from v order by md5(concat_ws(':', '{SEED}', 0, vec_id)), vec_id limit 1)", f"d0 as (select v.vec_id, v.e, {d2('v.e', 'p0.e')} as dist from v, p0)"]
+    for i in range(1, k):
+        u = f"((('0x' || substr(md5(concat_ws(':', '{SEED}', {i}, vec_id)), 1, 13))::bigint + 1)::double / 4503599627370497.0::double)"
+        steps.append(f"p{i} as (select vec_id, e from d{i - 1} where dist > 0 order by ln({u}) / dist desc, vec_id limit 1)")
+        steps.append(f"d{i} as (select d.vec_id, d.e, least(d.dist, {d2('d.e', f'p{i}.e')}) as dist from d{i - 1} d, p{i})")
+    rows = " union all ".join(f"select {i}::bigint as center_id, e from p{i}" for i in range(k))
+    return f"with {VEC}, {', '.join(steps)} select center_id, (generate_subscripts(e, 1) - 1)::int as pos, round(unnest(e), 6) as x from ({rows})"
+
+
+@query("kmeans_pp_init", pp_init_sql(8))
 def kmeans_pp_init(spark: SparkSession, d: str) -> DataFrame:
-    return kmeans.kmeans_pp_init(embeddings(spark, d), 8, SEED)
+    return kmeans.kmeans_pp_init(embeddings(spark, d), 8, SEED).select("center_id", F.posexplode("center").alias("pos", "x")).select("center_id", "pos", r6("x"))
+
+
+@query("uniform_centers", f"with {VEC}, picked as (select e, row_number() over (order by md5(concat_ws(':', '{SEED}', vec_id)), vec_id) - 1 as center_id from v) select center_id, (generate_subscripts(e, 1) - 1)::int as pos, round(unnest(e), 6) as x from picked where center_id < 8")
+def uniform_centers(spark: SparkSession, d: str) -> DataFrame:
+    return kmeans.uniform_centers(embeddings(spark, d), 8, SEED).select("center_id", F.posexplode("center").alias("pos", "x")).select("center_id", "pos", r6("x"))
 
 
 @query("kmeans_pp_pick", f"with {NEAR}, w as (select vec_id, dist, sum(dist) over (order by vec_id) as running, sum(dist) over () as total from near where rk = 1) select vec_id from w where running >= 0.5::double * total order by vec_id limit 1")
@@ -416,7 +442,38 @@ def partition_selective(spark: SparkSession, d: str) -> DataFrame:
     return rounded(selective(spark, d))
 
 
-@query("partition_selective_tight")
+#: Each vector's centres, nearest first, and its place in id order; one step of a recursion takes one vector.
+IN_TURN = f"""{NEAR}, lists as materialized (select vec_id, list(center_id order by rk) as ids, list(dist order by rk) as dists, row_number() over (order by vec_id) as turn from near group by vec_id),
+n_centers as materialized (select count(*) as m, max(center_id) + 1 as top from centers)"""
+
+
+def tight_selective_sql(share: float, epsilon: float, copies: int) -> str:
+    """Seats are given in id order; first each vector's nearest centre with a seat, then in a second pass more centres near it."""
+    if copies != 2:
+        raise ValueError("stated for one more shard at most")
+    return f"""with recursive {IN_TURN}, lim as (select floor({share}::double * count(*))::bigint as l from v),
+one as (
+  select 0::bigint as turn, list_transform(range(top), lambda j: 0::bigint) as taken, null::bigint as vec_id, null::bigint as center_id, null::double as dist from n_centers
+  union all
+  select turn, list_transform(range(len(taken)), lambda j: taken[j + 1] + (pick is not null and ids[pick] = j)::int), vec_id, ids[pick], dists[pick] from (
+    select x.turn, o.taken, x.vec_id, x.ids, x.dists, list_filter(range(1, len(x.ids) + 1), lambda k: o.taken[x.ids[k] + 1] < floor({partition.FIRST_ROUND}::double * l)::bigint + 1)[1] as pick
+    from one o join lists x on x.turn = o.turn + 1, lim)
+), first_round as (select vec_id, center_id, dist from one where center_id is not null),
+stats as (select center_id, count(*) as taken, max(dist) as radius from first_round group by center_id),
+seats as (select list(greatest(0, l - coalesce(taken, 0) + 1) order by c.center_id) as caps, list(coalesce(radius, 0.0) order by c.center_id) as radii from centers c left join stats using (center_id), lim),
+two as (
+  select 0::bigint as turn, list_transform(range(top), lambda j: 0::bigint) as taken, null::bigint as vec_id, null::bigint as center_id, null::double as dist from n_centers
+  union all
+  select turn, list_transform(range(len(taken)), lambda j: taken[j + 1] + (pick is not null and ids[pick] = j)::int), vec_id, ids[pick], dists[pick] from (
+    select x.turn, o.taken, x.vec_id, x.ids, x.dists, list_filter(range(1, len(x.ids) + 1), lambda k: f.center_id is not null and x.ids[k] <> f.center_id and x.dists[k] < {epsilon}::double * f.dist and x.dists[k] < 2 * {epsilon}::double * radii[x.ids[k] + 1] and o.taken[x.ids[k] + 1] < caps[x.ids[k] + 1])[1] as pick
+    from two o join lists x on x.turn = o.turn + 1 left join first_round f on f.vec_id = x.vec_id, seats)
+), assigned as (
+  select center_id, vec_id, 1 as round, dist from first_round union all select center_id, vec_id, 2, dist from two where center_id is not null
+  union all select ids[1], vec_id, 0, dists[1] from lists where vec_id not in (select vec_id from first_round)
+) select center_id::int as shard_id, vec_id, round::int as round, round(dist, 6) as dist from assigned"""
+
+
+@query("partition_selective_tight", tight_selective_sql(TIGHT_SHARE, 1.2, COPIES))
 def partition_selective_tight(spark: SparkSession, d: str) -> DataFrame:
     """With so few seats that vectors are turned away in both rounds."""
     v = embeddings(spark, d)
@@ -429,7 +486,21 @@ def partition_nonselective(spark: SparkSession, d: str) -> DataFrame:
     return rounded(partition.partition_nonselective(v, label_centers(v), COPIES, v.count()))
 
 
-@query("partition_nonselective_tight")
+#: For two copies: the first and the second centre with a seat, but the last but one and the last where it comes to that.
+TIGHT_NONSELECTIVE_SQL = f"""with recursive {IN_TURN}, lim as (select floor(0.21::double * count(*))::bigint as l from v),
+fold as (
+  select 0::bigint as turn, list_transform(range(top), lambda j: 0::bigint) as taken, null::bigint as vec_id, null::bigint[] as ids, null::double[] as dists, null::bigint as a, null::bigint as b from n_centers
+  union all
+  select turn, list_transform(range(len(taken)), lambda j: taken[j + 1] + (ids[a] = j)::int + (ids[b] = j)::int), vec_id, ids, dists, a, b from (
+    select *, coalesce(list_filter(free, lambda k: k > a)[1], len(ids)) as b from (
+      select *, least(coalesce(free[1], len(ids) - 1), len(ids) - 1) as a from (
+        select x.turn, f.taken, x.vec_id, x.ids, x.dists, list_filter(range(1, len(x.ids) + 1), lambda k: f.taken[x.ids[k] + 1] < l) as free
+        from fold f join lists x on x.turn = f.turn + 1, lim)))
+) select ids[a]::int as shard_id, vec_id, 1 as round, round(dists[a], 6) as dist from fold where vec_id is not null
+union all select ids[b]::int, vec_id, 2, round(dists[b], 6) from fold where vec_id is not null"""
+
+
+@query("partition_nonselective_tight", TIGHT_NONSELECTIVE_SQL)
 def partition_nonselective_tight(spark: SparkSession, d: str) -> DataFrame:
     v = embeddings(spark, d)
     return rounded(partition.partition_nonselective(v, label_centers(v), COPIES, seats(v, 0.21)))
@@ -449,7 +520,25 @@ def partition_overlap_avg(spark: SparkSession, d: str) -> DataFrame:
     return rounded(partition.partition_overlap(v, label_centers(v), COPIES, v.count(), EPSILON))
 
 
-@query("partition_overlap_tight")
+#: One step of the recursion is one centre of one vector.
+TIGHT_OVERLAP_SQL = f"""with recursive {IN_TURN}, lim as materialized (select floor(0.18::double * count(*))::bigint as l, m from v, n_centers group by m),
+fold as (
+  select 0::bigint as step, list_transform(range(top), lambda j: 0::bigint) as taken, null::bigint as vec_id, null::bigint as center_id, null::double as dist, 0::bigint as kept, 0.0::double as total, 0::bigint as passed, 'infinity'::double as mean, false as now from n_centers
+  union all
+  select step, list_transform(range(len(taken)), lambda j: taken[j + 1] + (keep and center_id = j)::int), vec_id, center_id, dist, kept + keep::int,
+    case when pass then total + dist else total end, passed + pass::int,
+    case when not pass then mean when is_full then 'infinity'::double else (total + dist) / (passed + 1) end, keep
+  from (
+    select *, pass and not is_full as keep from (
+      select *, taken[center_id + 1] >= l as is_full, kept < {COPIES} and dist <= {EPSILON}::double * mean as pass from (
+        select f.step + 1 as step, f.taken, x.vec_id, x.ids[f.step % m + 1] as center_id, x.dists[f.step % m + 1] as dist, l,
+          case when f.step % m = 0 then 0 else f.kept end as kept, case when f.step % m = 0 then 0.0::double else f.total end as total,
+          case when f.step % m = 0 then 0 else f.passed end as passed, case when f.step % m = 0 then 'infinity'::double else f.mean end as mean
+        from fold f, lim, lists x where x.turn = f.step // m + 1)))
+) select center_id::int as shard_id, vec_id, kept::int as round, round(dist, 6) as dist from fold where now"""
+
+
+@query("partition_overlap_tight", TIGHT_OVERLAP_SQL)
 def partition_overlap_tight(spark: SparkSession, d: str) -> DataFrame:
     v = embeddings(spark, d)
     return rounded(partition.partition_overlap(v, label_centers(v), COPIES, seats(v, 0.18), EPSILON))
@@ -572,6 +661,12 @@ def union_sort(spark: SparkSession, d: str) -> DataFrame:
     return merge.union_sort(shard_edges(v, a).select("src", "dst"), m.select("src", "dst"))
 
 
+@query("concat_group_cut", f"with {MERGED}, both_ as (select src, dst from shard_graph union all select src, dst from merged), cut as ({cut_sql('both_', 6)}) select src, string_agg(dst::varchar, ',' order by pos) as neighbors from cut group by src")
+def concat_group_cut(spark: SparkSession, d: str) -> DataFrame:
+    v, a, m = merged(spark, d)
+    return merge.concat_group_cut(shard_edges(v, a), m, 6, SEED).select("src", F.concat_ws(",", F.col("neighbors").cast("array<string>")).alias("neighbors"))
+
+
 @query("group_neighbors", f"with {MERGED} select src, string_agg(dst::varchar, ',' order by pos) as neighbors from merged group by src")
 def group_neighbors(spark: SparkSession, d: str) -> DataFrame:
     return merge.group_neighbors(merged(spark, d)[2]).select("src", F.concat_ws(",", F.col("neighbors").cast("array<string>")).alias("neighbors"))

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new path under spark.checkpoint.dir; a temporary one is set only where that is unset."""
+    """A new path under spark.checkpoint.dir; a temporary one is set only where that is unset and all runs in one process."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="velora-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/velora/{name}-{uuid.uuid4().hex}"
@@ -22,3 +24,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     path = shared_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(*tables: DataFrame) -> None:
+    """Remove the folders of tables that materialise() gave and nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {path.rpartition("/")[0] for path in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
