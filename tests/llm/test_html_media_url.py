@@ -206,6 +206,12 @@ def test_url_parts_rules_and_reputation(spark):
     assert url_filter.judge(pages.limit(0), none).count() == 0
 
 
+def test_levels_of_hosts(spark):
+    hosts = {"a.b.co.uk": ("b.co.uk", "co.uk"), "co.uk": ("co.uk", "co.uk"), "x.y.com:80": ("y.com", "com"), "me@x.org": ("x.org", "org"), "10.0.0.1:8": ("10.0.0.1", "ip"), "[::1]": ("[::1]", "ip"), "net": ("net", "net"), "": ("", ""), "w.discom.de": ("discom.de", "de"), "l" * 100_000 + ".a.b": ("a.b", "b")}
+    frame = spark.createDataFrame([(h,) for h in hosts], "host string").withColumns(url_filter.levels(url_filter.F.col("host")))
+    assert {r.host: (r.domain, r.suffix) for r in frame.collect()} == hosts
+
+
 def test_bad_hosts_are_blocked_only_with_evidence(spark):
     rows = [(k, f"http://bad.spam.com/{k}") for k in range(60)] + [(100 + k, f"http://good.fine.com/{k}") for k in range(60)] + [(200, "http://few.odd.com/1"), (201, "http://bad.spam.com/new"), (201, "http://bad.spam.com/new")]
     outcomes = [(k, 0) for k in range(60)] + [(100 + k, 1) for k in range(60)] + [(200, 0), (999, 0), (100, None), (101, 7)]

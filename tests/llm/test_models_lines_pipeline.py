@@ -296,6 +296,73 @@ def test_one_of_each_group_stays(spark):
     assert near_texts.deduplicated(docs.limit(0)).count() == 0
 
 
+def test_pipeline_against_brute_force(spark, quality_tables, tmp_path):
+    """Every stage in plain Python over the rows that the stage before left."""
+    import public_tokenizers
+    import sentencepiece
+    from test_decontaminate import brute as brute_items
+    from test_simhash import brute_groups
+
+    from velora.llm import decontaminate as dc
+
+    docs, labels = quality_tables
+    rng = random.Random(16)
+    item, other = (" ".join(f"{w}{x}{k}" for k, w in enumerate(WORDS)) for x in "ab")
+    rows = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in docs.collect() if r.doc_id is not None and r.doc_id < 9000 and r.n_chars != 1]
+    passage = "\n".join(prose(rng, 25) for _ in range(3))
+    for k in range(6):
+        rows += [(3000 + k, "\n".join([prose(rng, 30), passage, prose(rng, 30)]), "en", "hot", 5), (3100 + k, prose(rng, 30) + " " + item + (" " + other if k % 2 else ""), "en", "hot", 5)]
+    for k in range(5):
+        base = prose(rng, 150)
+        words = base.split()
+        words[70] = "changed"
+        rows += [(3200 + k, base, "en", "hot", 5), (3300 + k, " ".join(words), "en", "hot", 5)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, label string"
+    spark.createDataFrame([(*r, "x") for r in rows], schema).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.write.parquet(f"{tmp_path}/labels.parquet")
+    items = [(1, item), (2, other)]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    model = quality.fit(spark.read.parquet(f"{tmp_path}/documents.parquet"), labels)
+    own = {r[0]: float(model.evidence(quality.features(r[1].encode())[None])[0]) for r in rows}
+    odds = lambda p: math.log(min(max(p, 1e-6), 1 - 1e-6) / (1 - min(max(p, 1e-6), 1 - 1e-6)))
+    mean, left = sum(own.values()) / len(own), {}
+    for i, text, lang, host, _ in rows:
+        of_host, of_path = [own[r[0]] for r in rows if r[3] == host], [own[r[0]] for r in rows if (r[3], r[2]) == (host, lang)]
+        host_rate = (sum(of_host) + 20 * mean) / (len(of_host) + 20)
+        path_rate = (sum(of_path) - own[i] + 20 * host_rate) / (len(of_path) - 1 + 20)
+        if odds(own[i]) + 0.5 * (odds(path_rate) - odds(mean)) >= 0:
+            left[i] = text
+    cut = {}
+    for (i, text), (hit, _) in covered(list(left.items())).items():
+        kept, k = [], 0
+        for line in text.split("\n"):
+            kept += [line] if not line.strip() or k not in hit else []
+            k += bool(line.strip())
+        if not hit or any(x.strip() for x in kept):
+            cut[i] = "\n".join(kept)
+    ids = sorted(cut)
+    label = brute_groups([cut[i] for i in ids])[1]
+    once = {i: cut[i] for k, i in enumerate(ids) if label[k] == k}
+    clean = {}
+    for i, text in once.items():
+        if len(brute_items(text, items)[2]) < 2:
+            hit = dc.Index([(str(k), t.encode()) for k, t in items]).scan(text.encode())[1]
+            clean[i] = dc.without_words(text.encode(), dc.runs(hit)).decode() if hit else text
+    library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {r.doc_id: (list(r.ids), r.text) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert got == {i: (library.encode(t), library.decode(library.encode(t))) for i, t in clean.items()}
+    assert 0 < len(clean) < len(once) < len(cut) <= len(left) < len(rows)
+
+
+def test_pipeline_over_empty_tables(spark, quality_tables, tmp_path):
+    docs, labels = quality_tables
+    docs.drop("site_n").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
+    labels.limit(0).write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_pipeline_over_a_small_corpus(spark, quality_tables, tmp_path):
     docs, labels = quality_tables
     docs, labels = docs.drop("site_n"), labels

@@ -95,10 +95,12 @@ with parts as (
 ), known as (
   select doc_id, count(*) as n, sum(quality) as good from labels where quality in (0, 1) group by doc_id
 ), hosts as (
-  select host, string_split(host, '.')[-1] as suffix,
-    array_to_string(list_slice(string_split(host, '.'), -2, -1), '.') as dom,
-    coalesce(sum(n), 0) as n, coalesce(sum(good), 0) as good
-  from parts left join known on page_id = doc_id group by host
+  select host, case when address then 'ip' when country then array_to_string(labels[-2:], '.') else labels[-1] end as suffix,
+    case when address then name when country then array_to_string(labels[-3:], '.') else array_to_string(labels[-2:], '.') end as dom, n, good
+  from (select *, string_split(name, '.') as labels, regexp_matches(name, '^([0-9]{1,3}([.][0-9]{1,3}){3}|\\[.*\\])$') as address,
+      regexp_matches(name, '(^|[.])(ac|co|com|edu|go|gov|ne|net|or|org)[.][a-z][a-z]$') as country
+    from (select host, regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', '') as name, coalesce(sum(n), 0) as n, coalesce(sum(good), 0) as good
+      from parts left join known on page_id = doc_id group by host))
 ), total as (
   select (sum(good) + 1.0) / (sum(n) + 1.0) as m_0 from hosts
 ), suffixes as (

@@ -16,7 +16,7 @@ shuffle; the join back to pages is on the host with adaptive skew splitting.
 Defined results: null url or one without ``://``: empty host and path, no rule
 fits, and the verdict is the method's for the empty host. Repeated pages keep
 one row each. Outcomes that are null or not 0/1, or of unknown pages, count
-nothing. Empty tables give empty results; with no outcomes all is allowed.
+nothing. Very long urls are read whole. Empty tables give empty results; with no outcomes all is allowed.
 """
 
 from __future__ import annotations
@@ -78,9 +78,23 @@ def rule_of(host: Column, path: Column, rules: tuple[Rule, ...]) -> tuple[Column
     return text, verdict
 
 
+#: Labels under which countries register, as in co.uk. Fixed values, as is usual; a list of all suffixes would be a table of its own.
+SECOND_LEVEL = "ac|co|com|edu|go|gov|ne|net|or|org"
+_COUNTRY = rf"(^|[.])({SECOND_LEVEL})[.][a-z][a-z]$"
+_ADDRESS = r"^([0-9]{1,3}([.][0-9]{1,3}){3}|\[.*\])$"
+
+
 def levels(host: Column) -> dict[str, Column]:
-    """Registered domain (last two labels) and suffix (last label) of a host."""
-    return {"domain": F.substring_index(host, ".", -2), "suffix": F.substring_index(host, ".", -1)}
+    """Registered domain and suffix of a host, without user name and port.
+
+    The last two labels and the last one; under a country's second level the last
+    three and the last two. An address is a domain by itself, with the suffix "ip".
+    """
+    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":[0-9]*$", "")
+    address, country = name.rlike(_ADDRESS), name.rlike(_COUNTRY)
+    domain = F.when(address, name).when(country, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    suffix = F.when(address, F.lit("ip")).when(country, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
+    return {"domain": domain, "suffix": suffix}
 
 
 def reputation(hosts: DataFrame, strength: float = 8.0, z: float = 1.645) -> DataFrame:
