@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and gives a DataFrame, which is written
 as Parquet and read again as the next stage's documents.
+
+Defined results: null and empty texts are documents like any other; at most one
+without words stays, as they are near-duplicates. Repeated rows (equal id and text)
+are one document after the third stage. Of equal scores, ids and runs the stages'
+own modules say what stays. Columns beside those of documents are kept by all stages
+but the last, whatever their names. Empty tables, of documents, labels or benchmark
+items, give empty results or nothing to reject.
 """
 
 from __future__ import annotations
