@@ -48,7 +48,7 @@ from velora.llm.common import gathered, id_and_text, map_batches
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = range(1, 7)
 #: Words and pairs that a worker remembers, and the longest word of these.
-CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 300_000, 800_000, 12
+CACHE_WORDS, CACHE_PAIRS, CACHED_LENGTH = 150_000, 400_000, 12
 #: In place of a piece: before the first one, and a character that no piece has.
 NONE, FALLBACK = -2, -1
 _WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
