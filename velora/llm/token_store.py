@@ -40,7 +40,7 @@ import json
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -281,12 +281,15 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, seen = encoder_of(tokenizer_path, end_id), set()
         pack = Packer(encoder.wide).pack
+        with no_cycles():
+            yield from stored(batches, encoder, seen, pack)
+        release_memory()
+
+    def stored(batches: Iterator[pa.RecordBatch], encoder: Encoder, seen: set[bytes], pack: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2 * SLICE):
+            for batch in slices(whole, 4 * SLICE):
                 names, sizes, fresh, roots, totals = [], [], [], [], []
-                with no_cycles():
-                    encoded = encoder.encode(pc.fill_null(batch.column(1), ""))
-                for ids in encoded:
+                for ids in encoder.encode(pc.fill_null(batch.column(1), "")):
                     ends = cuts(ids)
                     chunks = [ids[a:b] for a, b in zip([0, *ends], ends)]
                     own = list(map(address, chunks))
@@ -309,7 +312,6 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
                     [batch.column(0), ties, pa.array(totals, pa.int64()), lists(names, pa.array([x for own in names for x in own], pa.binary())), lists(sizes, pa.array([x for own in sizes for x in own], pa.int32())), pa.array(roots, pa.binary()), lists(fresh, packs)],
                     ["doc_id", "tie", "n_tokens", "addresses", "lengths", "root", "fresh"],
                 )
-        release_memory()
 
     return docs.mapInArrow(run, "doc_id long, tie long, n_tokens long, addresses array<binary>, lengths array<int>, root binary, fresh array<struct<address: binary, n: int, payload: binary>>")
 
