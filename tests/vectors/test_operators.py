@@ -89,7 +89,7 @@ def test_nonselective_partition(vectors, centers, data, limit):
     assert {(r.shard_id, r.vec_id) for r in partition.partition_nonselective(vectors, centers, 2, limit).collect()} == want
 
 
-@pytest.mark.parametrize("limit", [40, 500])
+@pytest.mark.parametrize("limit", [30, 40, 70, 500])
 def test_overlap_partition(vectors, centers, data, limit):
     d = distances(data)
     counts, want = np.zeros(6, int), set()

@@ -28,6 +28,31 @@ def center_arrays(centers: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], np.float64)
 
 
+def parts_of(rows: int, centers: int) -> list[slice]:
+    """The rows of a batch in slices whose distances to all centres take some 32 MB."""
+    step = max(1, (4 << 20) // max(centers, 1))
+    return [slice(k, k + step) for k in range(0, rows, step)]
+
+
+def nearest_of(x: np.ndarray, ids: np.ndarray, points: np.ndarray, count: int, shut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Row, centre's place, rank and distance of each row's nearest centres but for those that are shut to it.
+
+    A matrix product chooses candidates with a margin for its rounding; ranks are by
+    exact distance, then by id.
+    """
+    rough = pairwise(x, points)
+    if shut is not None:
+        rough[shut] = np.inf
+    kth = np.partition(rough, count - 1, axis=1)[:, count - 1]
+    row, col = np.nonzero((rough <= (kth + 1e-9 * (1 + kth + (x * x).sum(1)))[:, None]) & np.isfinite(rough))
+    exact = rowwise(x[row], points[col])
+    order = np.lexsort((ids[col], exact, row))
+    row, col, exact = row[order], col[order], exact[order]
+    rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
+    top = rank <= count
+    return row[top], col[top], rank[top].astype(np.int32), exact[top]
+
+
 def nearest_centers(vectors: DataFrame, centers: DataFrame, count: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """vec_id, center_id, rank, dist: the nearest centres of each vector; equal distances by center_id.
 
@@ -46,15 +71,9 @@ def nearest_centers(vectors: DataFrame, centers: DataFrame, count: int, id_col:
             if not len(frame) or not count:
                 continue
             x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-            rough = pairwise(x, points)
-            limit = np.partition(rough, count - 1, axis=1)[:, count - 1]
-            row, col = np.nonzero(rough <= (limit + 1e-9 * (1 + limit))[:, None])
-            exact = rowwise(x[row], points[col])
-            order = np.lexsort((ids[col], exact, row))
-            row, col, exact = row[order], col[order], exact[order]
-            rank = np.arange(len(row)) - np.searchsorted(row, row) + 1
-            top = rank <= count
-            yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[row[top]], "center_id": ids[col[top]], "rank": rank[top].astype(np.int32), "dist": exact[top]})
+            for some in parts_of(len(x), len(ids)):
+                row, col, rank, dist = nearest_of(x[some], ids, points, count)
+                yield pd.DataFrame({"vec_id": frame["vec_id"].to_numpy()[some][row], "center_id": ids[col], "rank": rank, "dist": dist})
 
     return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("v is not null").mapInPandas(run, "vec_id long, center_id long, rank int, dist double")
 

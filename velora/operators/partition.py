@@ -1,29 +1,36 @@
 """Partitioning vectors into shards: by range, by nearest centres, and with capacities.
 
 An assignment has the columns shard_id, vec_id, round, dist. With capacities the
-rule is first come, first served in id order. All points rank the shards'
-seats alike (by id), so deferred acceptance gives the same result in parallel:
-every point proposes to its best shards that haven't rejected it, a shard keeps
-its capacity's worth of smallest ids, the rest propose further, until nobody is
-rejected. Ranks inside a shard are taken range by range (see
+rule is first come, first served in id order; _in_turn() gives its exact outcome by
+a few parallel scans, and what the scans write are choices, never a distance for
+every vector and centre. Ranks inside a shard are taken range by range (see
 functions.ranking), so no task holds a shard.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from velora.functions.ranking import grouped_rank
-from velora.operators.kmeans import nearest_centers
-from velora.sources.shared import materialise
+from velora.functions.ranking import PIECES, grouped_rank
+from velora.functions.vectors import pairwise, rowwise
+from velora.operators.kmeans import CENTER_BYTES, _center_bytes, center_arrays, nearest_centers, nearest_of, parts_of
+from velora.sources.shared import materialise, release
 
 #: The share of a shard that the first round fills, fixed by the method.
 FIRST_ROUND = 0.8
+#: Ids and distances of a point's centres, nearest first, and which are shut: the places that it takes.
+Pick = Callable[[np.ndarray, np.ndarray, np.ndarray], list[int]]
+_CHOICE = ["center_id", "vec_id", "round", "dist"]
+
+
+def smoothed_share(share: float, block: int, new: int, rows: int) -> float:
+    """A shard's share of the first round after a block (from 0) in which it got new of the rows; 1/k was before all."""
+    return (share * (block + 1) + new / max(rows, 1)) / (block + 2)
 
 
 def partition_range(vectors: DataFrame, shard_size: int, id_col: str = "vec_id") -> DataFrame:
@@ -46,24 +53,130 @@ def partition_knearest(vectors: DataFrame, centers: DataFrame, copies: int, id_c
     return near.select(F.col("center_id").cast("int").alias("shard_id"), "vec_id", F.col("rank").alias("round"), "dist")
 
 
-def _accepted(choices: DataFrame, capacity: DataFrame, quota: Column | int, name: str) -> DataFrame:
-    """Deferred acceptance: vec_id, center_id, dist of the matching.
+def _in_turn(source: DataFrame, centers: DataFrame, caps: dict[int, int], pick: Pick, quota: int | None, name: str) -> DataFrame:
+    """center_id, vec_id, round, dist: what points choose one after the other in id order, in parallel.
+
+    All that a point needs to know of earlier ones is which shards are full, that is
+    the id of the last point that each shard had a seat for. These ids are guessed (at
+    first no shard fills), all points choose, and the ids that follow from their choices
+    are the next guess, until they are those guessed. By induction over the ids just one
+    set of them agrees with its own choices, the sequential one. Where guess and outcome
+    first differ, the outcome is right; if a guess proves too strict, only the part known
+    to be right is taken over, so two scans find one more full shard at the latest.
 
-    choices(vec_id, center_id, dist) are the acceptable shards, capacity
-    (center_id, cap) their seats; each point takes up to quota shards.
+    The source has vec_id and a vector v, which chooses among all centres, or vec_id and
+    the ids and dists of its candidates, nearest first. pick(ids, dists, shut) gives the
+    places chosen from those. With a quota, vectors for which enough centres are open take
+    the nearest of them. The id that fills a shard is looked for in the one range of ids
+    that holds it, after ranges were counted.
     """
-    choices = materialise(choices, f"{name}-choices")
-    preference = Window.partitionBy("vec_id").orderBy("dist", "center_id")
+    spark, never = source.sparkSession, np.iinfo(np.int64).max
+    seats = F.broadcast(spark.createDataFrame([(int(c), int(n)) for c, n in caps.items()], "center_id long, cap long"))
+    ids, points = np.array(sorted(caps), np.int64), np.empty((0, 0))
+    if packed := "v" in source.columns and _center_bytes(centers) <= CENTER_BYTES:
+        ids, points = center_arrays(centers)
+    elif "v" in source.columns:
+        source = materialise(_lists(nearest_centers(source, centers, len(caps), "vec_id", "v")), "center-lists")
+    count = min(quota or 0, len(ids))
+    edges = np.unique(np.array(source.agg(F.percentile_approx("vec_id", [k / PIECES for k in range(1, PIECES)], 20 * PIECES)).first()[0] or [], np.int64))
+
+    def choices(last: np.ndarray):
+        closed = dict(zip(ids.tolist(), last.tolist()))
+
+        def placed(found: pd.DataFrame) -> pd.DataFrame:
+            return found.assign(piece=np.searchsorted(edges, found["vec_id"].to_numpy(np.int64), side="right"))
+
+        def one(vec_id: int, own: np.ndarray, dists: np.ndarray) -> list[tuple]:
+            shut = np.array([vec_id > closed[c] for c in own.tolist()], bool)
+            return [(own[c], vec_id, k + 1, dists[c]) for k, c in enumerate(pick(own, dists, shut))]
+
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                if not len(frame) or not len(ids):
+                    continue
+                names = frame["vec_id"].to_numpy()
+                if not packed:
+                    yield placed(pd.DataFrame([t for r in zip(names, frame["ids"], frame["dists"]) for t in one(*r)], columns=_CHOICE))
+                    continue
+                x = np.stack(frame["v"].to_numpy()).astype(np.float64)
+                for some in parts_of(len(x), len(ids)):
+                    part, own = x[some], names[some]
+                    left = np.arange(len(part))
+                    if count:
+                        row, col, rank, dist = nearest_of(part, ids, points, count, own[:, None] > last[None, :])
+                        left = np.flatnonzero(np.bincount(row, minlength=len(part)) < quota)
+                        whole = ~np.isin(row, left)
+                        yield placed(pd.DataFrame({"center_id": ids[col[whole]], "vec_id": own[row[whole]], "round": rank[whole], "dist": dist[whole]}))
+                    found = []
+                    for r in left:
+                        dists = rowwise(part[r][None, :], points)
+                        order = np.lexsort((ids, dists))
+                        found += one(own[r], ids[order], dists[order])
+                    yield placed(pd.DataFrame(found, columns=_CHOICE))
+
+        return run
+
+    always = {c: np.iinfo(np.int64).min for c, n in caps.items() if n <= 0}
+    guess = dict(always)
+    piece = Window.partitionBy("center_id").orderBy("piece").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     while True:
-        proposed = choices.withColumn("n", F.row_number().over(preference)).where(F.col("n") <= quota).drop("n")
-        ranked = materialise(grouped_rank(proposed, ["center_id"], "vec_id", "seat").join(F.broadcast(capacity), "center_id").withColumn("in", F.col("seat") <= F.col("cap")), f"{name}-seats")
-        rejected = ranked.where("not in").select("vec_id", "center_id")
-        if rejected.isEmpty():
-            return ranked.select("vec_id", "center_id", "dist")
-        choices = materialise(choices.join(rejected, ["vec_id", "center_id"], "left_anti"), f"{name}-choices")
+        taken = materialise(source.mapInPandas(choices(np.array([guess.get(c, never) for c in ids.tolist()], np.int64)), "center_id long, vec_id long, round int, dist double, piece int"), name)
+        sizes = taken.groupBy("center_id", "piece").agg(F.count("*").alias("n")).withColumns({"upto": F.sum("n").over(piece), "size": F.sum("n").over(Window.partitionBy("center_id"))})
+        last = sizes.join(seats, "center_id").where("cap > 0 and upto >= cap and upto - n < cap").select("center_id", "piece", (F.col("cap") - F.col("upto") + F.col("n")).cast("int").alias("place"), (F.col("size") > F.col("cap")).alias("more")).collect()
+        full = [(r.center_id, r.piece, r.place) for r in last if r.more or r.center_id in guess]
+        found = dict(always)
+        if full:
+            own = taken.join(F.broadcast(spark.createDataFrame(full, "center_id long, piece int, place int")), ["center_id", "piece"])
+            ranked = own.withColumn("n", F.row_number().over(Window.partitionBy("center_id").orderBy("vec_id")))
+            found |= {r[0]: r[1] for r in ranked.where("n = place").select("center_id", "vec_id").collect()}
+        if found == guess:
+            return taken.drop("piece")
+        differ = min(min(guess.get(c, never), found.get(c, never)) for c in guess.keys() | found.keys() if guess.get(c) != found.get(c))
+        strict = any(found.get(c, never) > at for c, at in guess.items())
+        guess = {c: at for c, at in found.items() if at <= differ} if strict else found
+        release(taken)
+
+
+def _lists(found: DataFrame) -> DataFrame:
+    """vec_id, ids, dists: each vector's candidates of (vec_id, center_id, dist), nearest first."""
+    own = found.groupBy("vec_id").agg(F.array_sort(F.collect_list(F.struct("dist", "center_id"))).alias("c"))
+    return own.select("vec_id", F.col("c.center_id").alias("ids"), F.col("c.dist").alias("dists"))
+
+
+def _rows(vectors: DataFrame, id_col: str, vector: str) -> DataFrame:
+    return vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).where("vec_id is not null and v is not null")
+
+
+def _first_open(ids: np.ndarray, dists: np.ndarray, shut: np.ndarray) -> list[int]:
+    return np.flatnonzero(~shut)[:1].tolist()
+
+
+def _border(first: DataFrame, rows: DataFrame, centers: DataFrame, epsilon: float, bounds: dict[int, float]) -> DataFrame:
+    """vec_id, center_id, dist: centres besides a vector's own at less than epsilon times its distance and less than their bound."""
+    own = rows.join(first.select("vec_id", F.col("center_id").alias("own"), F.col("dist").alias("d1")), "vec_id")
+    if _center_bytes(centers) > CENTER_BYTES:
+        limits = F.broadcast(rows.sparkSession.createDataFrame(list(bounds.items()), "center_id long, bound double"))
+        near = nearest_centers(rows, centers, len(bounds), "vec_id", "v").join(own.drop("v"), "vec_id").join(limits, "center_id")
+        return near.where((F.col("center_id") != F.col("own")) & (F.col("dist") < epsilon * F.col("d1")) & (F.col("dist") < F.col("bound"))).select("vec_id", "center_id", "dist")
+    ids, points = center_arrays(centers)
+    bound = np.array([bounds[c] for c in ids.tolist()])
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            if not len(frame):
+                continue
+            x, names, mine, d1 = np.stack(frame["v"].to_numpy()), frame["vec_id"].to_numpy(), frame["own"].to_numpy(), frame["d1"].to_numpy()
+            for some in parts_of(len(x), len(ids)):
+                part, most = x[some], np.minimum(epsilon * d1[some][:, None], bound[None, :])
+                row, col = np.nonzero(pairwise(part, points) <= most + 1e-9 * (1 + most + (part * part).sum(1)[:, None]))
+                dist = rowwise(part[row], points[col])
+                near = (ids[col] != mine[some][row]) & (dist < most[row, col])
+                yield pd.DataFrame({"vec_id": names[some][row[near]], "center_id": ids[col[near]], "dist": dist[near]})
+
+    return own.mapInPandas(run, "vec_id long, center_id long, dist double")
 
 
-def partition_selective(vectors: DataFrame, centers: DataFrame, copies: int, limit: int, epsilon: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def partition_selective(vectors: DataFrame, centers: DataFrame, copies: int, limit: int, epsilon: float, id_col: str = "vec_id", vector: str = "embedding", *, block_rows: int | None = None) -> DataFrame:
     """Two rounds with capacities; only vectors near a border are in more than one shard.
 
     Round 1: each vector goes to its nearest centre with a seat; seats are
@@ -71,69 +184,71 @@ def partition_selective(vectors: DataFrame, centers: DataFrame, copies: int, lim
     epsilon times the first distance and less than 2 * epsilon times the shard's
     radius (the largest first-round distance); seats are limit - taken + 1. A
     vector for which round 1 has no seat goes to its nearest centre as round 0.
-    """
-    n_centers = centers.count()
-    near = materialise(nearest_centers(vectors, centers, n_centers, id_col, vector).drop("rank"), "center-distances")
-    seats = centers.select(F.col("center_id").cast("long").alias("center_id"))
-    cap1 = seats.withColumn("cap", F.lit(int(FIRST_ROUND * limit) + 1))
-    first = materialise(_accepted(near, cap1, 1, "first-round"), "first-round")
-    taken = first.groupBy("center_id").agg(F.count("*").alias("taken"), F.max("dist").alias("radius"))
-    cap2 = materialise(seats.join(taken, "center_id", "left").select("center_id", F.greatest(F.lit(0), F.lit(limit) - F.coalesce("taken", F.lit(0)) + 1).alias("cap"), F.coalesce("radius", F.lit(0.0)).alias("radius")), "second-seats")
-    own = first.select("vec_id", F.col("center_id").alias("own"), F.col("dist").alias("d1"))
-    wanted = near.join(own, "vec_id").join(F.broadcast(cap2), "center_id").where((F.col("center_id") != F.col("own")) & (F.col("dist") < epsilon * F.col("d1")) & (F.col("dist") < 2 * epsilon * F.col("radius")))
-    out = first.select("center_id", "vec_id", F.lit(1).alias("round"), "dist")
-    if copies > 1:
-        second = _accepted(wanted.select("vec_id", "center_id", "dist"), cap2.select("center_id", "cap"), copies - 1, "second-round")
-        out = out.unionByName(second.select("center_id", "vec_id", F.lit(2).alias("round"), "dist"))
-    left = near.join(first, "vec_id", "left_anti").groupBy("vec_id").agg(F.min(F.struct("dist", "center_id")).alias("m")).select(F.col("m.center_id").alias("center_id"), "vec_id", F.lit(0).alias("round"), F.col("m.dist").alias("dist"))
-    return out.unionByName(left).select(F.col("center_id").cast("int").alias("shard_id"), "vec_id", "round", "dist")
-
-
-def _in_turn(near: DataFrame, limit: int, choose) -> DataFrame:
-    """Points one after the other in id order, where a rule's outcome depends on all earlier points.
-
-    The only state is a counter per shard, rows stream through and none is held;
-    but it is one task. It is used only where a capacity is reached.
-    """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        counts: dict[int, int] = {}
-        for frame in frames:
-            rows = []
-            for vec_id, ids, dists in zip(frame["vec_id"], frame["ids"], frame["dists"]):
-                for k, c in enumerate(choose(ids, dists, counts)):
-                    counts[ids[c]] = counts.get(ids[c], 0) + 1
-                    rows.append((ids[c], vec_id, k + 1, dists[c]))
-            yield pd.DataFrame(rows, columns=["shard_id", "vec_id", "round", "dist"])
+    Ids are distinct; vectors that are null have no row.
 
-    order = F.array_sort(F.collect_list(F.struct("dist", "center_id")))
-    lists = near.groupBy("vec_id").agg(order.alias("c")).select("vec_id", F.transform("c", lambda s: s["center_id"]).alias("ids"), F.transform("c", lambda s: s["dist"]).alias("dists"))
-    return lists.repartition(1).sortWithinPartitions("vec_id").mapInPandas(run, "shard_id int, vec_id long, round int, dist double")
+    With block_rows, ranges of so many ids (from 0) go through both rounds one after
+    the other. Counts and radii carry over. Before the last block, a shard's seats in
+    round 2 follow from the smoothed share of round 1 that it is expected to get, and
+    the radius counts 1 + 1/b times in the b-th block instead of twice.
+    """
+    rows, spark = _rows(vectors, id_col, vector), vectors.sparkSession
+    shards = [r[0] for r in centers.select(F.col("center_id").cast("long")).collect()]
+    n = rows.count() if block_rows else 0
+    blocks = max(1, -(-n // block_rows)) if block_rows else 1
+    most_first = int(FIRST_ROUND * limit)
+    firsts, seconds, radius, share = (dict.fromkeys(shards, x) for x in (0, 0, 0.0, 1 / max(len(shards), 1)))
+    out = None
+    for b in range(blocks):
+        block = rows if blocks == 1 else rows.where((F.col("vec_id") >= b * block_rows) & ((F.col("vec_id") < (b + 1) * block_rows) | F.lit(b == blocks - 1)))
+        open_seats = {c: min(most_first + 1 - firsts[c], limit + 1 - firsts[c] - seconds[c]) for c in shards}
+        first = _in_turn(block, centers, open_seats, _first_open, 1, "first-round")
+        got = {r[0]: r[1:] for r in first.groupBy("center_id").agg(F.count("*"), F.max("dist")).collect()}
+        size = sum(k for k, _ in got.values()) if blocks == 1 else block.count()
+        for c in shards:
+            new, far = got.get(c, (0, 0.0))
+            firsts[c], radius[c] = firsts[c] + new, max(radius[c], far)
+            share[c] = smoothed_share(share[c], b, new, size)
+        second_seats = {c: (limit - firsts[c] if b == blocks - 1 else max(limit - int(share[c] * n), limit - most_first)) + 1 - seconds[c] for c in shards}
+        second_seats = {c: max(0, min(k, limit + 1 - firsts[c] - seconds[c])) for c, k in second_seats.items()}
+        found = first.select("center_id", "vec_id", "round", "dist")
+        if copies > 1:
+            wanted = _border(first, block, centers, epsilon, {c: epsilon * (1 + 1 / (b + 1)) * r for c, r in radius.items()})
+            lists = materialise(_lists(wanted), "border-lists")
+            second = _in_turn(lists, centers, second_seats, lambda ids, dists, shut: np.flatnonzero(~shut)[: copies - 1].tolist(), None, "second-round")
+            release(lists)
+            for c, k in second.groupBy("center_id").count().collect() if blocks > 1 else ():
+                seconds[c] += k
+            found = found.unionByName(second.select("center_id", "vec_id", F.lit(2).alias("round"), "dist"))
+        out = found if out is None else out.unionByName(found)
+        left = block.join(first.select("vec_id"), "vec_id", "left_anti")
+        out = out.unionByName(nearest_centers(left, centers, 1, "vec_id", "v").select("center_id", "vec_id", F.lit(0).alias("round"), "dist"))
+    return out.select(F.col("center_id").cast("int").alias("shard_id"), "vec_id", "round", "dist")
 
 
 def partition_nonselective(vectors: DataFrame, centers: DataFrame, copies: int, limit: int, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """Exactly copies shards for every vector.
 
     In id order, nearest first; a full shard (limit vectors) is passed over, but
-    not where the centres left are only just enough. While no shard reaches its
-    limit this is partition_knearest(), which runs in the scan.
+    not where the centres left are only just enough.
     """
-    free = materialise(partition_knearest(vectors, centers, copies, id_col, vector), "nearest-shards")
-    if free.groupBy("shard_id").count().where(F.col("count") > limit).isEmpty():
-        return free
 
-    def choose(ids: np.ndarray, dists: np.ndarray, counts: dict[int, int]) -> list[int]:
+    def pick(ids: np.ndarray, dists: np.ndarray, shut: np.ndarray) -> list[int]:
         out: list[int] = []
         for c in range(len(ids)):
             need = copies - len(out)
-            if need and (counts.get(ids[c], 0) < limit or len(ids) - c <= need):
+            if need and (not shut[c] or len(ids) - c <= need):
                 out.append(c)
         return out
 
-    return _in_turn(nearest_centers(vectors, centers, centers.count(), id_col, vector), limit, choose)
+    return _shards(vectors, centers, limit, pick, copies, id_col, vector)
+
+
+def _shards(vectors: DataFrame, centers: DataFrame, limit: int, pick: Pick, quota: int | None, id_col: str, vector: str) -> DataFrame:
+    caps = {r[0]: limit for r in centers.select(F.col("center_id").cast("long")).collect()}
+    return _in_turn(_rows(vectors, id_col, vector), centers, caps, pick, quota, "shards-in-turn").select(F.col("center_id").cast("int").alias("shard_id"), "vec_id", "round", "dist")
 
 
-def overlap_choice(ids: np.ndarray, dists: np.ndarray, full: set[int], epsilon: float, copies: int) -> list[int]:
+def overlap_choice(dists: np.ndarray, shut: np.ndarray, epsilon: float, copies: int) -> list[int]:
     """The centres whose distance is at most epsilon times the mean of those that passed so far.
 
     The first always passes. A full shard's distance counts in the mean, but the
@@ -141,14 +256,14 @@ def overlap_choice(ids: np.ndarray, dists: np.ndarray, full: set[int], epsilon:
     """
     out: list[int] = []
     total, passed, mean = 0.0, 0, np.inf
-    for c in range(len(ids)):
+    for c in range(len(dists)):
         if len(out) == copies:
             break
         if dists[c] > epsilon * mean:
             continue
         total, passed = total + dists[c], passed + 1
         mean = total / passed
-        if ids[c] in full:
+        if shut[c]:
             mean = np.inf
         else:
             out.append(c)
@@ -156,27 +271,8 @@ def overlap_choice(ids: np.ndarray, dists: np.ndarray, full: set[int], epsilon:
 
 
 def partition_overlap(vectors: DataFrame, centers: DataFrame, copies: int, limit: int, epsilon: float, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """Shards by the running-average overlap rule, with at most limit vectors each, in id order.
-
-    While no shard reaches its limit the rule is one of each vector alone, and it
-    runs in the scan as a fold over its sorted distances.
-    """
-    near = materialise(nearest_centers(vectors, centers, centers.count(), id_col, vector), "center-distances")
-    order = F.array_sort(F.collect_list(F.struct("dist", "center_id")))
-    lists = near.groupBy("vec_id").agg(order.alias("c"))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for vec_id, cs in zip(frame["vec_id"], frame["c"]):
-                ids, dists = np.array([c["center_id"] for c in cs]), np.array([c["dist"] for c in cs])
-                rows += [(ids[c], vec_id, k + 1, dists[c]) for k, c in enumerate(overlap_choice(ids, dists, set(), epsilon, copies))]
-            yield pd.DataFrame(rows, columns=["shard_id", "vec_id", "round", "dist"])
-
-    free = materialise(lists.mapInPandas(run, "shard_id int, vec_id long, round int, dist double"), "overlap-shards")
-    if free.groupBy("shard_id").count().where(F.col("count") > limit).isEmpty():
-        return free
-    return _in_turn(near, limit, lambda ids, dists, counts: overlap_choice(ids, dists, {i for i in ids if counts.get(i, 0) >= limit}, epsilon, copies))
+    """Shards by the running-average overlap rule, with at most limit vectors each, in id order."""
+    return _shards(vectors, centers, limit, lambda ids, dists, shut: overlap_choice(dists, shut, epsilon, copies), None, id_col, vector)
 
 
 def local_ids(assignment: DataFrame) -> DataFrame:
