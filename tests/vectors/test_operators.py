@@ -74,6 +74,50 @@ def test_selective_partition_is_the_sequential_one(vectors, centers, data, copie
     assert {r.vec_id for r in got} == set(range(N))
 
 
+@pytest.mark.parametrize("limit,rows", [(60, 100), (48, 70)])
+def test_selective_partition_in_blocks(vectors, centers, data, limit, rows):
+    """Ranges of ids one after the other: shares are smoothed, counts and radii carry over."""
+    d = distances(data)
+    order, m, most = np.argsort(d, axis=1, kind="stable"), 6, int(0.8 * limit)
+    r1, r2, radius, share, want = np.zeros(m, int), np.zeros(m, int), np.zeros(m), np.full(m, 1 / m), set()
+    blocks = -(-N // rows)
+    for b in range(blocks):
+        own, before = {}, r1.copy()
+        block = range(b * rows, min(N, (b + 1) * rows))
+        for p in block:
+            c = next((c for c in order[p] if r1[c] <= most and r1[c] + r2[c] <= limit), None)
+            if c is None:
+                want.add((int(order[p][0]), p, 0))
+                continue
+            own[p] = c
+            r1[c] += 1
+            radius[c] = max(radius[c], d[p, c])
+            want.add((int(c), p, 1))
+        share = (share * (b + 1) + (r1 - before) / len(block)) / (b + 2)
+        most2 = limit - r1 if b == blocks - 1 else np.maximum(limit - (share * N).astype(int), limit - most)
+        for p in block:
+            for c in order[p]:
+                if p not in own or c == own[p] or r2[c] > most2[c] or r1[c] + r2[c] > limit:
+                    continue
+                if d[p, c] >= 1.5 * d[p, own[p]]:
+                    break
+                if d[p, c] < 1.5 * (1 + 1 / (b + 1)) * radius[c]:
+                    r2[c] += 1
+                    want.add((int(c), p, 2))
+                    break
+    got = {(r.shard_id, r.vec_id, r.round) for r in partition.partition_selective(vectors, centers, 2, limit, 1.5, block_rows=rows).collect()}
+    assert got == want
+
+
+def test_partitions_with_more_centers_than_a_task_holds(vectors, centers, monkeypatch):
+    rules = [lambda: partition.partition_selective(vectors, centers, 2, 48, 1.5), lambda: partition.partition_overlap(vectors, centers, 2, 70, 1.4)]
+    rows = lambda rule: sorted((r.shard_id, r.vec_id, r.round) for r in rule().collect())
+    want = [rows(r) for r in rules]
+    monkeypatch.setattr(kmeans, "CENTER_BYTES", 10)
+    monkeypatch.setattr(partition, "CENTER_BYTES", 10)
+    assert [rows(r) for r in rules] == want
+
+
 @pytest.mark.parametrize("limit", [30, 85, 100, 500])
 def test_nonselective_partition(vectors, centers, data, limit):
     d = distances(data)
