@@ -22,3 +22,33 @@ def test_index_from_files(spark, tmp_path):
     for kind in ("merged", "shards"):
         found = go("search", "--data_path", fbin, "--query_path", few, "--base_folder", base, "--top_k", 5, "--itop", 64, "--graph", kind, "--truth_path", f"{tmp_path}/truth.parquet")
         assert found["recall"] > 85
+
+
+def test_shards_as_files(spark, tmp_path):
+    import json
+
+    from velora.operators.merge import merge_label_medoids
+    from velora.sources.shard_files import save_label_medoids
+    from velora.sources.vector_files import load_vectors, register
+
+    x = np.arange(200, dtype=np.float32).reshape(50, 4)
+    np.save(f"{tmp_path}/base.npy", x)
+    go = lambda *a: run(spark, [str(a) for a in a])
+    base = f"{tmp_path}/direct"
+    assert go("direct-partition", "--data_path", f"{tmp_path}/base.npy", "--base_folder", base, "--shard_size", 20, "--dataset_size", 45, "--files", "fbin") == {"shards": 3}
+    register(spark)
+    for shard, n in enumerate((20, 20, 5)):
+        ids = spark.read.format("idmap").load(f"{base}/partition{shard}/idmap.ibin").orderBy("local_id").collect()
+        assert [tuple(r) for r in ids] == [(k, 20 * shard + k) for k in range(n)]
+        rows = load_vectors(spark, f"{base}/partition{shard}/data.fbin").orderBy("vec_id").collect()
+        assert [r.embedding for r in rows] == x[20 * shard : 20 * shard + n].tolist()
+    made = go("configs", "--data_path", f"{tmp_path}/base.npy", "--base_folder", base, "--name", "set", "--build_degree", "32,64", "--inter_build_degree", "48,64")["configs"]
+    assert len(made) == 3
+    config = json.load(open(made[2]))
+    assert config["dataset"]["dims"] == 4 and config["dataset"]["base_file"] == f"{base}/partition2/data.fbin"
+    assert [(i["build_param"]["graph_degree"], i["build_param"]["intermediate_graph_degree"]) for i in config["index"]] == [(32, 48), (32, 64), (64, 64)]
+    rows = spark.createDataFrame([(0, 0, 7), (0, 1, 9), (1, 0, 8)], "shard_id int, local_id long, vec_id long")
+    found = merge_label_medoids(spark.createDataFrame([("a", 0, 1), ("a", 1, 0), ("b", 0, 0)], "label string, shard_id int, local_id long"), rows)
+    save_label_medoids(found, f"{tmp_path}/labels")
+    lines = {r[0] for r in spark.read.text(f"{tmp_path}/labels").collect()}
+    assert {tuple([x.split(", ")[0], *sorted(x.split(", ")[1:])]) for x in lines} == {("a", "8", "9"), ("b", "7")}

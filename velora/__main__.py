@@ -1,9 +1,10 @@
 """python -m velora COMMAND: the stages of an index as commands over files and tables.
 
-convert, subset, direct-partition, partition, build, merge, truth, search. Vectors
+convert, subset, direct-partition, partition, configs, build, merge, truth, search. Vectors
 are files by suffix (see sources.vector_files) or Parquet tables; assignments,
 centres, graphs and results are Parquet tables in the base folder. Graphs can be
-written in the binary formats too.
+written in the binary formats too. --files names the suffix of vector files, one for
+each shard with its id map, and configs writes their build configurations.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from velora.operators import graph, knn, merge, partition, sampling, search
+from velora.sources.shard_files import save_build_configs, save_shards
 from velora.sources.vector_files import load_vectors, register, save, save_vectors
 
 
@@ -32,8 +34,9 @@ def parser() -> argparse.ArgumentParser:
 
     command("convert", "data_path", "to")
     command("subset", "data_path", "to", "rows")
-    command("direct-partition", "data_path", "base_folder", shard_size=1_000_000)
-    command("partition", "data_path", "base_folder", "memory_budget", "build_degree", "epsilon", max_duplication=2, sampling_rate=0.05, max_iteration=15, minimum_partition_num=1, rule="selective", element_bytes=4, seed=42)
+    command("direct-partition", "data_path", "base_folder", shard_size=1_000_000, dataset_size=0, files="")
+    command("partition", "data_path", "base_folder", "memory_budget", "build_degree", "epsilon", max_duplication=2, sampling_rate=0.05, max_iteration=15, minimum_partition_num=1, rule="selective", block_rows=0, element_bytes=4, files="", seed=42)
+    command("configs", "data_path", "base_folder", "name", build_degree="64", inter_build_degree="128", files="fbin", query_path="", truth_path="", k=10, batch_size=10)
     command("build", "data_path", "base_folder", "build_degree", method="exact", metric="l2", alpha=1.2, pool=64, seed=42)
     command("merge", "base_folder", "merge_degree", seed=42, variable=0, to=None, dim=0)
     command("truth", "data_path", "query_path", "to", "top_k", metric="l2")
@@ -50,8 +53,10 @@ def partition_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.rule == "ram":
         rows, centers = partition.partition_by_ram(v, a.memory_budget, a.build_degree, a.max_duplication, element_bytes=a.element_bytes, seed=a.seed)
     else:
-        rows, centers = partition.partition_by_budget(v, a.memory_budget, a.build_degree, a.max_duplication, epsilon=a.epsilon, rate=a.sampling_rate, min_parts=a.minimum_partition_num, max_iter=a.max_iteration, element_bytes=a.element_bytes, seed=a.seed)
+        rows, centers = partition.partition_by_budget(v, a.memory_budget, a.build_degree, a.max_duplication, epsilon=a.epsilon, block_rows=a.block_rows or None, rate=a.sampling_rate, min_parts=a.minimum_partition_num, max_iter=a.max_iteration, element_bytes=a.element_bytes, seed=a.seed)
     partition.local_ids(rows).write.mode("overwrite").partitionBy("shard_id").parquet(f"{a.base_folder}/assignment")
+    if a.files:
+        save_shards(assigned(spark, a), v, a.base_folder, a.files)
     if centers is not None:
         centers.write.mode("overwrite").parquet(f"{a.base_folder}/centers")
     return partition.replication_factor(assigned(spark, a)).first().asDict()
@@ -118,8 +123,17 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> dict:
         save_vectors(sampling.subset_first_n(load_vectors(spark, a.data_path), a.rows), a.to)
         return {}
     if a.command == "direct-partition":
-        partition.partition_range(load_vectors(spark, a.data_path), a.shard_size).withColumns({"round": F.lit(1), "dist": F.lit(0.0)}).write.mode("overwrite").partitionBy("shard_id").parquet(f"{a.base_folder}/assignment")
+        v = load_vectors(spark, a.data_path)
+        v = sampling.subset_first_n(v, a.dataset_size) if a.dataset_size else v
+        partition.partition_range(v, a.shard_size).withColumns({"round": F.lit(1), "dist": F.lit(0.0)}).write.mode("overwrite").partitionBy("shard_id").parquet(f"{a.base_folder}/assignment")
+        if a.files:
+            save_shards(assigned(spark, a), v, a.base_folder, a.files)
         return {"shards": assigned(spark, a).select("shard_id").distinct().count()}
+    if a.command == "configs":
+        shards = sorted(r[0] for r in assigned(spark, a).select("shard_id").distinct().collect())
+        dims = load_vectors(spark, a.data_path).select(F.size("embedding")).first()[0]
+        numbers = lambda text: [int(x) for x in text.split(",")]
+        return {"configs": save_build_configs(shards, a.base_folder, a.name, dims, numbers(a.build_degree), numbers(a.inter_build_degree), suffix=a.files, query_file=a.query_path, truth_file=a.truth_path, k=a.k, batch=a.batch_size)}
     if a.command == "truth":
         knn.exact_knn(queries_of(spark, a.query_path), load_vectors(spark, a.data_path), a.top_k, metric=a.metric, query_id="query_id", skip_self=False).write.mode("overwrite").parquet(a.to)
         return {}

@@ -307,7 +307,7 @@ def estimate_cluster_sizes(sample: DataFrame, centers: DataFrame, copies: int, r
     return found.groupBy("shard_id").agg((F.count("*") / rate).alias("estimate"))
 
 
-def partition_by_budget(vectors: DataFrame, budget_gb: float, degree: int, copies: int, *, epsilon: float = 2.0, rate: float = 0.05, min_parts: int = 1, max_iter: int = 15, element_bytes: int = 4, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame | None]:
+def partition_by_budget(vectors: DataFrame, budget_gb: float, degree: int, copies: int, *, epsilon: float = 2.0, block_rows: int | None = None, rate: float = 0.05, min_parts: int = 1, max_iter: int = 15, element_bytes: int = 4, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame | None]:
     """Plan, sample, train and assign: (assignment, centers). One partition passes everything through."""
     from velora.functions.planning import plan_partitions, sampling_rate
     from velora.operators.kmeans import kmeans_fit
@@ -320,7 +320,7 @@ def partition_by_budget(vectors: DataFrame, budget_gb: float, degree: int, copie
         return vectors.select(F.lit(0).alias("shard_id"), F.col(id_col).cast("long").alias("vec_id"), F.lit(1).alias("round"), F.lit(0.0).alias("dist")), None
     sample = bernoulli_sample(vectors, max(sampling_rate(n, rate), min(1.0, 10 * parts / n)), seed, id_col)
     centers = kmeans_fit(sample, parts, max_iter=max_iter, seed=seed, id_col=id_col, vector=vector)
-    return partition_selective(vectors, centers, copies, limit, epsilon, id_col, vector), centers
+    return partition_selective(vectors, centers, copies, limit, epsilon, id_col, vector, block_rows=block_rows), centers
 
 
 def partition_by_ram(vectors: DataFrame, budget_gb: float, degree: int, copies: int, *, start: int = 3, element_bytes: int = 4, seed: int = 42, max_sample: int = 256_000, id_col: str = "vec_id", vector: str = "embedding") -> tuple[DataFrame, DataFrame]:
