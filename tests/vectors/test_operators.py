@@ -225,6 +225,21 @@ def test_beam_search_refuses_and_falls_back(vectors):
     assert a == search.beam_search(queries, vectors, edges, seeds, 3, 4).select("neighbor_id").collect()
 
 
+def test_sharded_hierarchical_search_is_hierarchical_search_of_each_shard(spark, vectors):
+    rows = vectors.selectExpr("vec_id", "embedding", "cast(vec_id % 2 as int) as shard_id").cache()
+    layers = graph.sharded_hierarchical_graph(rows, 6, layers=3, segment=12).cache()
+    queries = vectors.where("vec_id % 40 = 0").withColumnRenamed("vec_id", "query_id")
+    got = search.sharded_search(queries, vectors, layers, rows.select("shard_id", "vec_id"), 5, 12).collect()
+    assert layers.select("layer").distinct().count() == 3
+    for shard in (0, 1):
+        own = layers.where(f"shard_id = {shard}").drop("shard_id")
+        top = sorted(r[0] for r in own.where("layer = 2").select("src").distinct().collect())
+        seeds = [(q, top[k]) for q in range(0, N, 40) for k in sampling.start_places(42, q, len(top), 12, f":{shard}")]
+        want = search.hierarchical_search(queries, rows.where(f"shard_id = {shard}"), own, spark.createDataFrame(seeds, "query_id long, vec_id long"), 5, 12).collect()
+        key = lambda r: (r.query_id, r["rank"], r.neighbor_id, r.n_visited, r.n_distance)
+        assert sorted(key(r) for r in got if r.shard_id == shard) == sorted(map(key, want))
+
+
 def test_hierarchical_search_by_joins_equals_packed(spark, vectors):
     queries = vectors.where("vec_id % 60 = 0").selectExpr("vec_id as query_id", "embedding")
     layers = None

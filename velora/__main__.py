@@ -37,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     command("direct-partition", "data_path", "base_folder", shard_size=1_000_000, dataset_size=0, files="")
     command("partition", "data_path", "base_folder", "memory_budget", "build_degree", "epsilon", max_duplication=2, sampling_rate=0.05, max_iteration=15, minimum_partition_num=1, rule="selective", block_rows=0, element_bytes=4, files="", seed=42)
     command("configs", "data_path", "base_folder", "name", build_degree="64", inter_build_degree="128", files="fbin", query_path="", truth_path="", k=10, batch_size=10)
-    command("build", "data_path", "base_folder", "build_degree", method="exact", metric="l2", alpha=1.2, pool=64, seed=42)
+    command("build", "data_path", "base_folder", "build_degree", method="exact", metric="l2", alpha=1.2, pool=64, layers=3, segment=32, seed=42)
     command("merge", "base_folder", "merge_degree", seed=42, variable=0, to=None, dim=0)
     command("truth", "data_path", "query_path", "to", "top_k", metric="l2")
     command("search", "data_path", "query_path", "base_folder", "top_k", "itop", graph="merged", truth_path=None, to=None, seed=42)
@@ -68,6 +68,8 @@ def build_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     if a.method == "exact":
         edges = knn.knn_graph(rows, a.build_degree, group="shard_id", metric=a.metric).withColumnRenamed("grp", "shard_id")
         edges.write.mode("overwrite").parquet(f"{a.base_folder}/shard_graph")
+    elif a.method == "hierarchical":
+        graph.sharded_hierarchical_graph(rows, a.build_degree, layers=a.layers, segment=a.segment, seed=a.seed).write.mode("overwrite").parquet(f"{a.base_folder}/shard_graph")
     else:
         # a row's node is its shard and id together, so that graphs of different shards stay apart
         ids = [r.shard_id for r in rows.select("shard_id").distinct().collect()]
@@ -80,6 +82,8 @@ def build_command(spark: SparkSession, a: argparse.Namespace) -> dict:
 
 def merge_command(spark: SparkSession, a: argparse.Namespace) -> dict:
     edges, rows = spark.read.parquet(f"{a.base_folder}/shard_graph"), assigned(spark, a)
+    # of hierarchies, the bottom layers are merged
+    edges = edges.where("layer = 0").drop("layer") if "layer" in edges.columns else edges
     merged = merge.merge_graphs(merge.localise_edges(edges, rows), rows, a.merge_degree, a.seed, require_min=not a.variable)
     merged.write.mode("overwrite").parquet(f"{a.base_folder}/merged_graph")
     merge.merge_medoids(merge.shard_medoids(rows), rows).write.mode("overwrite").parquet(f"{a.base_folder}/medoids")

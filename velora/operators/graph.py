@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from velora.functions.planning import LayerPlan
+from velora.functions.planning import LayerPlan, layer_plan
 from velora.functions.ranking import grouped_rank, md5_key
 from velora.functions.vectors import l2_squared
 from velora.operators.knn import knn_graph
@@ -125,3 +125,20 @@ def hierarchical_graph(vectors: DataFrame, plan: LayerPlan, degree: int, *, seed
     layered = placed.select("vec_id", "v", F.posexplode(sizes).alias("layer", "size"), "new_pos").where(F.col("new_pos") < F.col("size"))
     graph = knn_graph(layered, degree, group="layer", vector="v")
     return graph.select(F.col("grp").cast("int").alias("layer"), "src", "pos", "dst")
+
+
+def sharded_hierarchical_graph(rows: DataFrame, degree: int, *, layers: int = 3, segment: int = 32, seed: int = 42, id_col: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """shard_id, layer, src, pos, dst: hierarchical_graph() of every shard of rows, all in one plan, in global ids.
+
+    Each shard's layers follow from its own size; a row's place in its shard is that of the seeded order.
+    """
+    own = rows.select(F.col("shard_id").cast("long").alias("shard_id"), F.col(id_col).cast("long").alias("vec_id"), F.col(vector).alias("v"))
+    counts = own.groupBy("shard_id").agg(F.count("*").alias("n")).collect()
+    plans = [(r.shard_id, list(layer_plan(r.n, layers, segment, degree).sizes)) for r in counts]
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(plans, "shard_id long, sizes array<long>"))
+    order = shuffle_rows(own.select("vec_id").distinct(), seed)
+    placed = grouped_rank(own.select("shard_id", "vec_id").join(order, "vec_id"), ["shard_id"], "new_pos", "place")
+    layered = placed.join(sizes, "shard_id").select("shard_id", "vec_id", "place", F.posexplode("sizes").alias("layer", "size")).where("place <= size")
+    both = (F.col("shard_id") * layers + F.col("layer")).alias("both")
+    graph = knn_graph(layered.select("shard_id", "vec_id", both).join(own, ["shard_id", "vec_id"]), degree, group="both", vector="v")
+    return graph.select(F.floor(F.col("grp") / layers).cast("long").alias("shard_id"), (F.col("grp") % layers).cast("int").alias("layer"), "src", "pos", "dst")

@@ -88,12 +88,15 @@ def _all_enough(results: DataFrame, k: int) -> DataFrame:
     return results.withColumn("n_found", n).withColumn("rank", F.when(F.col("n_found") < k, few).otherwise(F.col("rank"))).drop("n_found")
 
 
-def _answers(query_id: int, packed: Packed, query: np.ndarray, seeds: np.ndarray, k: int, width: int, strict: bool = True) -> pd.DataFrame:
-    began = time.perf_counter_ns()
-    pool, dist, visits, distances = packed.beam(query, seeds, width)
+def _answers(query_id: int, graphs: list[Packed], query: np.ndarray, seeds: np.ndarray, k: int, width: int, strict: bool = True) -> pd.DataFrame:
+    """A query's rows from graphs, top first; seeds are ids, and a graph's pool seeds the next."""
+    ids, visits, distances, began = seeds, 0, 0, time.perf_counter_ns()
+    for graph in graphs:
+        pool, dist, a, b = graph.beam(query, graph.rows(ids), width)
+        ids, visits, distances = graph.ids[pool], visits + a, distances + b
     if strict:
-        _enough(query_id, len(pool), k)
-    return pd.DataFrame({"query_id": query_id, "rank": np.arange(1, min(k, len(pool)) + 1), "neighbor_id": packed.ids[pool[:k]], "distance": dist[:k], "n_visited": visits, "n_distance": distances, "latency_us": (time.perf_counter_ns() - began) // 1000})
+        _enough(query_id, len(ids), k)
+    return pd.DataFrame({"query_id": query_id, "rank": np.arange(1, min(k, len(ids)) + 1), "neighbor_id": ids[:k], "distance": dist[:k], "n_visited": visits, "n_distance": distances, "latency_us": (time.perf_counter_ns() - began) // 1000})
 
 
 _EMPTY = pd.DataFrame({c: pd.Series(dtype="float64" if c == "distance" else "int64") for c in ("query_id", "rank", "neighbor_id", "distance", "n_visited", "n_distance", "latency_us")})
@@ -134,8 +137,7 @@ def beam_search(queries: DataFrame, vectors: DataFrame, edges: DataFrame, seeds:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            packed = sent.value
-            yield pd.concat([_EMPTY, *(_answers(r.query_id, packed, np.asarray(r.q), packed.rows(np.asarray(r.seeds)), k, width) for r in frame.itertuples())])
+            yield pd.concat([_EMPTY, *(_answers(r.query_id, [sent.value], np.asarray(r.q), np.asarray(r.seeds), k, width) for r in frame.itertuples())])
 
     return _with_seeds(queries, seeds, query_id, vector).mapInPandas(run, RESULT)
 
@@ -175,10 +177,14 @@ def sharded_search(queries: DataFrame, vectors: DataFrame, shard_edges: DataFram
 
     One group is one shard, whose size the partition plan bounds by memory. Start
     rows are width random ones of the shard, drawn anew for each query. A shard with
-    fewer than k rows gives all; merge_topk() makes the shards' answers one.
+    fewer than k rows gives all; merge_topk() makes the shards' answers one. Edges with a
+    column layer are hierarchies: start rows are of the shard's top layer then, and a
+    layer's pool seeds the layer below.
     """
+    layer = F.col("layer").cast("int") if "layer" in shard_edges.columns else F.lit(0)
     nodes = assignment.select("shard_id", "vec_id").join(vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")), "vec_id")
-    lists = shard_edges.groupBy("shard_id", F.col("src").alias("vec_id")).agg(F.collect_list("dst").alias("near"))
+    lists = shard_edges.groupBy("shard_id", F.col("src").alias("vec_id")).agg(F.collect_list(F.struct("dst", layer.alias("layer"))).alias("e"))
+    lists = lists.select("shard_id", "vec_id", F.col("e.dst").alias("near"), F.col("e.layer").alias("layers"))
     nodes = nodes.join(lists, ["shard_id", "vec_id"], "left")
     shards = assignment.select(F.col("shard_id").alias("asked_shard")).distinct()
     asked = shards.crossJoin(queries.select(F.col(query_id).cast("long").alias("query_id"), F.col(vector).cast("array<double>").alias("q")))
@@ -187,12 +193,16 @@ def sharded_search(queries: DataFrame, vectors: DataFrame, shard_edges: DataFram
         if not len(shard) or not len(asked):
             return _EMPTY.assign(shard_id=pd.Series(dtype="int64"))
         ids = shard["vec_id"].to_numpy()
-        near = [np.asarray(x, np.int64) if x is not None else np.empty(0, np.int64) for x in shard["near"]]
-        packed = Packed(ids, np.stack(shard["v"].to_numpy()), np.repeat(ids, [len(x) for x in near]), np.concatenate(near) if near else np.empty(0, np.int64))
+        near, layers = ([np.asarray(x, np.int64) if x is not None else np.empty(0, np.int64) for x in shard[c]] for c in ("near", "layers"))
+        src, dst, at = np.repeat(ids, [len(x) for x in near]), np.concatenate(near), np.concatenate(layers)
+        points, graphs = np.stack(shard["v"].to_numpy()), []
+        for layer in range(at.max(initial=0), -1, -1):
+            own, inside = at == layer, np.isin(ids, src[at == layer]) if layer else np.ones(len(ids), bool)
+            graphs.append(Packed(ids[inside], points[inside], src[own], dst[own]))
         out = []
         for r in asked.itertuples():
-            seeds = np.array(start_places(seed, r.query_id, len(ids), width, f":{key[0]}"))
-            out.append(_answers(r.query_id, packed, np.asarray(r.q), seeds, k, width, strict=False))
+            seeds = graphs[0].ids[start_places(seed, r.query_id, len(graphs[0].ids), width, f":{key[0]}")]
+            out.append(_answers(r.query_id, graphs, np.asarray(r.q), seeds, k, width, strict=False))
         return pd.concat(out).assign(shard_id=key[0])
 
     return nodes.groupBy("shard_id").cogroup(asked.groupBy("asked_shard")).applyInPandas(run, "shard_id long, " + RESULT)
@@ -217,16 +227,7 @@ def hierarchical_search(queries: DataFrame, vectors: DataFrame, layers: DataFram
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = [_EMPTY]
-            for r in frame.itertuples():
-                ids, visits, distances, began = np.asarray(r.seeds), 0, 0, time.perf_counter_ns()
-                for graph in sent.value:
-                    start = graph.rows(ids)
-                    pool, dist, a, b = graph.beam(np.asarray(r.q), start, width)
-                    ids, visits, distances = graph.ids[pool], visits + a, distances + b
-                _enough(r.query_id, len(ids), k)
-                out.append(pd.DataFrame({"query_id": r.query_id, "rank": np.arange(1, min(k, len(ids)) + 1), "neighbor_id": ids[:k], "distance": dist[:k], "n_visited": visits, "n_distance": distances, "latency_us": (time.perf_counter_ns() - began) // 1000}))
-            yield pd.concat(out)
+            yield pd.concat([_EMPTY, *(_answers(r.query_id, sent.value, np.asarray(r.q), np.asarray(r.seeds), k, width) for r in frame.itertuples())])
 
     return _with_seeds(queries, seeds, query_id, vector).mapInPandas(run, RESULT)
 
