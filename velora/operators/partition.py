@@ -2,8 +2,8 @@
 
 An assignment has the columns shard_id, vec_id, round, dist. With capacities the
 rule is first come, first served in id order; _in_turn() gives its exact outcome by
-a few parallel scans, and what the scans write are choices, never a distance for
-every vector and centre. Ranks inside a shard are taken range by range (see
+a few parallel scans, and what the scans write are choices. Only where centres are more
+than a task holds is every vector's list of all centres written. Ranks inside a shard are taken range by range (see
 functions.ranking), so no task holds a shard.
 """
 
