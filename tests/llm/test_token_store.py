@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers as P
 import pyarrow as pa
 import pytest
-from tokenizers import Tokenizer, normalizers, pre_tokenizers
+from tokenizers import Tokenizer, models, normalizers, pre_tokenizers
 
 from velora.llm import token_store as ts
 
@@ -46,6 +46,30 @@ def test_encoder_over_all_letters(library):
     assert [x.tolist() for x in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
 
 
+def test_new_words_go_to_the_library_together(library):
+    random.seed(8)
+    words = ["".join(random.choice("abcdeéß,.'0") for _ in range(random.randint(1, 9))) for _ in range(3000)]
+    some = [" ".join(words[k : k + 100]) for k in range(0, 3000, 100)]
+    encoder, alone = ts.Encoder(PATH, 2), []
+    piece = encoder._piece
+    encoder._piece = lambda p: alone.append(p) or piece(p)
+    assert [x.tolist() for x in encoder.encode(pa.array(some))] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in some]
+    assert not [p for p in alone if p.startswith(" ")]
+
+
+def test_other_vocabularies_of_the_known_kind(tmp_path):
+    letters = {c: k for k, c in enumerate(ts.byte_letters().values())}
+    some = ["x \xa0 \xa0b", "a\xa0 b", "a \xa0b \xa0", "\xa0 a", "ab b a ab", "ab\n ab"]
+    # one that merges a no-break space with a space behind it, and one that has no letter for a space
+    for k, (vocab, merges) in enumerate(((letters | {"łĠ": 256}, [("ł", "Ġ")]), ({"a": 0, "b": 1, "ab": 2}, [("a", "b")]))):
+        other = Tokenizer(models.BPE(vocab, merges))
+        other.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+        other.save(f"{tmp_path}/{k}.json")
+        encoder = ts.Encoder(f"{tmp_path}/{k}.json", 2)
+        assert encoder.known
+        assert [x.tolist() for x in encoder.encode(pa.array(some))] == [[*other.encode(t, add_special_tokens=False).ids, 2] for t in some]
+
+
 def test_other_tokenizers_get_whole_texts(tmp_path, library):
     digits, lower, clip = (Tokenizer.from_file(PATH) for _ in range(3))
     digits.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.Digits(individual_digits=True), pre_tokenizers.ByteLevel(add_prefix_space=False)])
@@ -74,6 +98,14 @@ def test_cuts_are_local_and_bounded():
     assert ts.cuts(np.zeros(1, "<u4")) == [1]
 
 
+def test_cuts_of_many_texts_are_those_of_each_and_none_is_empty():
+    rng = np.random.default_rng(5)
+    some = [rng.integers(0, 50_000, n).astype("<u4") for n in [1, 63, 64, 65, *rng.integers(1, 3000, 2000), 20_000]] + [np.zeros(9000, "<u4")]
+    ends = [ts.cuts(x) for x in some]
+    assert all(e[-1] == len(x) and np.diff([0, *e]).min() > 0 for x, e in zip(some, ends))
+    assert ts.cuts_of(some) == ends and ts.cuts_of([]) == []
+
+
 def test_crcs_are_put_together():
     rng = np.random.default_rng(3)
     parts = [rng.integers(0, 256, n).astype(np.uint8).tobytes() for n in (1, 7, 4096, 12, 100_000)]

@@ -55,12 +55,15 @@ from velora.llm.common import SLICE, discard, gathered, id_and_text, no_cycles,
 WIDTH, MEAN, LEAST, MOST = 16, 512, 64, 4096
 MULTIPLIER = 0x9E3779B1
 DIGEST = 16
-#: Distinct words, pieces and addresses that a worker keeps; beyond that it starts anew, at a cost in time or payload only.
+#: Distinct pieces that a worker keeps, those of its last batch that stay beyond that, and addresses; less costs time or payload only.
 CACHE_WORDS, CACHE_PIECES, CACHED_LENGTH, CACHE_ADDRESSES = 500_000, 150_000, 16, 400_000
+#: Pieces that go to the library as one string.
+CALL = 1000
 #: The byte-level split pattern, fixed by the tokenizer; for letters below U+0250 this is its \p{L}, \p{N} form.
 _PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
 #: Texts with white space beside a space, or characters that the two forms, or their notions of white space, may class differently.
-_UNSURE = "^ | $| [ \t\n\v\f\r]|[\t\n\v\f\r] |[\\x1c-\\x1f\\x{85}\\x{b2}\\x{b3}\\x{b9}\\x{bc}-\\x{be}\\x{250}-\\x{10ffff}]"
+_UNSURE = "^ | $| [ \t\n\v\f\r\\x{a0}]|[\t\n\v\f\r\\x{a0}] |[\\x1c-\\x1f\\x{85}\\x{b2}\\x{b3}\\x{b9}\\x{bc}-\\x{be}\\x{250}-\\x{10ffff}]"
+_NO_WORD = "^$|^[ \t\n\v\f\r\\x{a0}]"
 #: What such a tokenizer's file says beside its vocabulary.
 _KNOWN = {"normalizer": None, "pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": False, "use_regex": True}, "model": {"type": "BPE", "dropout": None, "unk_token": None, "continuing_subword_prefix": None, "end_of_word_suffix": None, "fuse_unk": False, "byte_fallback": False}}
 _POLY = np.uint64(0xEDB88320)
@@ -84,8 +87,9 @@ class Encoder:
 
     Where the tokenizer is of the known kind, its split pattern starts a piece at
     every single space between two other characters, and the library's model encodes
-    pieces one by one. So texts are cut there; the distinct words of a batch are looked
-    up, new words are cut into pieces, and new pieces go to the library's model. A text
+    pieces one by one. So texts are cut there; the distinct words of a batch are cut into
+    pieces as one string, and pieces that aren't remembered go to the library's model as
+    one string too, which it parts at the letters that stand for spaces. A text
     that has other white space beside a space, an added token's string, or characters
     for which the pattern above might differ from the tokenizer's goes to the library
     whole, and so does every text if the tokenizer is of another kind.
@@ -94,7 +98,7 @@ class Encoder:
     def __init__(self, path: str, end_id: int) -> None:
         import os
 
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer = Tokenizer.from_file(path)
@@ -105,7 +109,12 @@ class Encoder:
         added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         self.unsure = "|".join([_UNSURE, *added])
         self.letters = byte_letters()
-        self.words: dict[str, bytes] = {}
+        # the same model behind a split at the letter that stands for a space; ids that begin with it begin a piece
+        self.parts = Tokenizer(self.model)
+        self.parts.pre_tokenizer = pre_tokenizers.Split(self.letters[32], "merged_with_next")
+        vocabulary = self.tokenizer.get_vocab()
+        self.heads = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self.heads[[k for token, k in vocabulary.items() if token.startswith(self.letters[32])]] = True
         self.pieces: dict[str, bytes] = {}
         self.end_id = end_id
         self.end = end_id.to_bytes(4, "little")
@@ -116,51 +125,59 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         """Ids of one piece, little-endian."""
-        letters = f"\u0120{piece[1:]}" if piece.isascii() and piece[1:].isalpha() and piece[0] == " " else piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.model.tokenize(letters)]).tobytes()
-
-    def _cut(self, word: str) -> bytes:
-        """Ids of a word behind a space that isn't all letters."""
-        out = []
-        for piece in _PIECES(" " + word):
-            ids = self.pieces.get(piece)
-            if ids is None:
-                ids = self._piece(piece)
-                if len(piece) <= CACHED_LENGTH:
-                    if len(self.pieces) >= CACHE_PIECES:
-                        self.pieces.clear()
-                    self.pieces[piece] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of each of the distinct words behind a space."""
-        known = self.words
-        found = list(map(known.get, words))
+        return array("I", [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the pieces, those behind a space by few calls."""
+        out = [b"" if p[0] == " " else self._piece(p) for p in pieces]
+        spaced = [k for k, p in enumerate(pieces) if p[0] == " "]
+        for a in range(0, len(spaced), CALL):
+            call = spaced[a : a + CALL]
+            text = "".join([pieces[k] for k in call]).encode().decode("latin-1").translate(self.letters)
+            ids = np.array(self.parts.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            begins = (4 * np.flatnonzero(self.heads[ids])).tolist()
+            if len(begins) == len(call):
+                raw = ids.tobytes()
+                told = [raw[a:b] for a, b in zip(begins, [*begins[1:], len(raw)])]
+            else:  # a vocabulary without that letter
+                told = [self._piece(pieces[k]) for k in call]
+            for k, own in zip(call, told):
+                out[k] = own
+        return out
+
+    def _pieces(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of the distinct pieces, from memory where they are there."""
+        found = list(map(self.pieces.get, pieces))
         if None in found:
-            if len(known) > CACHE_WORDS:
-                known.clear()
-            points = {p: self._piece(p) for p in (",", ".")}
-            for k, ids in enumerate(found):
-                if ids is not None:
-                    continue
-                word = words[k]
-                if word.isalpha():
-                    ids = self._piece(" " + word)
-                elif word[-1:] in points and (stem := word[:-1]).isalpha():
-                    ids = known.get(stem)
-                    if ids is None:
-                        ids = self._piece(" " + stem)
-                        if len(stem) <= CACHED_LENGTH:
-                            known[stem] = ids
-                    ids += points[word[-1]]
-                else:
-                    ids = self._cut(word)
-                found[k] = ids
-                if len(word) <= CACHED_LENGTH:
-                    known[word] = ids
+            new = [p for p, ids in zip(pieces, found) if ids is None]
+            told = dict(zip(new, self._new(new)))
+            found = [told[p] if ids is None else ids for p, ids in zip(pieces, found)]
+            if len(self.pieces) + len(new) > CACHE_WORDS:
+                # those that come first in a batch are mostly the frequent ones
+                told, self.pieces = dict(zip(pieces[:CACHE_PIECES], found)), {}
+            self.pieces.update((p, ids) for p, ids in told.items() if len(p) <= CACHED_LENGTH)
         return found
 
+    def _words(self, words: pa.Array, heads: list[str]) -> list[bytes]:
+        """Ids of each of the words behind a space, and of each of the heads, which have none before them."""
+        # only heads begin with white space or are empty; as words they aren't used, and they would join their neighbour
+        words = pc.if_else(pc.match_substring_regex(words, _NO_WORD), ".", words)
+        pieces = _PIECES(" " + pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), " ")[0].as_py())
+        behind = len(pieces)
+        begins = [behind] * len(heads)
+        for k, head in enumerate(heads):
+            begins[k] = len(pieces)
+            pieces += _PIECES(head)
+        listed = pa.array(pieces, pa.string())
+        del pieces
+        spaced = np.flatnonzero(pc.starts_with(listed.slice(0, behind), " ").to_numpy(zero_copy_only=False))
+        coded = listed.dictionary_encode()
+        del listed
+        flat, ends = gathered(self._pieces(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy())
+        at = (4 * np.concatenate([[0], ends])[np.concatenate([spaced, begins])]).tolist()
+        raw = flat.tobytes()
+        return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)])]
+
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text of a string array without nulls, 32-bit, with the end id."""
         plain = pc.invert(pc.match_substring_regex(texts, self.unsure)) if self.known else pa.array([False] * len(texts))
@@ -173,7 +190,7 @@ class Encoder:
         heads = values.take(pa.array(offsets[:-1])).to_pylist()
         coded = values.dictionary_encode()
         # of the words of a batch, with the texts' first words, which have no space before them, and the end id
-        ids = [*self._words(coded.dictionary.to_pylist()), *(b"".join(map(self._piece, _PIECES(h))) for h in heads), self.end]
+        ids = [*self._words(coded.dictionary, heads), self.end]
         at = coded.indices.to_numpy().copy()
         at[offsets[:-1]] = len(ids) - 1 - len(heads) + np.arange(len(heads))
         at = np.insert(at, offsets[1:], len(ids) - 1)
@@ -193,26 +210,42 @@ def encoder_of(path: str, end_id: int) -> Encoder:
     return _ENCODERS[path, end_id]
 
 
-def cuts(ids: np.ndarray) -> list[int]:
-    """Where chunks end, from a rolling hash of the last 16 ids."""
-    n = len(ids)
-    if n <= LEAST:
-        return [n]
+def _marks(ids: np.ndarray) -> np.ndarray:
+    """Behind which ids a rolling hash of the last 16 allows a cut."""
     h, k, power = ids.astype(np.uint32), 1, MULTIPLIER
     while k < WIDTH:
         h[k:] += h[:-k] * np.uint32(power)
         k, power = 2 * k, power * power % 2**32
     h ^= h >> np.uint32(15)
-    found = np.flatnonzero((h * np.uint32(MULTIPLIER)) >> np.uint32(32 - (MEAN.bit_length() - 1)) == 0) + 1
+    return np.flatnonzero((h * np.uint32(MULTIPLIER)) >> np.uint32(32 - (MEAN.bit_length() - 1)) == 0) + 1
+
+
+def _ends(marks: list[int], n: int) -> list[int]:
+    """Where chunks of a text of n ids end, from its marks."""
     out, last = [], 0
-    for end in (*found.tolist(), n):
+    for end in (*marks, n):
         while end - last > MOST:
             last += MOST
             out.append(last)
-        if end - last >= LEAST or end == n:
+        if end - last >= LEAST or end == n > last:
             last = end
             out.append(end)
-    return out if out[-1] == n else [*out, n]
+    return out
+
+
+def cuts(ids: np.ndarray) -> list[int]:
+    """Where chunks end, from a rolling hash of the last 16 ids."""
+    return _ends(_marks(ids).tolist(), len(ids))
+
+
+def cuts_of(texts: list[np.ndarray]) -> list[list[int]]:
+    """cuts() of each text, hashed as one: what stands before a text reaches its first ids only, which are too few for a chunk."""
+    if not texts:
+        return []
+    marks = _marks(np.concatenate(texts))
+    bounds = np.cumsum([0, *map(len, texts)])
+    at = np.searchsorted(marks, bounds, "right").tolist()
+    return [_ends((marks[a:b] - start).tolist() if a < b else [], len(ids)) for a, b, start, ids in zip(at, at[1:], bounds, texts)]
 
 
 def address(ids: np.ndarray) -> bytes:
@@ -289,8 +322,8 @@ def _staged(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, 4 * SLICE):
                 names, sizes, fresh, roots, totals = [], [], [], [], []
-                for ids in encoder.encode(pc.fill_null(batch.column(1), "")):
-                    ends = cuts(ids)
+                encoded = encoder.encode(pc.fill_null(batch.column(1), ""))
+                for ids, ends in zip(encoded, cuts_of(encoded)):
                     chunks = [ids[a:b] for a, b in zip([0, *ends], ends)]
                     own = list(map(address, chunks))
                     new = []
