@@ -175,6 +175,20 @@ def test_knn_ties_go_to_the_smaller_id(spark):
     assert sorted((r.src, r.dst) for r in knn.knn_graph(v, 2).collect()) == [(1, 4), (1, 7), (4, 1), (4, 7), (7, 1), (7, 4), (9, 1), (9, 4)]
 
 
+def test_one_large_group_is_many_bounded_units(vectors, data, monkeypatch):
+    monkeypatch.setattr(knn, "UNIT_PAIRS", 400)
+    monkeypatch.setattr(knn, "UNITS", 1000)
+    rows = vectors.selectExpr("0L as grp", "vec_id as id", "embedding as v")
+    sizes = knn.units_of(rows, rows).groupBy("grp", "at", "part", "side").count().collect()
+    assert len(sizes) == 2 * 24 * 6 and max(r["count"] for r in sizes) < 80
+    monkeypatch.setattr(knn, "BLOCK", 3)
+    got = {(r.src, r.pos): r.dst for r in knn.knn_graph(vectors.selectExpr("*", "7 as g"), 5, group="g").collect()}
+    d = ((data[:, None, :] - data[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(d, np.inf)
+    near = np.argsort(d, axis=1, kind="stable")[:, :5]
+    assert got == {(i, p + 1): int(near[i, p]) for i in range(N) for p in range(5)}
+
+
 def test_empty_tables(vectors, centers):
     none = vectors.limit(0)
     assert knn.knn_graph(none, 3).count() == 0

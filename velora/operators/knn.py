@@ -1,11 +1,12 @@
 """Exact nearest neighbours by blocks.
 
-Both sides are packed into blocks of bounded size in the scan. Every pair of
-blocks that share the group key (or every pair, for a stated query set) is one
-matrix product in an Arrow batch; it gives at most k rows per query and block,
-so what is shuffled is k rows per query and block instead of all pairs. Products
-choose candidates with a margin for rounding; the distances given out are exact
-row by row, so equal vectors tie exactly and ties go to the smaller id.
+Queries and rows of a group (or all, for a stated query set) are dealt into units: so
+many queries against so many rows, each a stream in which the queries come first. A
+task holds a unit's queries and the k nearest so far, and meets the rows batch by
+batch, so neither its memory nor what it gives out (k rows per query and unit) follows
+the number of pairs. Units are bounded in both directions, whatever the sizes of groups.
+Matrix products choose candidates with a margin for rounding; the distances given out
+are exact row by row, so equal vectors tie exactly and ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -13,72 +14,126 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from velora.functions.vectors import pairwise, rowwise
 
+#: Queries of one matrix product; it has four times as many rows.
 BLOCK = 1024
-_PACKED = "grp long, ids binary, vectors binary, n int"
+#: Units that the work is cut into, about; fewest pairs of one; most queries of one, which meet four times as many rows.
+UNITS, UNIT_PAIRS, UNIT_QUERIES = 100, 1 << 22, 1 << 15
+_NONE = np.iinfo(np.int64).max
+
+
+def matrix(column: pa.Array) -> np.ndarray:
+    """An Arrow column of equally long lists as a matrix of doubles."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
+
+
+class Nearest:
+    """The k nearest rows met so far of each query, by (distance, id)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int, metric: str = "l2", skip_self: bool = False, block: int = BLOCK) -> None:
+        self.ids, self.vectors, self.metric, self.skip_self, self.block = ids, vectors, metric, skip_self, block
+        self.norms = (vectors * vectors).sum(1)
+        self.dist, self.near = np.full((len(ids), k), np.inf), np.full((len(ids), k), _NONE)
+
+    def meet(self, b_ids: np.ndarray, b: np.ndarray) -> None:
+        for s in range(0, len(b), 4 * self.block):
+            ids, part = b_ids[s : s + 4 * self.block], b[s : s + 4 * self.block]
+            norms = (part * part).sum(1)
+            # one product gives squared distances
+            wide = np.column_stack([part, norms, np.ones(len(part))]) if self.metric == "l2" else part
+            for t in range(0, len(self.ids), self.block):
+                self._pair(slice(t, t + self.block), ids, part, wide, norms.max())
+
+    def _pair(self, some: slice, b_ids: np.ndarray, b: np.ndarray, wide: np.ndarray, most: float) -> None:
+        q, kth = self.vectors[some], self.dist[some, -1]
+        rough = np.column_stack([-2 * q, np.ones(len(q)), self.norms[some]]) @ wide.T if self.metric == "l2" else pairwise(q, b, self.metric)
+        new = np.isinf(kth)
+        if new.any():
+            if self.skip_self:
+                rough[self.ids[some][:, None] == b_ids[None, :]] = np.inf
+            keep = min(self.dist.shape[1], len(b))
+            kth = np.where(new, np.partition(rough, keep - 1, axis=1)[:, keep - 1], kth)
+        limit = np.where(np.isfinite(kth), kth + 1e-9 * (1 + np.abs(kth) + self.norms[some] + most), np.finfo(float).max)
+        row, col = np.divmod(np.flatnonzero(rough <= limit[:, None]), len(b))
+        if self.skip_self:
+            other = self.ids[some][row] != b_ids[col]
+            row, col = row[other], col[other]
+        if not len(row):
+            return
+        exact = rowwise(q[row], b[col], self.metric)
+        used, at = np.unique(row, return_inverse=True)
+        k, used = self.dist.shape[1], used + some.start
+        who = np.concatenate([np.repeat(np.arange(len(used)), k), at])
+        dist, ids = np.concatenate([self.dist[used].ravel(), exact]), np.concatenate([self.near[used].ravel(), b_ids[col]])
+        order = np.lexsort((ids, dist, who))
+        who, dist, ids = who[order], dist[order], ids[order]
+        rank = np.arange(len(who)) - np.searchsorted(who, who)
+        top = rank < k
+        self.dist[used[who[top]], rank[top]], self.near[used[who[top]], rank[top]] = dist[top], ids[top]
+
+    def found(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place of the query, id, distance), nearest first."""
+        row, rank = np.nonzero(self.near != _NONE)
+        return row, self.near[row, rank], self.dist[row, rank]
+
+
+def units_of(left: DataFrame, right: DataFrame) -> DataFrame:
+    """grp, at, part, side, id, v: queries (side 0) and rows (grp, id, v) dealt into units (grp, at, part), each in one partition, queries first."""
+    counts = left.groupBy("grp").agg(F.count("*").alias("n_left")).join(right.groupBy("grp").agg(F.count("*").alias("n_right")), "grp")
+    total = counts.agg(F.sum(F.col("n_left").cast("double") * F.col("n_right"))).first()[0] or 0.0
+    wide = int(min(UNIT_QUERIES, max(1.0, (max(UNIT_PAIRS, total / UNITS) / 4) ** 0.5)))
+    cut = counts.select("grp", F.ceil(F.col("n_left") / wide).alias("p"), F.ceil(F.col("n_right") / (4 * wide)).alias("r"), "n_left", "n_right")
+    units, moved = cut.agg(F.sum(F.col("p") * F.col("r")), F.sum(F.col("n_left") * F.col("r") + F.col("n_right") * F.col("p"))).first()
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asked = left.join(F.broadcast(cut), "grp").select("grp", own("p").alias("at"), every("r").alias("part"), F.lit(0).alias("side"), "id", "v")
+    met = right.join(F.broadcast(cut), "grp").select("grp", every("p").alias("at"), own("r").alias("part"), F.lit(1).alias("side"), "id", "v")
+    key = ["grp", "at", "part"]
+    return asked.unionByName(met).repartition(max(1, min(4 * (units or 0), 4 * UNITS), (moved or 0) >> 18), *key).sortWithinPartitions(*key, "side")
 
 
-def packed(df: DataFrame, group: str | None, id_col: str, vector_col: str, block: int = BLOCK) -> DataFrame:
-    """Rows packed into blocks (grp, ids, vectors, n) of one group each. Rows with a null id or vector are left out."""
-    picked = df.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("vec")).where("id is not null and vec is not null")
-    if group:
-        # a large group goes to several tasks
-        picked = picked.repartition("grp", F.pmod(F.xxhash64("id"), F.lit(16))).sortWithinPartitions("grp")
+def block_topk(queries: DataFrame, base: DataFrame, k: int, *, group: str | None = None, metric: str = "l2", skip_self: bool = True, query_id: str = "vec_id", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """grp, query_id, rank (from 1), neighbor_id, distance: the k nearest of each query, in its group if there is one. Rows with a null id or vector are left out."""
+    kind = "array<float>" if all(isinstance(df.schema[vector].dataType.elementType, FloatType) for df in (queries, base)) else "array<double>"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grp = batch.column(0).to_numpy()
-            edges = np.flatnonzero(np.diff(grp)) + 1
-            rows = []
-            for a, b in zip([0, *edges], [*edges, len(grp)]):
-                for s in range(a, b, block):
-                    e = min(s + block, b)
-                    part = batch.column(2).slice(s, e - s)
-                    rows.append((int(grp[s]), batch.column(1).slice(s, e - s).to_numpy().tobytes(), part.flatten().to_numpy().tobytes(), e - s))
-            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], ["grp", "ids", "vectors", "n"])
-
-    return picked.mapInArrow(run, _PACKED)
-
-
-def nearest_rows(a_ids: np.ndarray, a: np.ndarray, b_ids: np.ndarray, b: np.ndarray, k: int, metric: str, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each row of a its k nearest of b: (row of a, id, distance)."""
-    rough = pairwise(a, b, metric)
-    if skip_self:
-        rough[a_ids[:, None] == b_ids[None, :]] = np.inf
-    keep = min(k, b.shape[0])
-    limit = np.partition(rough, keep - 1, axis=1)[:, keep - 1]
-    limit = np.where(np.isfinite(limit), limit + 1e-9 * (1 + np.abs(limit)), np.finfo(float).max)
-    row, col = np.nonzero(rough <= limit[:, None])
-    exact = rowwise(a[row], b[col], metric)
-    order = np.lexsort((b_ids[col], exact, row))
-    row, col, exact = row[order], col[order], exact[order]
-    rank = np.arange(len(row)) - np.searchsorted(row, row)
-    top = rank < k
-    return row[top], b_ids[col[top]], exact[top]
+    def rows(df: DataFrame, id_col: str) -> DataFrame:
+        return df.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where("id is not null and v is not null")
 
+    left, right = rows(queries, query_id), rows(base, base_id)
+    dealt, block = units_of(left, right), BLOCK
 
-def block_topk(queries: DataFrame, base: DataFrame, k: int, *, group: str | None = None, metric: str = "l2", skip_self: bool = True, query_id: str = "vec_id", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """grp, query_id, rank (from 1), neighbor_id, distance: the k nearest of each query, in its group if there is one."""
-    left = packed(queries, group, query_id, vector).select("grp", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("n").alias("q_n"))
-    right = packed(base, group, base_id, vector)
-    pairs = right.join(left, "grp") if group else right.drop("grp").crossJoin(left)
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for r in frame.itertuples():
-                q_ids, ids = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, b = np.frombuffer(r.q_vectors).reshape(r.q_n, -1), np.frombuffer(r.vectors).reshape(r.n, -1)
-                row, found, distance = nearest_rows(q_ids, q, ids, b, k, metric, skip_self)
-                yield pd.DataFrame({"grp": r.grp, "query_id": q_ids[row], "neighbor_id": found, "distance": distance})
-
-    found = pairs.mapInPandas(run, "grp long, query_id long, neighbor_id long, distance double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(grp: int, near: Nearest) -> pa.RecordBatch:
+            row, ids, distance = near.found()
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(row), grp)), pa.array(near.ids[row]), pa.array(ids), pa.array(distance)], ["grp", "query_id", "neighbor_id", "distance"])
+
+        unit, held, near = None, [], None
+        for batch in batches:
+            names = np.stack([batch.column(c).to_numpy() for c in range(4)])
+            ids, x = batch.column(4).to_numpy(), matrix(batch.column(5))
+            edges = np.flatnonzero((names[:, 1:] != names[:, :-1]).any(0)) + 1
+            for a, b in zip([0, *edges], [*edges, len(ids)]):
+                if a == b:
+                    continue
+                if unit != (now := tuple(names[:3, a].tolist())):
+                    if near:
+                        yield out(unit[0], near)
+                    unit, held, near = now, [], None
+                if not names[3, a]:
+                    held.append((ids[a:b], x[a:b]))
+                elif near or held:
+                    near = near or Nearest(*map(np.concatenate, zip(*held)), k, metric, skip_self, block)
+                    near.meet(ids[a:b], x[a:b])
+        if near:
+            yield out(unit[0], near)
+
+    found = dealt.mapInArrow(run, "grp long, query_id long, neighbor_id long, distance double")
     best = Window.partitionBy("grp", "query_id").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("grp", "query_id", "rank", "neighbor_id", "distance")
 
