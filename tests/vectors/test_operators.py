@@ -229,6 +229,40 @@ def test_beam_search_is_the_sequential_one(spark, vectors, data, form):
         assert ([r.neighbor_id for r in mine], mine[0].n_visited, mine[0].n_distance) == (want, visits, dists)
 
 
+def random_graph(seed, n=60):
+    rng = np.random.default_rng(seed)
+    points, ids = rng.integers(0, 4, size=(n, 3)).astype(np.float32), rng.permutation(n) * 7
+    src = np.repeat(ids, 4)
+    return rng, search.Packed(ids, points, src, np.where(rng.random(len(src)) < 0.1, -1, rng.choice(ids, len(src))))
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_searches_of_many_queries_at_once_are_the_single_ones(seed):
+    rng, g = random_graph(seed)
+    n, q = len(g.ids), rng.normal(size=(9, 3))
+    for width in (1, 6, n):
+        seeds = np.stack([rng.choice(n, min(width, 5), replace=False) for _ in q])
+        seeds[0, 1:] = n
+        pool, dist, visits, distances = g.beams(q, seeds, width, g.table())
+        for i, x in enumerate(q):
+            rows, d, a, b = g.beam(x, seeds[i][seeds[i] < n], width)
+            assert pool[i][pool[i] < n].tolist() == rows.tolist() and dist[i][: len(d)].tolist() == d.tolist() and (visits[i], distances[i]) == (a, b)
+    row, ids, dist, visits, distances = g.whole(np.arange(9), q, 5)
+    for i, x in enumerate(q):
+        rows, d, a, b = g.beam(x, np.arange(n), n)
+        assert ids[row == i].tolist() == g.ids[rows[:5]].tolist() and dist[row == i].tolist() == d[:5].tolist() and (visits, distances) == (a, b)
+
+
+def test_pool_for_all_rows_needs_no_rows_of_seeds(spark, vectors):
+    edges = knn.knn_graph(vectors, 4).select("src", "pos", "dst")
+    asked = vectors.where("vec_id % 40 = 0").withColumnRenamed("vec_id", "query_id")
+    rows = lambda seeds, width, **how: sorted(tuple(r)[:6] for r in search.beam_search(asked, vectors, edges, seeds, 5, width, **how).collect())
+    every = sampling.start_points(asked, vectors, N, 42)
+    want = rows(every, N)
+    assert want and rows(None, N) == want and rows(None, N, graph=search.handed(vectors, edges)) == want
+    assert rows(None, 20) == rows(every, 20)
+
+
 def test_beam_search_refuses_and_falls_back(vectors):
     queries = vectors.where("vec_id = 0").selectExpr("vec_id as query_id", "embedding")
     edges = knn.knn_graph(vectors, 4).drop("grp")
@@ -254,6 +288,24 @@ def test_sharded_hierarchical_search_is_hierarchical_search_of_each_shard(spark,
         assert sorted(key(r) for r in got if r.shard_id == shard) == sorted(map(key, want))
 
 
+@pytest.mark.parametrize("width, cells, batch", [(6, 1 << 24, 1 << 25), (6, 0, 1 << 25), (6, 1 << 24, 1), (300, 1 << 24, 1 << 25)])
+def test_shard_answers_are_single_searches(monkeypatch, width, cells, batch):
+    monkeypatch.setattr(search, "TABLE_CELLS", cells)
+    monkeypatch.setattr(search, "SHARD_MARKS", batch)
+    rng, g = random_graph(5)
+    src = np.append(np.repeat(g.ids, np.diff(g.first)), np.full(60, g.ids[0]))
+    dst = np.append(g.ids[g.dst], g.ids)
+    hub = search.Packed(g.ids, g.vectors, src, dst)
+    q, names = rng.normal(size=(9, 3)), np.arange(9) * 100
+    got = [f for f in search._shard_answers(3, names, q, g.ids, g.vectors, src, dst, np.zeros(len(src), np.int64), 5, width, 42)]
+    got = [tuple(r)[:7] for f in got for r in f[["shard_id", "query_id", "rank", "neighbor_id", "distance", "n_visited", "n_distance"]].itertuples(index=False)]
+    want = []
+    for i, x in zip(names.tolist(), q):
+        rows, d, a, b = hub.beam(x, np.array(sampling.start_places(42, i, len(g.ids), width, ":3")), width)
+        want += [(3, i, p + 1, g.ids[rows[p]], d[p], a, b) for p in range(5)]
+    assert got == want
+
+
 def test_hierarchical_search_by_joins_equals_packed(spark, vectors):
     queries = vectors.where("vec_id % 60 = 0").selectExpr("vec_id as query_id", "embedding")
     layers = None

@@ -106,7 +106,8 @@ def start_places(seed: int, query: int, n: int, count: int, scope: int | str = "
         return sorted(range(n), key=lambda i: (digest(i), i))[:count]
     out: dict[int, None] = {}
     for k in range(draws_for(count)):
-        out[int(int(digest(k)[:13], 16) / 16**13 * n)] = None
+        # 13 hex digits
+        out[int((int.from_bytes(md5(f"{seed}:{query}:{k}{scope}".encode()).digest()[:7]) >> 4) / 16**13 * n)] = None
         if len(out) == count:
             break
     return list(out)

@@ -717,7 +717,8 @@ def beam_search_full_pool(spark: SparkSession, d: str) -> DataFrame:
     """With a pool for all rows the search is exact."""
     v, _, m = merged(spark, d)
     n = v.count()
-    return found(search.beam_search(asked(v), v, m, seeds_of(v, n), K, n))
+    # as seeds_of(v, n), which are all rows
+    return found(search.beam_search(asked(v), v, m, None, K, n))
 
 
 def sharded(spark: SparkSession, d: str, width: int | None) -> DataFrame:
@@ -788,8 +789,8 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 def beam_recall(spark: SparkSession, d: str) -> DataFrame:
     """Recall of beam search over the merged graph for growing pools."""
     v, _, m = merged(spark, d)
-    exact = materialise(truth(v, skip_self=False), "truth")
-    rows = [search.recall_at_k(search.beam_search(asked(v), v, m, seeds_of(v, w), K, w), exact, K).select(F.lit(w).alias("width"), r6("recall")) for w in (10, 20, 40, 64, 128)]
+    exact, graph = materialise(truth(v, skip_self=False), "truth"), search.handed(v, m)
+    rows = [search.recall_at_k(search.beam_search(asked(v), v, m, seeds_of(v, w), K, w, graph=graph), exact, K).select(F.lit(w).alias("width"), r6("recall")) for w in (10, 20, 40, 64, 128)]
     out = rows[0]
     for r in rows[1:]:
         out = out.unionByName(r)
