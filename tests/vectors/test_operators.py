@@ -346,6 +346,29 @@ def test_nn_descent_and_pruned_graphs(vectors):
     assert len(pruned) == N and max(r["count"] for r in pruned) <= 8
 
 
+@pytest.mark.parametrize("batch", [1, 7, 10000])
+def test_edges_over_two_others_meet_in_streams(spark, data, batch):
+    rng = np.random.default_rng(6)
+    points = data[:40]
+    edges = {(int(s), int(t)) for s, t in rng.integers(0, 40, size=(150, 2)) if s != t} | {(s, 3) for s in range(40) if s != 3}
+    far = {i: float(rng.choice([2.0, np.inf])) for i in range(40)}
+    both = spark.createDataFrame([(0, s, t, 0.0) for s, t in sorted(edges)], "grp long, src long, dst long, dist double")
+    named = spark.createDataFrame([(0, i, points[i].tolist(), far[i]) for i in range(40)], "grp long, id long, v array<double>, far double")
+    want = set()
+    for m in range(40):
+        for s in (a for a, b in edges if b == m):
+            d = sorted((((points[s] - points[t]) ** 2).sum(), t) for a, t in edges if a == m and t != s)
+            want |= {(s, t) for x, t in [x for x in d if x[0] <= far[s]][:4]}
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        got = graph._through(both, named, 4).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert {(r.src, r.dst) for r in got} == want
+    assert all(abs(r.dist - ((points[r.src] - points[r.dst]) ** 2).sum()) < 1e-9 for r in got)
+
+
 def test_kmeans_improves_and_handles_empty_clusters(spark, vectors):
     start = kmeans.kmeans_pp_init(vectors, 5)
     end = kmeans.kmeans_fit(vectors, 5)

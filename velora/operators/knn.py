@@ -33,6 +33,11 @@ def matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1).astype(np.float64)
 
 
+def kind_of(df: DataFrame, vector: str) -> str:
+    """Floats need no doubles before arithmetic."""
+    return "array<float>" if isinstance(df.schema[vector].dataType.elementType, FloatType) else "array<double>"
+
+
 class Nearest:
     """The k nearest rows met so far of each query, by (distance, id)."""
 
@@ -100,7 +105,7 @@ def units_of(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def block_topk(queries: DataFrame, base: DataFrame, k: int, *, group: str | None = None, metric: str = "l2", skip_self: bool = True, query_id: str = "vec_id", base_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """grp, query_id, rank (from 1), neighbor_id, distance: the k nearest of each query, in its group if there is one. Rows with a null id or vector are left out."""
-    kind = "array<float>" if all(isinstance(df.schema[vector].dataType.elementType, FloatType) for df in (queries, base)) else "array<double>"
+    kind = max((kind_of(df, vector) for df in (queries, base)), key=("array<float>", "array<double>").index)
 
     def rows(df: DataFrame, id_col: str) -> DataFrame:
         return df.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind).alias("v")).where("id is not null and v is not null")
