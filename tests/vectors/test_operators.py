@@ -369,6 +369,18 @@ def test_edges_over_two_others_meet_in_streams(spark, data, batch):
     assert all(abs(r.dist - ((points[r.src] - points[r.dst]) ** 2).sum()) < 1e-9 for r in got)
 
 
+@pytest.mark.parametrize("batch", [1, 9])
+def test_pruned_lists_are_met_in_streams(spark, vectors, batch):
+    some = vectors.where("vec_id < 60")
+    rows = lambda: sorted(map(tuple, graph.vamana_graph(some, 4, pool=12).collect()))
+    want, before = rows(), spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    try:
+        assert rows() == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
 def test_kmeans_improves_and_handles_empty_clusters(spark, vectors):
     start = kmeans.kmeans_pp_init(vectors, 5)
     end = kmeans.kmeans_fit(vectors, 5)

@@ -6,7 +6,6 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,22 +151,41 @@ def vamana_graph(vectors: DataFrame, degree: int, *, pool: int = 64, alpha: floa
     some 4 * degree, each is pruned, and what is left is dealt and pruned again
     until one list is left, so no list grows with the number of rows that point to a node.
     """
-    v = materialise(vectors.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v")), "prune-rows")
+    v = materialise(vectors.select((F.col(group) if group else F.lit(0)).cast("long").alias("grp"), F.col(id_col).cast("long").alias("id"), F.col(vector).cast(kind_of(vectors, vector)).alias("v")), "prune-rows")
     near = knn_graph(v, pool, group="grp" if group else None, id_col="id", vector="v").select("src", "dst")
 
     def pruned(pairs: DataFrame) -> DataFrame:
-        d = v.select(F.col("id").alias("dst"), F.col("v").alias("vd"))
-        lists = pairs.join(d, "dst").groupBy("src", "part").agg(F.collect_list(F.struct("dst", "vd")).alias("c")).join(v.select(F.col("id").alias("src"), F.col("v").alias("vs")), "src")
-
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                rows = []
-                for r in frame.itertuples():
-                    ids, x = np.array([c["dst"] for c in r.c]), np.stack([c["vd"] for c in r.c])
-                    rows += [(r.src, p + 1, int(ids[k])) for p, k in enumerate(robust_prune(np.asarray(r.vs), ids, x, degree, alpha))]
-                yield pd.DataFrame(rows, columns=["src", "pos", "dst"])
-
-        return lists.mapInPandas(run, "src long, pos int, dst long")
+        # a list is its node's vector and then the candidates', in streams; lists are short
+        ends = pairs.select("src", "part", F.lit(1).alias("side"), F.col("dst").alias("id")).unionByName(pairs.select("src", "part", F.lit(0).alias("side"), F.col("src").alias("id")).distinct())
+        lists = ends.join(v.select("id", "v"), "id").select("src", "part", "side", "id", "v").repartition("src", "part").sortWithinPartitions("src", "part", "side")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            rest = None
+            for batch in chain(batches, [None]):
+                if batch is not None:
+                    batch = pa.Table.from_batches([batch] if rest is None else [rest, batch]).combine_chunks()
+                    if not len(batch):
+                        continue
+                    batch, rest = batch.to_batches()[0], None
+                    src, part = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+                    edges = np.flatnonzero((np.diff(src) != 0) | (np.diff(part) != 0)) + 1
+                    # more of the last list may follow
+                    cut = int(edges[-1]) if len(edges) else 0
+                    batch, rest = batch.slice(0, cut), batch.slice(cut)
+                else:
+                    batch, rest = rest, None
+                if batch is None or not len(batch):
+                    continue
+                src, part, side, ids = (batch.column(c).to_numpy() for c in range(4))
+                x, rows = matrix(batch.column(4)), []
+                edges = np.flatnonzero((np.diff(src) != 0) | (np.diff(part) != 0)) + 1
+                for m, n in zip([0, *edges], [*edges, len(src)]):
+                    if not side[m]:
+                        rows += [(src[m], p + 1, ids[m + 1 + k]) for p, k in enumerate(robust_prune(x[m], ids[m + 1 : n], x[m + 1 : n], degree, alpha))]
+                out = np.array(rows, np.int64).reshape(-1, 3)
+                yield pa.RecordBatch.from_arrays([pa.array(out[:, 0]), pa.array(out[:, 1].astype(np.int32)), pa.array(out[:, 2])], ["src", "pos", "dst"])
+
+        return lists.mapInArrow(run, "src long, pos int, dst long")
 
     def dealt(pairs: DataFrame, width: int) -> DataFrame:
         """Lists of some width rows of a node's candidates, each from the whole range, by a digest."""
